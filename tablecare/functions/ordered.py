@@ -130,26 +130,103 @@ def framed(df: DataFrame, keys: list[str], order: list[str], span: int, build) -
     return cold_part.unionByName(hot_part)
 
 
+# Up to this many rows the built-in exact percentile, which keeps every distinct value, is the quick way.
+PERCENTILE_ROWS = 200_000
+# Most (value, count) pairs of one narrowing round that are read as parameters.
+BRACKET_VALUES = 100_000
+
+
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], small: bool | None = None) -> dict[str, list[float]]:
     """Exact interpolated quantiles per column, as parameters on the driver.
 
-    Small tables use the built-in aggregate. Large ones count each value, add running counts, and read the
-    two values around each rank, so no task holds a whole column.
+    Large tables are never sorted: an approximate pass brackets each wanted rank, the next pass counts the
+    rows under each bracket and the few values inside it. A bracket that misses its rank is widened, one with
+    too many values is narrowed, so the answer is exact whatever the approximation gave.
     """
     if not cols:
         return {}
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    values = values.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in values.columns])
     if small is None:
-        small = is_small(df)
+        limit = min(small_rows(df.sparkSession), PERCENTILE_ROWS)
+        small = limit > 0 and df.count() <= limit
     if small:
         args = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), args).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+        row = values.agg(*[F.percentile(c, args).alias(c) for c in values.columns]).first()
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols
-    ])).alias("r")).select("r.*").where("value is not null and not isnan(value)")
-    picked = group_quantiles(long, ["feature"], "value", probs, small=False)
-    found = {r["feature"]: list(r["quantiles"]) for r in picked.collect()}
-    return {c: found.get(c, [None] * len(probs)) for c in cols}
+    return _bracketed_quantiles(values, cols, probs)
+
+
+def _bracketed_quantiles(values: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
+    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
+    asks = {}
+    for c in values.columns:
+        at = [float(p) * (counts[c] - 1) for p in probs] if counts[c] else []
+        asks[c] = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
+    shares = {c: sorted({q for r in asks[c] for q in _around(r, counts[c])}) for c in asks if asks[c]}
+    first = values.agg(*[F.percentile_approx(c, qs, 20000).alias(c) for c, qs in shares.items()]).first() if shares else {}
+    out = {}
+    for name, c in zip(cols, values.columns):
+        if not asks[c]:
+            out[name] = [None] * len(probs)
+            continue
+        marks = dict(zip(shares[c], first[c]))
+        found = _ranked_values(values.select(c), c, counts[c], asks[c], marks)
+        if found is None:
+            rows = values.select(F.lit(name).alias("k"), F.col(c).alias("v"))
+            out[name] = list(group_quantiles(rows, ["k"], "v", probs, small=False).first()["quantiles"])
+            continue
+        ends = [(found[math.floor(a)], found[math.ceil(a)], a - math.floor(a)) for a in (float(p) * (counts[c] - 1) for p in probs)]
+        out[name] = [lo + (hi - lo) * part for lo, hi, part in ends]
+    return out
+
+
+def _around(rank: int, n: int, slack: float = 2e-4) -> tuple[float, float]:
+    at = rank / max(n - 1, 1)
+    return max(0.0, at - slack), min(1.0, at + slack)
+
+
+def _ranked_values(column: DataFrame, c: str, n: int, ranks: list[int], marks: dict[float, float]) -> dict | None:
+    """The values at zero-based ranks, from approximate marks around them; None when brackets do not close.
+
+    Each pass reads one column. A bracket with too many values is bracketed again inside itself.
+    """
+    v = F.col(c)
+    bounds = {r: tuple(marks[q] for q in _around(r, n)) for r in ranks}
+    found: dict[int, float] = {}
+    for _ in range(4):
+        todo = [r for r in ranks if r not in found]
+        if not todo:
+            return found
+        inside = {r: v.between(*bounds[r]) for r in todo}
+        sizes = {}
+        for start in range(0, len(todo), 15):
+            part = todo[start:start + 15]
+            row = column.agg(*[x for i, r in enumerate(part) for x in (
+                F.count_if(v < bounds[r][0]).alias(f"b{i}"), F.count_if(inside[r]).alias(f"m{i}"))]).first()
+            sizes.update({r: (row[f"b{i}"], row[f"m{i}"]) for i, r in enumerate(part)})
+        if any(not below <= r < below + m for r, (below, m) in sizes.items()):
+            return None
+        cond = inside[todo[0]]
+        for r in todo[1:]:
+            cond = cond | inside[r]
+        rows = column.where(cond).groupBy(c).agg(F.count(F.lit(1)).alias("n")).take(BRACKET_VALUES + 1)
+        if len(rows) <= BRACKET_VALUES:
+            pairs = sorted((x[0], x["n"]) for x in rows)
+            for r in todo:
+                at = sizes[r][0]
+                for value, times in pairs:
+                    if bounds[r][0] <= value <= bounds[r][1]:
+                        at += times
+                        if r < at:
+                            found[r] = value
+                            break
+            continue
+        finer = column.agg(*[
+            F.percentile_approx(F.when(inside[r], v), list(_around(r - sizes[r][0], sizes[r][1], 1e-4)), 20000).alias(f"q{i}")
+            for i, r in enumerate(todo)]).first()
+        bounds.update({r: tuple(finer[f"q{i}"]) for i, r in enumerate(todo)})
+    return found if all(r in found for r in ranks) else None
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],

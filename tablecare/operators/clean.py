@@ -170,8 +170,8 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
         c: (F.col(c) - F.lit(row[f"0_{c}"])) / F.lit(row[f"1_{c}"] or 1.0) for c in cols if row[f"0_{c}"] is not None})
 
 
-def quantile_normal(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Mid-rank share of each value mapped through the normal quantile, clipped at 1e-7.
+def quantile_share(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Mid-rank of each value over the row count, from 0 to 1.
 
     Ranks come from counts per distinct value and running totals; the values join back to the rows.
     """
@@ -179,8 +179,14 @@ def quantile_normal(df: DataFrame, col: str, out: str) -> DataFrame:
     ranked = running(counts, [], [col], {"_cum": ("sum", F.col("_c"))})
     total = df.select(F.count(col)).first()[0]
     share = (F.col("_cum") - (F.col("_c") + 1) / 2.0) / F.lit(max(total - 1, 1))
-    share = F.least(F.greatest(share, F.lit(1e-7)), F.lit(1 - 1e-7))
-    return attach(df, ranked.select(col, probit(share).alias(out)), [col])
+    return attach(df, ranked.select(col, share.alias(out)), [col])
+
+
+def quantile_normal(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Rank shares mapped through the normal quantile, clipped at 1e-7 from both ends."""
+    shared = quantile_share(df, col, "_share")
+    bounded = F.least(F.greatest(F.col("_share"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    return shared.withColumn(out, probit(bounded)).drop("_share")
 
 
 def power_value(c: Column, lam: float) -> Column:

@@ -12,7 +12,28 @@ from tablecare.functions.columns import (
     clip, has_word, is_missing, kind_of, melt_row, numeric_columns, rnd, sample_kurtosis, sample_skewness,
     sentinels_for, text_columns, PRICE_WORDS, SENTINELS)
 from tablecare.functions.ordered import quantiles, row_numbers, running
-from tablecare.session import is_small
+
+
+AGG_BATCH = 36
+
+
+def gather(df: DataFrame, aggs: dict[str, Column]) -> dict:
+    """Named aggregates as a dict, a few columns per pass.
+
+    One pass with too many aggregates compiles to a method the JVM will not optimise, and every pass reads
+    only its own columns, so several passes cost less than one.
+    """
+    names = list(aggs)
+    out: dict = {}
+    for start in range(0, len(names), AGG_BATCH):
+        part = names[start:start + AGG_BATCH]
+        out.update(df.agg(*[aggs[n].alias(n) for n in part]).first().asDict())
+    return out
+
+
+# Text that can be a number, and text that can start a date: a cheap test before a parse that may fail.
+NUMBER_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[dDfF]?\s*$|^\s*[+-]?([iI]nf(inity)?|[nN]a[nN])\s*$"
+DATE_TEXT = r"^\s*[+-]?[0-9]{4}"
 
 
 def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -27,61 +48,62 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Distinct non-missing values per column: exact through the long form, or approximate in one pass."""
+    """Distinct non-missing values per column, exact or approximate."""
     cols = cols or df.columns
-    if exact:
-        return value_counts(df, cols).groupBy("column").agg(F.count("value").alias("distinct"))
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in cols])
+    count = F.countDistinct if exact else F.approx_count_distinct
+    row = df.agg(*[count(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in cols])
     return melt_row(row, {c: {"distinct": c} for c in cols})
 
 
+# Rules compare distinct counts with fixed small numbers and with these shares of the rows.
+RULE_SHARES = (0.5, 0.9)
+FEW_VALUES = 5000
+
+
+def rule_distinct(df: DataFrame, rows: int, text: list[str]) -> dict[str, int]:
+    """Distinct counts exact wherever a rule can turn on them.
+
+    A cheap approximate pass finds the wide columns. Narrow columns, and text columns near a rule share, are
+    then counted exactly; for the others the approximation is far from every limit.
+    """
+    # A sketch over row hashes keeps one small binary buffer per column.
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~is_missing(df, c), F.xxhash64(f"`{c}`")), 12))
+    rough = {c: n or 0 for c, n in gather(df, {c: sketch(c) for c in df.columns}).items()}
+    near = [c for c, n in rough.items() if n < FEW_VALUES or (
+        c in text and rows and any(abs(n / rows - s) < 0.15 for s in RULE_SHARES))]
+    for start in range(0, len(near), 8):
+        part = near[start:start + 8]
+        rough.update(df.agg(*[F.countDistinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in part]).first().asDict())
+    return {c: int(n) for c, n in rough.items()}
+
+
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: counts, nulls, distinct values, moments, range and quartiles."""
     numeric = numeric_columns(df)
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
-    fields: dict[str, dict[str, str]] = {}
+    quarters = [0.25, 0.5, 0.75]
+    aggs = {"rows": F.count(F.lit(1))}
     for i, c in enumerate(df.columns):
-        col = F.col(f"`{c}`")
-        value = F.when(~is_missing(df, c), col)
-        aggs.append(F.count(value).alias(f"n{i}"))
-        outs = {"count": f"n{i}"}
+        value = F.when(~is_missing(df, c), F.col(f"`{c}`"))
+        aggs[f"n{i}"] = F.count(value)
         if c in numeric:
             d = value.cast("double")
-            aggs += [F.avg(d).alias(f"a{i}"), F.stddev_samp(d).alias(f"s{i}"), F.min(d).alias(f"lo{i}"), F.max(d).alias(f"hi{i}")]
-            outs.update(mean=f"a{i}", std=f"s{i}", min=f"lo{i}", max=f"hi{i}")
-        else:
-            aggs += [F.lit(None).cast("double").alias(f"x{i}")]
-            outs.update(mean=f"x{i}", std=f"x{i}", min=f"x{i}", max=f"x{i}")
-        fields[c] = {**outs, "rows": "_rows"}
-    quarters = [0.25, 0.5, 0.75]
+            aggs.update({f"a{i}": F.avg(d), f"s{i}": F.stddev_samp(d), f"lo{i}": F.min(d), f"hi{i}": F.max(d)})
+    row = gather(df, aggs)
+    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, exact=exact).collect()}
     if exact:
-        small = is_small(df)
-        if small:
-            for i, c in enumerate(df.columns):
-                q = F.percentile(F.col(f"`{c}`").cast("double"), F.array(*[F.lit(p) for p in quarters])) if c in numeric \
-                    else F.lit(None).cast("array<double>")
-                aggs.append(q.alias(f"q{i}"))
-        else:
-            found = quantiles(df, numeric, quarters, small=False)
-            for i, c in enumerate(df.columns):
-                aggs.append(F.lit(found.get(c)).cast("array<double>").alias(f"q{i}"))
+        found = quantiles(df, numeric, quarters)
     else:
-        for i, c in enumerate(df.columns):
-            q = F.percentile_approx(F.col(f"`{c}`").cast("double"), quarters, 10000) if c in numeric \
-                else F.lit(None).cast("array<double>")
-            aggs.append(q.alias(f"q{i}"))
-    for i, c in enumerate(df.columns):
-        fields[c]["_q"] = f"q{i}"
-    facts = melt_row(df.agg(*aggs), fields)
-    dtypes = F.create_map(*[x for c, t in df.dtypes for x in (F.lit(c), F.lit(t))])
-    return facts.join(distinct_counts(df, exact=exact), "column", "left").select(
-        "column", dtypes[F.col("column")].alias("dtype"), "count",
-        (F.col("rows") - F.col("count")).alias("nulls"),
-        ((F.col("rows") - F.col("count")) / F.col("rows")).alias("null_share"),
-        F.coalesce("distinct", F.lit(0)).alias("distinct"),
-        "mean", "std", "min", "max",
-        F.get("_q", F.lit(0)).alias("q25"), F.get("_q", F.lit(1)).alias("q50"), F.get("_q", F.lit(2)).alias("q75"),
-        (F.col("min") < 0).alias("has_negative"))
+        rough = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), quarters, 10000).alias(c) for c in numeric]).first()
+        found = {c: list(rough[c] or [None] * 3) for c in numeric}
+    rows = []
+    for i, (c, t) in enumerate(df.dtypes):
+        n, q = int(row[f"n{i}"]), found.get(c, [None] * 3)
+        low = row.get(f"lo{i}")
+        rows.append((c, t, n, row["rows"] - n, (row["rows"] - n) / row["rows"] if row["rows"] else None, distinct[c],
+                     row.get(f"a{i}"), row.get(f"s{i}"), low, row.get(f"hi{i}"), *q, None if low is None else low < 0))
+    return df.sparkSession.createDataFrame(
+        rows, "column string, dtype string, count bigint, nulls bigint, null_share double, distinct bigint, mean double, "
+              "std double, min double, max double, q25 double, q50 double, q75 double, has_negative boolean")
 
 
 def top_values(df: DataFrame, cols: list[str], k: int = 10) -> DataFrame:
@@ -191,6 +213,12 @@ def order_correlation(df: DataFrame, cols: list[str], order: list[str]) -> DataF
     return melt_row(row, {c: {"corr": c} for c in cols}).withColumn("leak_hint", F.abs("corr") > 0.99)
 
 
+def missing_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """(rows, missing cells per column) in one pass."""
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    return int(row["rows"]), {c: int(row[f"m{i}"]) for i, c in enumerate(df.columns)}
+
+
 class Facts:
     """Per-column facts of a table in a few passes; small, so rules run on it without touching rows again."""
 
@@ -200,33 +228,35 @@ class Facts:
         self.kinds = {c: kind_of(df, c) for c in df.columns}
         self.numeric = [c for c in df.columns if self.kinds[c] == "numeric"]
         self.text = [c for c in df.columns if self.kinds[c] == "text"]
-        aggs = [F.count(F.lit(1)).alias("rows")]
+        aggs = {"rows": F.count(F.lit(1))}
         for i, c in enumerate(df.columns):
             col = F.col(f"`{c}`")
-            aggs.append(F.count_if(is_missing(df, c)).alias(f"miss{i}"))
+            aggs[f"miss{i}"] = F.count_if(is_missing(df, c))
             if c in self.numeric:
                 d = col.cast("double")
-                aggs += [F.avg(d).alias(f"mean{i}"), F.stddev_samp(d).alias(f"std{i}"), sample_skewness(d).alias(f"skew{i}"),
-                         F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"),
-                         F.count_if(col < 0).alias(f"neg{i}"),
-                         F.count_if(col.isin(sentinels_for(c, sentinels))).alias(f"sent{i}")]
+                aggs.update({f"mean{i}": F.avg(d), f"std{i}": F.stddev_samp(d), f"skew{i}": F.skewness(d),
+                             f"min{i}": F.min(d), f"max{i}": F.max(d), f"neg{i}": F.count_if(col < 0),
+                             f"sent{i}": F.count_if(col.isin(sentinels_for(c, sentinels)))})
             if c in self.text:
-                aggs += [F.avg(F.length(col)).alias(f"len{i}"),
-                         F.avg(F.size(F.filter(F.split(col, r"\s+"), lambda x: x != ""))).alias(f"words{i}"),
-                         F.count_if(col.isNotNull() & col.try_cast("double").isNull()).alias(f"words_only{i}"),
-                         F.count_if(col.isNotNull() & F.try_to_timestamp(col).isNull()).alias(f"no_date{i}")]
-        row = df.agg(*aggs).first().asDict()
+                number = col.rlike(NUMBER_TEXT)
+                date = col.rlike(DATE_TEXT) & F.try_to_timestamp(col).isNotNull()
+                aggs.update({f"len{i}": F.avg(F.length(col)), f"words{i}": F.avg(F.regexp_count(col, F.lit(r"\S+"))),
+                             f"words_only{i}": F.count_if(~number), f"no_date{i}": F.count_if(~date)})
+        row = gather(df, aggs)
         self.rows = int(row["rows"])
-        distinct = {r["column"]: r["distinct"] for r in distinct_counts(df).collect()}
+        distinct = rule_distinct(df, self.rows, self.text)
         bounds = fences(df, self.numeric)
         found = [c for c in self.numeric if c in bounds]
         outliers = df.agg(*[F.count_if(outside(c, bounds[c])).alias(c) for c in found]).first().asDict() if found else {}
         self.col: dict[str, dict] = {}
         for i, c in enumerate(df.columns):
+            n, g = self.rows - int(row[f"miss{i}"]), row.get(f"skew{i}")
+            corrected = g * (n * (n - 1)) ** 0.5 / (n - 2) if g is not None and g == g and n > 2 else None
             self.col[c] = {
-                "kind": self.kinds[c], "missing": int(row[f"miss{i}"]), "distinct": int(distinct.get(c, 0)),
-                "outliers": int(outliers.get(c, 0)),
-                **{k: row.get(f"{k}{i}") for k in ("mean", "std", "skew", "min", "max", "neg", "sent", "len", "words", "words_only", "no_date")},
+                "kind": self.kinds[c], "missing": int(row[f"miss{i}"]), "distinct": distinct.get(c, 0),
+                "outliers": int(outliers.get(c, 0)), "skew": corrected,
+                **{k: row.get(f"{k}{i}") for k in ("mean", "std", "min", "max", "neg", "sent",
+                                                   "len", "words", "words_only", "no_date")},
             }
         self.duplicates = duplicate_count(df)[1] if duplicates else 0
 

@@ -97,7 +97,9 @@ def event_search(df: DataFrame, equal: dict | None = None, time: str = "ts", sta
 def flag_numeric_text(df: DataFrame) -> DataFrame:
     """Per text column, values that are not numbers; a column is numeric when there are none."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    row = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in cols])
+    from tablecare.operators.profile import NUMBER_TEXT
+
+    row = df.agg(*[F.count_if(~F.col(c).rlike(NUMBER_TEXT)).alias(c) for c in cols])
     return melt_row(row, {c: {"not_numbers": c} for c in cols}).withColumn("numeric_only", F.col("not_numbers") == 0)
 
 

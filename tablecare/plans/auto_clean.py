@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tablecare.functions.columns import PRICE_WORDS, has_word
-from tablecare.operators.profile import Facts, duplicate_count
-from tablecare.operators.quality import local_stats
+from tablecare.functions.columns import has_word, kind_of, numeric_columns
+from tablecare.operators.profile import Facts, missing_counts, outlier_counts
+from tablecare.operators.quality import local_stats, recommendations
 from tablecare.plans.cleaning_plan import Step, replay
 
 # Outlier steps leave these columns alone in retail data.
@@ -21,10 +21,12 @@ def _fill_step(c: str, numeric: bool, by: str | None) -> Step:
     return Step("fill_missing", c, {"method": "median"})
 
 
-def auto_clean(df: DataFrame, sector: str = "general", by: str = "category") -> tuple[DataFrame, dict]:
+def auto_clean(df: DataFrame, sector: str = "general", by: str = "category",
+               protect: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
     """Duplicates, sentinels, negative prices, sparse columns, fills and clips, with a step report.
 
-    Statistics are taken over the whole table at each stage, never per part.
+    Statistics are taken over the whole table at each stage, never per part. Columns in ``protect`` (keys)
+    keep their values.
     """
     retail = sector == "retail"
     before = Facts(df)
@@ -32,26 +34,29 @@ def auto_clean(df: DataFrame, sector: str = "general", by: str = "category") ->
     if before.duplicates:
         steps.append(Step("remove_duplicates"))
     if retail:
-        steps += [Step("handle_sentinels", c) for c in before.sentinel_columns()]
-        steps += [Step("fix_negative_prices", c, {"by": by}) for c in before.negative_prices()]
+        steps += [Step("handle_sentinels", c) for c in before.sentinel_columns() if c not in protect]
+        steps += [Step("fix_negative_prices", c, {"by": by}) for c in before.negative_prices() if c not in protect]
     cleaned, log = replay(df, steps)
 
-    middle = Facts(cleaned, duplicates=False) if steps else before
+    rows, missing = missing_counts(cleaned)
+    kinds = {c: kind_of(cleaned, c) for c in cleaned.columns}
     group = by if retail and by in df.columns else None
-    steps = [Step("remove_column", c) for c in middle.columns if middle.missing_of(c) > 0.5]
-    steps += [_fill_step(c, c in middle.numeric, group) for c in middle.columns
-              if 0 < middle.missing_of(c) <= 0.5 and middle.kinds[c] in ("numeric", "text")]
+    open_ = [c for c in cleaned.columns if c not in protect]
+    steps = [Step("remove_column", c) for c in open_ if missing[c] > 0.5 * rows]
+    steps += [_fill_step(c, kinds[c] == "numeric", group) for c in open_
+              if 0 < missing[c] <= 0.5 * rows and kinds[c] in ("numeric", "text")]
     cleaned, more = replay(cleaned, steps)
     log += more
 
-    after = Facts(cleaned, duplicates=False) if steps else middle
-    clips = [Step("handle_outliers", c, {"method": "clip"}) for c in after.numeric
-             if after.outlier_share(c) > 0.05 and not (retail and has_word(c, SKIP_WORDS))]
-    cleaned, more = replay(cleaned, clips)
+    free = [c for c in numeric_columns(cleaned) if c not in protect and not (retail and has_word(c, SKIP_WORDS))]
+    shares = {r["column"]: r["share"] for r in outlier_counts(cleaned, free).collect()} if free else {}
+    cleaned, more = replay(cleaned, [Step("handle_outliers", c, {"method": "clip"}) for c in free if shares.get(c, 0) > 0.05])
     log += more
+    # Fills leave nulls only where a whole group had no value; counted on the result.
+    left = sum(missing_counts(cleaned)[1].values())
     report = {
         "quality_before": local_stats(before)["quality_score"],
-        "quality_after": 100 - after.missing_share * 100,
+        "quality_after": 100 - left / max(rows * len(cleaned.columns), 1) * 100,
         "steps": log,
     }
     return cleaned, report
@@ -67,21 +72,27 @@ def basic_clean(df: DataFrame) -> tuple[DataFrame, list[dict]]:
     return replay(df, steps)
 
 
-def clean_from_recommendations(df: DataFrame, recs: list[tuple], by: str = "category") -> tuple[DataFrame, list[dict]]:
-    """Turn recommendation rows (priority, category, column, action) into plan steps, in their order."""
-    group = by if by in df.columns else None
-    numeric = [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint")]
+def clean_from_recommendations(facts: Facts, by: str = "category", protect: tuple[str, ...] = (),
+                               general: int = 3) -> tuple[DataFrame, list[dict]]:
+    """Turn the recommendations for a table into plan steps, special ones first, then the first general ones."""
+    recs = recommendations(facts)
+    special = [r for r in recs if r[1] in ("sentinel_handling", "price_correction", "imputation_strategy")]
+    rest = [r for r in recs if r not in special][:general]
+    group = by if by in facts.columns else None
+    gaps = [c for c in facts.columns if facts.col[c]["missing"] and c not in protect]
     steps: list[Step] = []
-    for _, category, column, _ in recs:
+    for _, category, column, _ in special + rest:
+        if column in protect:
+            continue
         if category == "sentinel_handling":
             steps += [Step("handle_sentinels", column), _fill_step(column, True, group)]
         elif category == "price_correction":
             steps.append(Step("fix_negative_prices", column, {"by": by}))
         elif category == "imputation_strategy" and group:
-            steps += [_fill_step(c, True, group) for c in numeric]
+            steps += [_fill_step(c, True, group) for c in gaps if c in facts.numeric]
         elif category == "missing_data":
-            steps += [_fill_step(c, c in numeric, None) for c in df.columns
-                      if c in numeric or dict(df.dtypes)[c] == "string"]
+            steps += [_fill_step(c, c in facts.numeric, None) for c in gaps if facts.kinds[c] in ("numeric", "text")]
         elif category == "outliers":
-            steps += [Step("handle_outliers", c, {"method": "clip"}) for c in numeric if not has_word(c, SKIP_WORDS)]
-    return replay(df, steps)
+            steps += [Step("handle_outliers", c, {"method": "clip"}) for c in facts.numeric
+                      if not has_word(c, SKIP_WORDS) and c not in protect]
+    return replay(facts.df, steps)

@@ -31,7 +31,7 @@ def facts_sql(view: str, cols: dict[str, str]) -> str:
             price = has_word(c, PRICE_WORDS)
             sent = ",".join(str(s) for s in sentinels_for(c))
             more = (f"count_if({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers, "
-                    f"count_if({c} IN ({sent})) AS sentinels, "
+                    f"count_if(coalesce({c} IN ({sent}), false)) AS sentinels, "
                     f"{f'count_if({c} < 0)' if price else '0'} AS negatives, "
                     f"stddev_samp({c}) AS std, skewness({c}) AS skew")
             source = (f"{view}, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.75) AS q3 "
