@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tablecare.queries import quality, cleaning  # noqa: F401
+from tablecare.queries import quality, cleaning, features  # noqa: F401
 from tablecare.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
