@@ -78,7 +78,7 @@ _daily_order = "OVER (PARTITION BY o_orderpriority ORDER BY day{f})"
 
 def _dr(n, fn):
     f = _daily_order.format(f=f" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
-    return f"CASE WHEN count(total) {f} = {n} THEN round({fn}(total) {f}, {0 if 'std' in fn else 2}) + 0.0 END"
+    return f"CASE WHEN count(total) {f} = {n} THEN round({fn}(total) {f}, {0 if 'std' in fn else 4}) + 0.0 END"
 
 
 _ts_cols = [f"lag(total, {n}) {_daily_order.format(f='')} AS total_lag_{n}" for n in (1, 7, 14, 30)]
@@ -95,7 +95,7 @@ def fea_time_series(spark, d):
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
     out = fe.time_series_features(daily, "day", "total", ["o_orderpriority"], ["day"])
     whole = [c for c in out.columns if c.startswith("day_")]
-    return out.withColumns({**{c: rnd(c, 0 if "std" in c else 2) for c in out.columns if "rolling" in c},
+    return out.withColumns({**{c: rnd(c, 0 if "std" in c else 4) for c in out.columns if "rolling" in c},
                             **{c: F.col(c).cast("bigint") for c in whole}})
 
 
