@@ -120,13 +120,13 @@ def framed(df: DataFrame, keys: list[str], order: list[str], span: int, build) -
     hot = F.broadcast(hot)
     cold_part = plain(df.join(hot, keys, "left_anti"))
     size = max(block_rows(df.sparkSession), span)
-    numbered = row_numbers(df.join(hot, keys, "left_semi"), keys, order, small=False)
-    at = F.col("_rn") - 1
+    numbered = row_numbers(df.join(hot, keys, "left_semi"), keys, order, "_frame_rn", small=False)
+    at = F.col("_frame_rn") - 1
     block = F.floor(at / size)
     blocks = F.when(at % size >= size - span, F.array(block, block + 1)).otherwise(F.array(block))
-    led = numbered.withColumn("_home", block).withColumn("_block", F.explode(blocks))
-    hot_part = led.withColumns(build(W.partitionBy(*keys, "_block").orderBy(*by)))
-    hot_part = hot_part.where(F.col("_home") == F.col("_block")).drop("_rn", "_home", "_block")
+    led = numbered.withColumn("_frame_home", block).withColumn("_frame_block", F.explode(blocks))
+    hot_part = led.withColumns(build(W.partitionBy(*keys, "_frame_block").orderBy(*by)))
+    hot_part = hot_part.where(F.col("_frame_home") == F.col("_frame_block")).drop("_frame_rn", "_frame_home", "_frame_block")
     return cold_part.unionByName(hot_part)
 
 

@@ -97,9 +97,17 @@ def _path_c(n: float) -> float:
 def fit_isolation_forest(df: DataFrame, cols: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> list[dict]:
     """Trees on small random samples, grown in parallel; at most trees x 2 x sample nodes come back."""
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    picked = rows.orderBy(F.rand(seed)).limit(trees * sample)
-    spread = picked.withColumn("tree", F.pmod(F.monotonically_increasing_id(), F.lit(trees)).cast("int"))
-    depth = math.ceil(math.log2(sample))
+    picked = settle(rows.orderBy(F.rand(seed)).limit(trees * sample).withColumn("_pos", F.monotonically_increasing_id()))
+    pool = picked.count()
+    # A small table has fewer rows than the trees want: each row then goes to several trees, chosen by hash.
+    times = max(1, round(trees * min(sample, pool) / max(pool, 1)))
+    if times == 1:
+        spread = picked.withColumn("tree", F.pmod("_pos", F.lit(trees)).cast("int"))
+    else:
+        ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64("_pos", t, F.lit(seed)).alias("h"), t.alias("t"))))
+        spread = picked.withColumn("_t", F.explode(F.slice(ranked, 1, times))).withColumn("tree", F.col("_t.t").cast("int"))
+    spread = spread.select("tree", *cols)
+    depth = math.ceil(math.log2(max(2, min(sample, pool))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -121,16 +129,16 @@ def fit_isolation_forest(df: DataFrame, cols: list[str], trees: int = 100, sampl
 
         split(np.arange(len(x)), 0)
         f, c, left, right, p = zip(*nodes)
-        return pd.DataFrame({"tree": [tree], "feature": [list(f)], "cut": [list(c)], "left": [list(left)], "right": [list(right)], "path": [list(p)]})
+        return pd.DataFrame({"tree": [tree], "feature": [list(f)], "cut": [list(c)], "left": [list(left)], "right": [list(right)], "path": [list(p)], "size": [len(x)]})
 
-    schema = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>"
+    schema = "tree int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>, size int"
     return [r.asDict() for r in spread.groupBy("tree").applyInPandas(grow, schema).collect()]
 
 
-def isolation_scores(df: DataFrame, cols: list[str], forest: list[dict], sample: int = 256, out: str = "score") -> DataFrame:
+def isolation_scores(df: DataFrame, cols: list[str], forest: list[dict], out: str = "score") -> DataFrame:
     """Anomaly score in (0, 1) per row; null where a column is missing."""
     trees = [{k: np.array(t[k]) for k in ("feature", "cut", "left", "right", "path")} for t in forest]
-    norm = _path_c(sample)
+    norm = _path_c(sum(t["size"] for t in forest) / max(len(forest), 1)) or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def score(values: pd.Series) -> pd.Series:

@@ -62,6 +62,11 @@ class Preprocess:
             for c in self.medians:
                 a, b = row[f"0_{c}"], row[f"1_{c}"]
                 self.centers[c] = (a, (b if self.scaling == "standard" else b - a) or 1.0)
+        # Ordinal columns always go to 0..1.
+        ranks = [c for c, k in self.types.items() if k == "ordinal" and c in self.medians]
+        if ranks:
+            row = gather(cleaned, {f"{i}_{c}": f(F.col(c).cast("double")) for c in ranks for i, f in enumerate((F.min, F.max))})
+            self.centers.update({c: (row[f"0_{c}"], (row[f"1_{c}"] - row[f"0_{c}"]) or 1.0) for c in ranks})
         text = [c for c, k in self.types.items() if k in ("categorical", "binary") and c not in facts.numeric]
         for c in text:
             counts = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("v")).agg(F.count(F.lit(1)).alias("n"))

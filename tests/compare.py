@@ -1,6 +1,6 @@
 """Run queries beside their DuckDB SQL and compare names, row counts and values.
 
-Usage: python -m tests.compare [sf dir] [name prefix ...]
+Usage: [COMPARE_CONF=key=value,...] python -m tests.compare [sf dir] [name prefix ...]
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 import traceback
@@ -78,7 +79,8 @@ def main(argv):
     prefixes = argv[1:]
     spark = get_spark("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false",
+        **dict(kv.split("=", 1) for kv in os.environ.get("COMPARE_CONF", "").split(",") if kv)})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
