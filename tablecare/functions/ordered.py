@@ -157,41 +157,104 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], small: bool |
     return _bracketed_quantiles(values, cols, probs)
 
 
+ACCURACY = 2000
+SLACK = 1e-3
+COUNT_BATCH = 18
+
+
 def _bracketed_quantiles(values: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float]]:
-    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
-    asks = {}
-    for c in values.columns:
-        at = [float(p) * (counts[c] - 1) for p in probs] if counts[c] else []
-        asks[c] = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
-    shares = {c: sorted({q for r in asks[c] for q in _around(r, counts[c])}) for c in asks if asks[c]}
-    first = values.agg(*[F.percentile_approx(c, qs, 20000).alias(c) for c, qs in shares.items()]).first() if shares else {}
+    """Four passes for all columns together; a column whose brackets do not close goes on alone."""
+    names = values.columns
+    marks = sorted({q for p in probs for q in (max(0.0, p - SLACK), min(1.0, p + SLACK))})
+    row = values.agg(*[x for c in names for x in (F.count(c).alias(f"n_{c}"), F.percentile_approx(c, marks, ACCURACY).alias(c))]).first()
+    counts = {c: row[f"n_{c}"] for c in names}
+    brackets: list[tuple[str, float, float, float]] = []
+    for c in names:
+        if counts[c]:
+            at = dict(zip(marks, row[c]))
+            brackets += [(c, p, at[max(0.0, p - SLACK)], at[min(1.0, p + SLACK)]) for p in probs]
+    sizes = _bracket_sizes(values, brackets)
+    pairs = _bracket_values(values, brackets)
     out = {}
-    for name, c in zip(cols, values.columns):
-        if not asks[c]:
+    for name, c in zip(cols, names):
+        if not counts[c]:
             out[name] = [None] * len(probs)
             continue
-        marks = dict(zip(shares[c], first[c]))
-        found = _ranked_values(values.select(c), c, counts[c], asks[c], marks)
+        ranks = sorted({r for p in probs for r in (math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1)))})
+        found: dict[int, float] = {}
+        if c in pairs:
+            for _, p, lo, hi in [b for b in brackets if b[0] == c]:
+                below, inside = sizes[(c, p)]
+                for r in {math.floor(p * (counts[c] - 1)), math.ceil(p * (counts[c] - 1))}:
+                    if below <= r < below + inside:
+                        found[r] = _value_at(r - below, pairs[c], lo, hi)
+        if any(r not in found for r in ranks):
+            found = _ranked_values(values.select(c), c, counts[c], ranks)
         if found is None:
             rows = values.select(F.lit(name).alias("k"), F.col(c).alias("v"))
             out[name] = list(group_quantiles(rows, ["k"], "v", probs, small=False).first()["quantiles"])
             continue
-        ends = [(found[math.floor(a)], found[math.ceil(a)], a - math.floor(a)) for a in (float(p) * (counts[c] - 1) for p in probs)]
+        ends = [(found[math.floor(a)], found[math.ceil(a)], a - math.floor(a)) for a in (p * (counts[c] - 1) for p in probs)]
         out[name] = [lo + (hi - lo) * part for lo, hi, part in ends]
     return out
 
 
-def _around(rank: int, n: int, slack: float = 2e-4) -> tuple[float, float]:
+def _bracket_sizes(values: DataFrame, brackets) -> dict:
+    """(rows under, rows inside) per bracket; equal brackets are counted once, a few per pass."""
+    sizes = {}
+    each = sorted({(c, lo, hi) for c, _, lo, hi in brackets})
+    for start in range(0, len(each), COUNT_BATCH):
+        part = each[start:start + COUNT_BATCH]
+        row = values.agg(*[x for i, (c, lo, hi) in enumerate(part) for x in (
+            F.count_if(F.col(c) < lo).alias(f"b{i}"), F.count_if(F.col(c).between(lo, hi)).alias(f"m{i}"))]).first()
+        sizes.update({b: (row[f"b{i}"], row[f"m{i}"]) for i, b in enumerate(part)})
+    return {(c, p): sizes[(c, lo, hi)] for c, p, lo, hi in brackets}
+
+
+def _bracket_values(values: DataFrame, brackets) -> dict[str, list[tuple[float, int]]]:
+    """Sorted (value, count) pairs inside the brackets of each column; one job whose branches read one column each."""
+    branches = None
+    names = sorted({c for c, *_ in brackets})
+    for c in names:
+        cond = F.lit(False)
+        for lo, hi in sorted({(lo, hi) for n, _, lo, hi in brackets if n == c}):
+            cond = cond | F.col(c).between(lo, hi)
+        part = values.where(cond).groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("c"), "v", "n")
+        branches = part if branches is None else branches.unionByName(part)
+    if branches is None:
+        return {}
+    rows = branches.take(BRACKET_VALUES + 1)
+    if len(rows) > BRACKET_VALUES:
+        return {}  # too many to read at once: every column goes on alone
+    out: dict[str, list] = {c: [] for c in names}
+    for r in rows:
+        out[r["c"]].append((r["v"], r["n"]))
+    return {c: sorted(v) for c, v in out.items()}
+
+
+def _value_at(position: int, pairs: list[tuple[float, int]], lo: float, hi: float) -> float:
+    at = 0
+    for value, times in pairs:
+        if lo <= value <= hi:
+            at += times
+            if position < at:
+                return value
+    raise ValueError("position outside the bracket")
+
+
+def _around(rank: int, n: int, slack: float = SLACK) -> tuple[float, float]:
     at = rank / max(n - 1, 1)
     return max(0.0, at - slack), min(1.0, at + slack)
 
 
-def _ranked_values(column: DataFrame, c: str, n: int, ranks: list[int], marks: dict[float, float]) -> dict | None:
-    """The values at zero-based ranks, from approximate marks around them; None when brackets do not close.
+def _ranked_values(column: DataFrame, c: str, n: int, ranks: list[int]) -> dict | None:
+    """The values at zero-based ranks of one column, from approximate marks around them; None when brackets do not close.
 
     Each pass reads one column. A bracket with too many values is bracketed again inside itself.
     """
     v = F.col(c)
+    shares = sorted({q for r in ranks for q in _around(r, n)})
+    marks = dict(zip(shares, column.agg(F.percentile_approx(c, shares, ACCURACY)).first()[0]))
     bounds = {r: tuple(marks[q] for q in _around(r, n)) for r in ranks}
     found: dict[int, float] = {}
     for _ in range(4):
@@ -213,17 +276,10 @@ def _ranked_values(column: DataFrame, c: str, n: int, ranks: list[int], marks: d
         rows = column.where(cond).groupBy(c).agg(F.count(F.lit(1)).alias("n")).take(BRACKET_VALUES + 1)
         if len(rows) <= BRACKET_VALUES:
             pairs = sorted((x[0], x["n"]) for x in rows)
-            for r in todo:
-                at = sizes[r][0]
-                for value, times in pairs:
-                    if bounds[r][0] <= value <= bounds[r][1]:
-                        at += times
-                        if r < at:
-                            found[r] = value
-                            break
+            found.update({r: _value_at(r - sizes[r][0], pairs, *bounds[r]) for r in todo})
             continue
         finer = column.agg(*[
-            F.percentile_approx(F.when(inside[r], v), list(_around(r - sizes[r][0], sizes[r][1], 1e-4)), 20000).alias(f"q{i}")
+            F.percentile_approx(F.when(inside[r], v), list(_around(r - sizes[r][0], sizes[r][1])), ACCURACY).alias(f"q{i}")
             for i, r in enumerate(todo)]).first()
         bounds.update({r: tuple(finer[f"q{i}"]) for i, r in enumerate(todo)})
     return found if all(r in found for r in ranks) else None

@@ -178,30 +178,42 @@ def log_columns(df: DataFrame, cols: list[str], cap: int = 25) -> dict[str, Colu
     return out
 
 
-def row_statistics(cols: list[str]) -> dict[str, Column]:
-    """Statistics over the columns of one row; missing cells are skipped."""
-    vals = F.array_compact(F.array(*[F.col(c).cast("double") for c in cols]))
-    n = F.size(vals).cast("double")
-
-    def power_sum(k: int, mean: Column) -> Column:
-        terms = F.transform(vals, lambda x: (x - mean) if k == 1 else F.pow(x - mean, F.lit(float(k))))
-        return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-
-    total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.nullif(n, F.lit(0.0))
-    m2, m3, m4 = (power_sum(k, mean) for k in (2, 3, 4))
-    ranked = F.array_sort(vals)
+ROW_STATISTICS = ("row_mean", "row_std", "row_max", "row_min", "row_median", "row_sum", "row_skew", "row_kurt",
+                  "row_zeros", "row_positives", "row_negatives")
+
+
+def row_statistics(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Statistics over the columns of one row; missing cells are skipped.
+
+    Plain arithmetic in stages: each stage uses columns of the one before, so nothing is worked out twice.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    zero = F.lit(0.0)
+    total = lambda terms: sum(terms, zero)
+    count = lambda cond: total(F.when(cond(v), 1.0).otherwise(0.0) for v in x.values())
+    out = df.withColumns({
+        "_n": count(lambda v: v.isNotNull()), "row_sum": total(F.coalesce(v, zero) for v in x.values()),
+        "_sorted": F.sort_array(F.array_compact(F.array(*x.values()))),
+        "row_zeros": count(lambda v: v == 0).cast("int"), "row_positives": count(lambda v: v > 0).cast("int"),
+        "row_negatives": count(lambda v: v < 0).cast("int"),
+    })
+    n = F.col("_n")
+    out = out.withColumn("row_mean", F.col("row_sum") / F.nullif(n, zero))
+    out = out.withColumns({f"_d{i}": F.coalesce(v - F.col("row_mean"), zero) for i, v in enumerate(x.values())})
+    square = [F.col(f"_d{i}") * F.col(f"_d{i}") for i in range(len(cols))]
+    out = out.withColumns({
+        "_m2": total(square), "_m3": total(q * F.col(f"_d{i}") for i, q in enumerate(square)), "_m4": total(q * q for q in square)})
+    m2, m3, m4 = F.col("_m2"), F.col("_m3"), F.col("_m4")
     half = (n / 2).cast("int")
-    median = F.when(n == 0, None).when(n % 2 == 1, F.get(ranked, half)).otherwise((F.get(ranked, half - 1) + F.get(ranked, half)) / 2)
-    var = m2 / F.nullif(n - 1, F.lit(0.0))
-    skew = F.when((n > 2) & (m2 > 0), F.sqrt(n * (n - 1)) / (n - 2) * (m3 / n) / F.pow(m2 / n, F.lit(1.5)))
-    kurt = F.when((n > 3) & (m2 > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * ((m4 / n) / F.pow(m2 / n, F.lit(2.0)) - 3) + 6))
-    count = lambda cond: F.size(F.filter(vals, cond))
-    return {
-        "row_mean": mean, "row_std": F.sqrt(var), "row_max": F.array_max(vals), "row_min": F.array_min(vals),
-        "row_median": median, "row_sum": total, "row_skew": skew, "row_kurt": kurt,
-        "row_zeros": count(lambda x: x == 0), "row_positives": count(lambda x: x > 0), "row_negatives": count(lambda x: x < 0),
-    }
+    at = lambda i: F.get("_sorted", i)
+    spread = m2 > 0
+    out = out.withColumns({
+        "row_std": F.sqrt(m2 / F.nullif(n - 1, zero)), "row_max": F.get("_sorted", (n - 1).cast("int")), "row_min": at(F.lit(0)),
+        "row_median": F.when(n % 2 == 1, at(half)).otherwise((at(half - 1) + at(half)) / 2),
+        "row_skew": F.when((n > 2) & spread, F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2) * (m3 / n) / F.pow(m2 / n, F.lit(1.5))),
+        "row_kurt": F.when((n > 3) & spread, (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * ((m4 / n) / ((m2 / n) * (m2 / n)) - 3) + 6)),
+    })
+    return out.select(*df.columns, *ROW_STATISTICS)
 
 
 def bin_edges(df: DataFrame, cols: list[str], bins: int = 10) -> dict[str, list[float]]:

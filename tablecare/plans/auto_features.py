@@ -15,6 +15,7 @@ class AutoFeatures:
     def __init__(self, max_features: int = 100, threshold: float = 0.01):
         self.max_features, self.threshold = max_features, threshold
         self.numeric: list[str] = []
+        self.rows = False
         self.columns: dict[str, Column] = {}
         self.selected: list[str] = []
 
@@ -31,7 +32,8 @@ class AutoFeatures:
         if "log" in families:
             made.update(fe.log_columns(df, self.numeric))
         if "row" in families:
-            made.update(fe.row_statistics(self.numeric))
+            self.rows = True
+            made.update({c: F.col(c) for c in fe.ROW_STATISTICS})
         if "bins" in families:
             made.update(fe.bin_columns(fe.bin_edges(df, self.numeric[:10])))
         base = {c: F.col(c) for c in self.numeric}
@@ -43,14 +45,17 @@ class AutoFeatures:
         self.selected = kept
         return self
 
+    def _ready(self, df: DataFrame) -> DataFrame:
+        return fe.row_statistics(df, self.numeric) if self.rows else df
+
     def _variances(self, df: DataFrame, batch: int = 30) -> dict[str, float]:
         names = list(self.columns)
         out: dict[str, float] = {}
         for start in range(0, len(names), batch):
             part = names[start:start + batch]
-            row = df.agg(*[F.var_pop(F.coalesce(self.columns[c].cast("double"), F.lit(0.0))).alias(f"v{i}") for i, c in enumerate(part)]).first()
+            row = self._ready(df).agg(*[F.var_pop(F.coalesce(self.columns[c].cast("double"), F.lit(0.0))).alias(f"v{i}") for i, c in enumerate(part)]).first()
             out.update({c: row[i] for i, c in enumerate(part)})
         return out
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        return df.select(*(keep or []), *[self.columns[c].alias(c) for c in self.selected])
+        return self._ready(df).select(*(keep or []), *[self.columns[c].alias(c) for c in self.selected])

@@ -192,7 +192,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(list_avg(v), 6) AS
   0::BIGINT AS row_negatives
 FROM (SELECT *, {_ARR} AS v FROM lineitem)""")
 def fea_row_stats(spark, d):
-    out = _li(spark, d).select(*ROW, *[c.alias(n) for n, c in fe.row_statistics(NUM).items()])
+    out = fe.row_statistics(_li(spark, d), NUM).drop(*NUM)
     return out.withColumns({
         **{c: rnd(c) for c in ("row_mean", "row_std", "row_median", "row_sum")}, **{c: rnd(c, 4) for c in ("row_skew", "row_kurt")},
         **{c: F.col(c).cast("bigint") for c in ("row_zeros", "row_positives", "row_negatives")}})
