@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablecare.functions.params import attach
 from tablecare.session import block_rows, is_small, settle, small_rows
 
 _WITHIN = {
@@ -148,8 +149,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], small: bool |
     values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     values = values.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in values.columns])
     if small is None:
-        limit = min(small_rows(df.sparkSession), PERCENTILE_ROWS)
-        small = limit > 0 and df.count() <= limit
+        small = is_small(df, PERCENTILE_ROWS)
     if small:
         args = F.array(*[F.lit(float(p)) for p in probs])
         row = values.agg(*[F.percentile(c, args).alias(c) for c in values.columns]).first()
@@ -303,7 +303,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     marks = ranks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_at"))).alias("_marks"))
     # A value covers the zero-based ranks from cum - count to cum - 1.
     first, last = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
-    joined = cum.join(marks, keys)
+    joined = attach(cum, marks, keys, "inner")
     hits = joined.select(*keys, F.col(value).alias("_v"), first.alias("_f"), last.alias("_l"),
                          F.explode("_marks").alias("_m"))
     hits = hits.select(*keys, "_v", F.col("_m._i").alias("_i"), F.col("_m._at").alias("_at"), "_f", "_l")

@@ -44,7 +44,8 @@ def chi2_table(counts: DataFrame, keys: list[str]) -> DataFrame:
     if not keys:
         return chi2_table(counts.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
     totals = counts.groupBy(*keys).agg(F.sum("n_a").alias("_a"), F.sum("n_b").alias("_b"), F.count(F.lit(1)).alias("_k"))
-    joined = counts.join(totals, keys)
+    # One row per feature: bounded by the number of columns.
+    joined = counts.join(F.broadcast(totals), keys)
     n, row = F.col("_a") + F.col("_b"), F.col("n_a") + F.col("n_b")
 
     def cell(obs: str, side: str) -> Column:
@@ -71,7 +72,7 @@ def chi2_smoothed(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
         "feature", "value", (F.col("n_cur") + 1).alias("o"), (F.col("n_ref") + 1).alias("e"))
     totals = counts.groupBy("feature").agg(F.sum("o").alias("_o"), F.sum("e").alias("_e"))
     e = F.col("e") * F.col("_o") / F.col("_e")
-    out = counts.join(totals, "feature").groupBy("feature").agg(
+    out = counts.join(F.broadcast(totals), "feature").groupBy("feature").agg(
         F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("statistic"), (F.count(F.lit(1)) - 1).alias("dof"))
     return out.withColumn("p_value", chi2_p("statistic", F.col("dof").cast("double")))
 
@@ -109,7 +110,7 @@ def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10, cut: fl
 
 def _shares(counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("feature").agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
-    return counts.join(totals, "feature").select("feature", (F.col("n_ref") / F.col("_r")).alias("p_ref"),
+    return counts.join(F.broadcast(totals), "feature").select("feature", (F.col("n_ref") / F.col("_r")).alias("p_ref"),
                                                  (F.col("n_cur") / F.col("_c")).alias("p_cur"))
 
 

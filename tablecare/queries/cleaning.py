@@ -14,6 +14,7 @@ from tablecare.plans.auto_clean import auto_clean, clean_from_recommendations
 from tablecare.plans.cleaning_plan import Step, replay
 from tablecare.queries.quality import _TEXT_EVENTS, text_events, union
 from tablecare.queries.registry import query, with_views
+from tablecare.queries.sqlfacts import CUSTOMER, facts_sql
 
 DIRTY = dict(dirty=tb.DIRTY_LINEITEM)
 
@@ -155,12 +156,17 @@ def prj_validate_input(spark, d):
                              {"p_size": "double", "p_retailprice": "double"})
 
 
-@query("prj_schema_check", """
-SELECT 'schema_mismatch' AS issue, 'c_name' AS "column", 15::BIGINT AS points UNION ALL SELECT 'missing_column', 'c_age', 20""")
+@query("prj_schema_check", with_views("""
+SELECT 'schema_mismatch' AS "check", 'c_name' AS "column", 'high' AS severity, 15.0::DOUBLE AS penalty UNION ALL SELECT 'missing_column', 'c_age', 'high', 20
+UNION ALL SELECT 'outliers', "column", 'warning', 0 FROM facts WHERE kind = 'numeric' AND outliers::DOUBLE / n_rows > 0.01
+UNION ALL SELECT 'constant_column', "column", 'warning', 0 FROM facts WHERE n_distinct = 1
+UNION ALL SELECT 'high_cardinality', "column", 'warning', 0 FROM facts WHERE kind = 'text' AND n_distinct::DOUBLE / n_rows > 0.5
+UNION ALL SELECT 'score', NULL, 'valid', 65 - CASE WHEN sum(missing) > 0 THEN 10 ELSE 0 END FROM facts""", facts=facts_sql("customer", CUSTOMER)))
 def prj_schema_check(spark, d):
-    rows = pj.schema_issues(tb.load(spark, d, "customer"), {
-        "c_custkey": "double", "c_name": "double", "c_nationkey": "bigint", "c_acctbal": "double", "c_age": "int"})
-    return spark.createDataFrame(rows, "issue string, column string, points bigint")
+    """The expected schema beside the other checks of the production score."""
+    df = tb.load(spark, d, "customer")
+    issues = pj.schema_issues(df, {"c_custkey": "double", "c_name": "double", "c_nationkey": "bigint", "c_acctbal": "double", "c_age": "int"})
+    return ql.monitor_report(pf.Facts(df), issues).table(spark)
 
 
 @query("prj_missing_pattern", with_views("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from tablecare.operators import windows as wn
 from tablecare.plans.auto_features import AutoFeatures
 from tablecare.queries.quality import union
 from tablecare.queries.registry import query, with_views
+from tablecare.session import shared_folder
 from tablecare.sources.feature_store import FeatureStore, as_of, feature_history, latest_view
 
 EV = ["ts", "event_id"]
@@ -23,11 +24,8 @@ NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def work_folder(spark) -> str:
-    """A fresh folder: beside the checkpoints where the cluster names a shared one, else a temporary one."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/tablecare-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="tablecare-work-")
+    """A fresh folder beside the checkpoints."""
+    return f"{shared_folder(spark)}/tablecare-{uuid.uuid4().hex}"
 
 
 def _cyc(fn, part, n):
@@ -382,10 +380,10 @@ def fst_asof(spark, d):
 
 @query("jon_full_outer", """
 SELECT coalesce(c_custkey, o_custkey) AS key, c_acctbal, total FROM customer FULL OUTER JOIN
- (SELECT o_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1) o ON c_custkey = o_custkey""")
+ (SELECT o_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) o ON c_custkey = o_custkey""")
 def jon_full_outer(spark, d):
     cust = tb.load(spark, d, "customer").select(F.col("c_custkey").alias("key"), "c_acctbal")
-    orders = tb.load(spark, d, "orders").where("o_custkey % 3 <> 0").groupBy(F.col("o_custkey").alias("key")).agg(
+    orders = tb.load(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("key")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
     return jn.outer_join([cust, orders], "key")
 

@@ -345,11 +345,14 @@ def gov_pseudonymize(spark, d):
 
 
 @query("gov_erase", """
-SELECT event_id, CASE WHEN user_id % 10 = 3 THEN NULL ELSE user_id END AS user_id, CASE WHEN user_id % 10 = 3 THEN '{"user_id": "ANONYMIZED", "v": 1}' ELSE '{"user_id": ' || user_id || ', "v": 1}' END AS note FROM events""")
+SELECT event_id, CASE WHEN g.user_id IS NOT NULL THEN NULL ELSE e.user_id END AS user_id,
+  CASE WHEN g.user_id IS NOT NULL THEN '{"user_id": "ANONYMIZED", "v": 1}' ELSE '{"user_id": ' || e.user_id || ', "v": 1}' END AS note
+FROM events e LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE value > 150) g ON g.user_id = e.user_id""")
 def gov_erase(spark, d):
-    ev = tb.load(spark, d, "events").select("event_id", "user_id", F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"), F.lit(', "v": 1}')).alias("note"))
-    gone = ev.where("user_id % 10 = 3").select("user_id")
-    return gv.erase(ev, gone, "user_id", "note")
+    """Users with a large amount asked to be erased."""
+    ev = tb.load(spark, d, "events")
+    noted = ev.select("event_id", "user_id", F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"), F.lit(', "v": 1}')).alias("note"))
+    return gv.erase(noted, ev.where("value > 150").select("user_id"), "user_id", "note")
 
 
 @query("gov_user_export", """
@@ -422,15 +425,19 @@ def txt_chunk(spark, d):
 
 
 @query("txt_hybrid_search", """
+WITH q AS (SELECT label, list(a ORDER BY i) AS v FROM (SELECT label, i, avg(x::DOUBLE) AS a FROM
+  (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1)
 SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM
- (SELECT q.vec_id AS query_id, e.vec_id, list_sum([power(e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE, 2) for i in range(1, len(q.embedding) + 1)])
+ (SELECT q.label AS query_id, e.vec_id, list_sum([power(e.embedding[i]::DOUBLE - q.v[i], 2) for i in range(1, len(q.v) + 1)])
    * power(0.8, (contains(lower(d.text), 'the'))::INT + (contains(lower(d.text), 'un'))::INT) AS distance
-  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT * FROM embeddings WHERE vec_id IN (3, 44)) q WHERE d.lang = 'en')) WHERE rank <= 5""")
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, q WHERE d.lang = 'en')) WHERE rank <= 5""")
 def txt_hybrid_search(spark, d):
+    """One query per label, its mean vector, against all English documents."""
     emb = tb.load(spark, d, "embeddings")
     docs = emb.join(tb.load(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding", "text", "lang")
-    queries = emb.where(F.col("vec_id").isin(3, 44)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"),
-                                                             F.array(F.lit("the"), F.lit("un")).alias("query_words"))
+    cells = emb.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("a"))
+    means = cells.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "a"))), lambda s: s["a"]).alias("query_vector"))
+    queries = means.select(F.col("label").alias("query_id"), "query_vector", F.array(F.lit("the"), F.lit("un")).alias("query_words"))
     out = tx.search(docs, queries, "vec_id", "embedding", "text", 5, F.col("lang") == "en")
     return out.select("query_id", "vec_id", rnd("distance").alias("distance"), F.col("rank").cast("bigint"))
 

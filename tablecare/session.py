@@ -37,17 +37,21 @@ def block_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BLOCK_ROWS_KEY, "500000"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if folder is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="tablecare-checkpoint-")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="tablecare-")
+    return folder
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -56,9 +60,28 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the frame has few enough rows for single-task work; counts no further than needed."""
-    limit = small_rows(df.sparkSession)
+# A plan estimated above this many bytes per allowed row is large without a count.
+BYTES_PER_ROW = 10_000
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan; None where the session does not show it."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:
+        return None
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the frame has few enough rows for single-task work.
+
+    The estimate may only say "large", which saves a count over big inputs; "small" is always counted.
+    """
+    most = small_rows(df.sparkSession)
+    limit = most if limit is None else min(limit, most)
     if limit <= 0:
         return False
+    size = estimated_bytes(df)
+    if size is not None and size > limit * BYTES_PER_ROW:
+        return False
     return df.count() <= limit
