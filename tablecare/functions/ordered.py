@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablecare.functions.params import attach
-from tablecare.session import block_rows, is_small, settle, small_rows
+from tablecare.session import block_rows, is_small, settle, small_rows, together
 
 _WITHIN = {
     "sum": lambda c, w: F.sum(c).over(w),
@@ -173,8 +173,7 @@ def _bracketed_quantiles(values: DataFrame, cols: list[str], probs: list[float])
         if counts[c]:
             at = dict(zip(marks, row[c]))
             brackets += [(c, p, at[max(0.0, p - SLACK)], at[min(1.0, p + SLACK)]) for p in probs]
-    sizes = _bracket_sizes(values, brackets)
-    pairs = _bracket_values(values, brackets)
+    sizes, pairs = together(lambda: _bracket_sizes(values, brackets), lambda: _bracket_values(values, brackets))
     out = {}
     for name, c in zip(cols, names):
         if not counts[c]:

@@ -12,6 +12,7 @@ from tablecare.functions.columns import (
     clip, has_word, is_missing, kind_of, melt_row, numeric_columns, rnd, sample_kurtosis, sample_skewness,
     sentinels_for, text_columns, PRICE_WORDS, SENTINELS)
 from tablecare.functions.ordered import quantiles, row_numbers, running
+from tablecare.session import together
 
 
 AGG_BATCH = 36
@@ -24,11 +25,9 @@ def gather(df: DataFrame, aggs: dict[str, Column]) -> dict:
     only its own columns, so several passes cost less than one.
     """
     names = list(aggs)
-    out: dict = {}
-    for start in range(0, len(names), AGG_BATCH):
-        part = names[start:start + AGG_BATCH]
-        out.update(df.agg(*[aggs[n].alias(n) for n in part]).first().asDict())
-    return out
+    parts = [names[i:i + AGG_BATCH] for i in range(0, len(names), AGG_BATCH)]
+    rows = together(*[lambda part=part: df.agg(*[aggs[n].alias(n) for n in part]).first().asDict() for part in parts])
+    return {k: v for row in rows for k, v in row.items()}
 
 
 # Text that can be a number, and text that can start a date: a cheap test before a parse that may fail.
@@ -60,21 +59,26 @@ RULE_SHARES = (0.5, 0.9)
 FEW_VALUES = 5000
 
 
-def rule_distinct(df: DataFrame, rows: int, text: list[str]) -> dict[str, int]:
+def rough_distinct(df: DataFrame) -> dict[str, int]:
+    """Distinct counts from a sketch over value hashes: one small binary buffer per column."""
+    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~is_missing(df, c), F.xxhash64(f"`{c}`")), 12))
+    return {c: int(n or 0) for c, n in gather(df, {c: sketch(c) for c in df.columns}).items()}
+
+
+def rule_distinct(df: DataFrame, rows: int, text: list[str], rough: dict[str, int] | None = None) -> dict[str, int]:
     """Distinct counts exact wherever a rule can turn on them.
 
     A cheap approximate pass finds the wide columns. Narrow columns, and text columns near a rule share, are
     then counted exactly; for the others the approximation is far from every limit.
     """
-    # A sketch over row hashes keeps one small binary buffer per column.
-    sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(F.when(~is_missing(df, c), F.xxhash64(f"`{c}`")), 12))
-    rough = {c: n or 0 for c, n in gather(df, {c: sketch(c) for c in df.columns}).items()}
+    rough = dict(rough or rough_distinct(df))
     near = [c for c, n in rough.items() if n < FEW_VALUES or (
         c in text and rows and any(abs(n / rows - s) < 0.15 for s in RULE_SHARES))]
-    for start in range(0, len(near), 8):
-        part = near[start:start + 8]
-        rough.update(df.agg(*[F.countDistinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in part]).first().asDict())
-    return {c: int(n) for c, n in rough.items()}
+    parts = [near[i:i + 8] for i in range(0, len(near), 8)]
+    exact = lambda part: df.agg(*[F.countDistinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in part]).first().asDict()
+    for found in together(*[lambda part=part: exact(part) for part in parts]):
+        rough.update({c: int(n) for c, n in found.items()})
+    return rough
 
 
 def profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -88,13 +92,14 @@ def profile(df: DataFrame, exact: bool = True) -> DataFrame:
         if c in numeric:
             d = value.cast("double")
             aggs.update({f"a{i}": F.avg(d), f"s{i}": F.stddev_samp(d), f"lo{i}": F.min(d), f"hi{i}": F.max(d)})
-    row = gather(df, aggs)
-    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, exact=exact).collect()}
-    if exact:
-        found = quantiles(df, numeric, quarters)
-    else:
+    def quartiles() -> dict:
+        if exact or not numeric:
+            return quantiles(df, numeric, quarters)
         rough = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), quarters, 10000).alias(c) for c in numeric]).first()
-        found = {c: list(rough[c] or [None] * 3) for c in numeric}
+        return {c: list(rough[c] or [None] * 3) for c in numeric}
+
+    row, counted, found = together(lambda: gather(df, aggs), lambda: distinct_counts(df, exact=exact).collect(), quartiles)
+    distinct = {r["column"]: r["distinct"] for r in counted}
     rows = []
     for i, (c, t) in enumerate(df.dtypes):
         n, q = int(row[f"n{i}"]), found.get(c, [None] * 3)
@@ -242,12 +247,12 @@ class Facts:
                 date = col.rlike(DATE_TEXT) & F.try_to_timestamp(col).isNotNull()
                 aggs.update({f"len{i}": F.avg(F.length(col)), f"words{i}": F.avg(F.regexp_count(col, F.lit(r"\S+"))),
                              f"words_only{i}": F.count_if(~number), f"no_date{i}": F.count_if(~date)})
-        row = gather(df, aggs)
+        row, rough, outliers, dups = together(
+            lambda: gather(df, aggs), lambda: rough_distinct(df), self._outliers,
+            lambda: duplicate_count(df)[1] if duplicates else 0)
         self.rows = int(row["rows"])
-        distinct = rule_distinct(df, self.rows, self.text)
-        bounds = fences(df, self.numeric)
-        found = [c for c in self.numeric if c in bounds]
-        outliers = df.agg(*[F.count_if(outside(c, bounds[c])).alias(c) for c in found]).first().asDict() if found else {}
+        self.duplicates = dups
+        distinct = rule_distinct(df, self.rows, self.text, rough)
         self.col: dict[str, dict] = {}
         for i, c in enumerate(df.columns):
             n, g = self.rows - int(row[f"miss{i}"]), row.get(f"skew{i}")
@@ -258,7 +263,11 @@ class Facts:
                 **{k: row.get(f"{k}{i}") for k in ("mean", "std", "min", "max", "neg", "sent",
                                                    "len", "words", "words_only", "no_date")},
             }
-        self.duplicates = duplicate_count(df)[1] if duplicates else 0
+
+    def _outliers(self) -> dict[str, int]:
+        """Values outside the Tukey fences per numeric column."""
+        bounds = fences(self.df, self.numeric)
+        return gather(self.df, {c: F.count_if(outside(c, b)) for c, b in bounds.items()})
 
     @property
     def missing_cells(self) -> int:

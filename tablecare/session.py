@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def together(*calls):
+    """Results of independent passes over a table, submitted side by side so small jobs do not wait in line."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return [f.result() for f in [pool.submit(c) for c in calls]]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
