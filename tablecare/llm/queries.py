@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablecare.llm import minhash
-from tablecare.llm.common import table
+import corpus_pipeline
+from tablecare.llm import chat, crosspolytope, forest, langid, licenses, minhash, mixing, packing, viterbi, warc
+from tablecare.llm.common import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +26,121 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("op9_minhash")
+@query("op1_forest")
+def op1_forest(spark, sf_dir):
+    """Five nearest vectors of every fiftieth one. Approximate, so tested by recall against brute force."""
+    rows = table(spark, sf_dir, "embeddings")
+    return forest.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
+
+
+@query("op2_crosspolytope", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low.y, vec_id)) AS component_id, vec_id <= coalesce(low.y, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON low.x = vec_id LEFT JOIN degree ON degree.x = vec_id
+""")
+def op2_crosspolytope(spark, sf_dir):
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", least=0.93)
+
+
+@query("op3_viterbi")
+def op3_viterbi(spark, sf_dir):
+    """Tokens of every document by the pieces of a public vocabulary; tested against the tokenizer library."""
+    return viterbi.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS bytes, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT digest, max(page_id) AS response FROM p WHERE bytes >= 1000 GROUP BY digest)
+SELECT page_id, bytes::BIGINT AS payload_bytes, p.digest AS payload_digest, CASE WHEN page_id < response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < response THEN response END AS refers_to
+FROM p LEFT JOIN g ON g.digest = p.digest AND bytes >= 1000
+""")
+def op4_warc(spark, sf_dir):
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Target weights of the domains that ``labels`` tells apart.
+DOMAIN_WEIGHTS = {"high": 0.9, "low": 0.07, "toxic": 0.03}
+
+
+def domains(spark, sf_dir) -> DataFrame:
+    domain = F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")).where("domain IS NOT NULL")
+
+
+@query("op5_mixing")
+def op5_mixing(spark, sf_dir):
+    """Rate and copies of every document; tested against a brute-force solution."""
+    return mixing.rates(table(spark, sf_dir, "documents"), domains(spark, sf_dir), DOMAIN_WEIGHTS)[0]
+
+
+@query("op6_langid")
+def op6_langid(spark, sf_dir):
+    """Language of every document, learned without the fifth that is held out; tested by held-out accuracy."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.expr("crc32(coalesce(cast(doc_id AS string), '')) % 5 = 0")
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+ESCAPED = "replace(replace(replace({0}, '\\', '\\\\'), '#', '\\#'), '</', '<\\/')"
+
+
+@query("op7_chat", f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+f AS (SELECT *, length('### ' || replace({ESCAPED.format('role')}, ':', '\\:') || ': ' || {ESCAPED.format('text')} || ' </turn>' || chr(10)) AS size,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM t),
+c AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS total FROM f)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(total) FILTER (WHERE role = 'assistant' OR back = 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+""")
+def op7_chat(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    own = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.select("conv_id", "turn", "role", "text").schema)
+    made = Workspace(spark).put(chat.examples(turns.select(extra.columns).union(extra)), "examples")
+    return chat.digests(made).drop("n_examples")
+
+
+@query("op8_licenses", licenses.sql())
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").drop("n_blocks")
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@query("op9_minhash", f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(y, d.doc_id)) AS component_id, d.doc_id <= coalesce(y, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.x = d.doc_id
+""")
 def op9_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=5, share=(85, 100))
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    """Pieces of all documents in windows of 4096 ids; tested by a round trip and against a brute-force optimum."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
