@@ -17,6 +17,7 @@ in as many pieces as it needs. An empty table gives no pieces. Columns other tha
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 500_000
+CACHE_PARTS, CACHE_WORDS = 200_000, 800_000
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -62,10 +63,15 @@ class Words:
         got = self.words.get(word)
         if got is None:
             raw = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = self.words[word] = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
         return got
 
     def part(self, part: str) -> bytes:
+        if part.isascii():
+            if part.isalpha():
+                return self.word(part.lower())
+            if part[:-1].isalpha() and part[-1] in ".,":
+                return self.word(part[:-1].lower()) + self.word(part[-1])
         return b"".join(map(self.word, _TOKEN.findall(part.lower()))) if _PLAIN.fullmatch(part) else self.whole(part)
 
     def ids(self, text: str) -> bytes:
@@ -76,10 +82,11 @@ class Words:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) + len(self.words) > CACHE_WORDS:
+            if len(known) > CACHE_PARTS:
                 known.clear()
-                self.words.clear()
                 known[""] = b""
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
             for p in set(parts).difference(known):
                 known[p] = self.part(p)
             return b"".join(map(known.__getitem__, parts))
@@ -94,31 +101,38 @@ def words_of(path: str) -> Words:
 def cuts(places: np.ndarray, penalty: np.ndarray, window: int, sequence_cost: float) -> list[int]:
     """Best cut places. ``places`` rise from 0, and two neighbours are at most ``window`` apart; the last place is always cut."""
     m = len(places)
-    starts: list[list[int]] = [[] for _ in range(m)]
-    size = 1
-    while size <= window:
-        at = np.searchsorted(places, places - size)
-        for j in np.flatnonzero(places[np.minimum(at, m - 1)] == places - size):
-            starts[j].append(at[j])
+    at = np.full(int(places[-1]) + 1, -1, np.int32)
+    at[places] = np.arange(m)
+    ends, starts, size = [], [], 1
+    while size <= window:  # windows of a power of two need no padding
+        j = np.flatnonzero(places >= size)
+        i = at[places[j] - size]
+        ends.append(j[i >= 0])
+        starts.append(i[i >= 0])
         size *= 2
-    p, cost = places.tolist(), penalty.tolist()
-    best, back = [0.0] * m, [0] * m
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    whole_end, whole_start = [*np.concatenate(ends)[order].tolist(), m], np.concatenate(starts)[order].tolist()
+    p, cost = places.tolist(), (penalty + sequence_cost).tolist()
+    best, back, k = [0.0] * m, [0] * m, 0
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # f(i) + p_i rising, p_i, i
+    push, drop, shift = queue.append, queue.pop, queue.popleft
     for j in range(1, m):
         here = p[j]
         while queue[0][1] < here - window:
-            queue.popleft()
+            shift()
         low, _, i = queue[0]
         low += window - here
-        for k in starts[j]:
-            if best[k] < low:
-                low, i = best[k], k
-        low += cost[j] + sequence_cost
+        while whole_end[k] == j:
+            start = whole_start[k]
+            if best[start] < low:
+                low, i = best[start], start
+            k += 1
+        low += cost[j]
         best[j], back[j] = low, i
         low += here
         while queue and queue[-1][0] >= low:
-            queue.pop()
-        queue.append((low, here, j))
+            drop()
+        push((low, here, j))
     out, j = [], m - 1
     while j > 0:
         out.append(p[j])
@@ -128,23 +142,20 @@ def cuts(places: np.ndarray, penalty: np.ndarray, window: int, sequence_cost: fl
 
 def candidates(ids: np.ndarray, ends: np.ndarray, sentence_end: np.ndarray, window: int, sentence_cost: float, free_cost: float, last: bool):
     """Places at which the stream may be cut, with their penalties."""
-    n = len(ids)
-    penalty = np.full(n + 1, np.inf)
-    known = ids < len(sentence_end)
-    penalty[1:][known & sentence_end[np.where(known, ids, 0)]] = sentence_cost
+    n, costs = len(ids), np.array([np.inf, 0, sentence_cost, free_cost])
+    kind = np.zeros(n + 1, np.uint8)
     if last:
-        penalty[max(1, n - 2 * window) :] = np.minimum(penalty[max(1, n - 2 * window) :], free_cost)
-    penalty[0] = 0
-    penalty[ends] = 0
-    penalty[n] = 0
-    places = np.flatnonzero(np.isfinite(penalty))
+        kind[max(1, n - 2 * window) :] = 3
+    kind[1:][sentence_end[ids] if n and ids.max() < len(sentence_end) else [i < len(sentence_end) and sentence_end[i] for i in ids]] = 2
+    kind[ends] = 1
+    kind[0] = kind[n] = 1
+    places = np.flatnonzero(kind)
     wide = np.flatnonzero(np.diff(places) > window // 2)
     if len(wide):
         step = max(1, window // 16)
-        more = np.concatenate([np.arange(places[w] + step, places[w + 1], step) for w in wide])
-        penalty[more] = free_cost
-        places = np.union1d(places, more)
-    return places, penalty[places]
+        kind[np.concatenate([np.arange(places[w] + step, places[w + 1], step) for w in wide])] = 3
+        places = np.flatnonzero(kind)
+    return places, costs[kind[places]]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str, end_id: int = 2, window: int = 4096,
