@@ -5,8 +5,8 @@ share of distinct words, mean word length, length, and for each domain the numbe
 ``fit_rows`` labelled rows per domain with the smallest hash of their id (a documented bound); priors come from all labelled rows.
 Every document gets posteriors p_k, so its tokens count towards every domain in part.
 
-Rates r_d minimise the weighted squares of sum_d n_d p_dk r_d - target_k over the box lowest <= r_d <= highest by projected gradient,
-r_d <- clip(r_d - step * sum_k p_dk g_k). Since all r_d start at 1, a rate is a function of the posteriors and of the few numbers g_k
+Rates r_d minimise weighted squares of the misses sum_d n_d p_dk r_d - target_k over the box lowest <= r_d <= highest by projected gradient,
+r_d <- clip(r_d - sum_k p_dk g_k). Since all r_d start at 1, a rate is a function of the posteriors and of the few numbers g_k
 of each round. A round is one aggregate over a narrow table; no rate is stored or shipped, and nothing depends on the number of sources.
 A document is then taken floor(rate) times, and once more if a hash of its id falls below the rest.
 
@@ -114,10 +114,8 @@ def posteriors(docs: DataFrame, model: Domains, text_col: str = "text", prefix:
     rows, _ = _with_features(docs, text_col, model.markers)
     scores = {}
     for k, prior in enumerate(model.priors):
-        score = F.lit(prior)
-        for f, logs in model.logs.items():
-            score = score + F.element_at(F.array(*[F.lit(c[k]) for c in logs]), F.col(f) + 1)
-        scores[f"_s{k}"] = score
+        logs = (f"element_at(array({', '.join(f'{c[k]!r}D' for c in rows_of)}), {f} + 1)" for f, rows_of in model.logs.items())
+        scores[f"_s{k}"] = F.expr(" + ".join([f"{prior!r}D", *logs]))
     rows = rows.withColumns(scores).drop(*model.logs)
     most = F.greatest(*[F.col(s) for s in scores]) if len(scores) > 1 else F.col("_s0")
     rows = rows.withColumn("_most", most).withColumns({f"_e{k}": F.exp(F.col(f"_s{k}") - F.col("_most")) for k in range(len(scores))}).drop("_most", *scores)
@@ -138,18 +136,20 @@ class Rates:
     targets: list[float]
 
     def column(self, prefix: str = "_p") -> Column:
-        rate = F.lit(1.0)
+        rate = "1D"
         for g in self.rounds:
-            step = F.lit(0.0)
-            for k, x in enumerate(g):
-                step = step + F.col(f"{prefix}{k}") * F.lit(x)
-            rate = F.greatest(F.lit(self.lowest), F.least(F.lit(self.highest), rate - step))
-        return rate
+            step = " + ".join(f"{prefix}{k} * ({x!r}D)" for k, x in enumerate(g))
+            rate = f"greatest({self.lowest!r}D, least({self.highest!r}D, {rate} - ({step})))"
+        return F.expr(rate)
 
 
 def fit_rates(rows: DataFrame, weights: list[float], *, budget: float = 1.0, lowest: float = 0.0, highest: float = 8.0, rounds: int = 40,
               close: float = 1e-3, prefix: str = "_p") -> Rates:
-    """Rates for a table of (_tokens, posteriors); targets are weights times ``budget`` times all tokens."""
+    """Rates for a table of (_tokens, posteriors); targets are weights times ``budget`` times all tokens.
+
+    Misses are weighted by the inverse of H = sum of n_d p_d p_d', so step 1 is allowed: without clipping the first round meets the targets.
+    It ends when all targets are met to ``close`` of all tokens, or when a round changes the sums by less than a fiftieth of that.
+    """
     size = len(weights)
     p = [F.col(f"{prefix}{k}") for k in range(size)]
     pairs = [(j, k) for j in range(size) for k in range(j, size)]
@@ -161,17 +161,17 @@ def fit_rates(rows: DataFrame, weights: list[float], *, budget: float = 1.0, low
     for j, k in pairs:
         h[j, k] = h[k, j] = first[f"h{j}_{k}"]
     wanted = np.array(weights, float) / sum(weights) * budget * first["all"]
-    scale = 1 / np.maximum(np.diag(h), 1e-9)
-    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * h * np.sqrt(scale)[None, :])[-1]
+    weigh = np.linalg.pinv(h, rcond=1e-6, hermitian=True)
     out = Rates([], lowest, highest, [], [], wanted.tolist())
     for k in range(rounds + 1):
         rate = out.column(prefix)
         sums = rows.withColumn("_rate", rate).agg(*[F.sum(F.col("_tokens") * F.col("_rate") * x) for x in p]).first()
         now = np.array([float(x) for x in sums])
+        still = bool(out.after) and np.abs(now - out.after).max() <= 0.02 * close * wanted.sum()
         out.before, out.after = out.before or now.tolist(), now.tolist()
-        if k == rounds or np.abs(now - wanted).max() <= close * wanted.sum():
+        if k == rounds or still or np.abs(now - wanted).max() <= close * wanted.sum():
             break
-        out.rounds.append((step * scale * (now - wanted)).tolist())
+        out.rounds.append((weigh @ (now - wanted)).tolist())
     return out
 
 
@@ -202,5 +202,6 @@ def mixed(docs: DataFrame, model: Domains, fitted: Rates, id_col: str = "doc_id"
     columns = [F.col(f"`{c}`") for c in docs.columns]
     packed = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
     rated = posteriors(packed, model, "_text").withColumn("_rate", fitted.column())
-    taken = rated.withColumn("_copies", copies(F.col("_rate"), F.col("_id"))).where("_copies > 0")
-    return taken.select("_row", F.explode(F.expr("sequence(1, _copies)"))).select("_row.*")
+    # A filter on the rate would be pushed through all the columns it is made of; one on the exploded rows is not.
+    each = rated.select("_row", F.explode_outer(F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("_id")))).alias("_one"))
+    return each.where("_one IS NOT NULL").select("_row.*")
