@@ -50,7 +50,7 @@ def _words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.lit(0)).otherwise(F.size(_words(text))).cast("long")
+    return F.when(F.coalesce(F.btrim(text, F.lit(" \n\t\r")), F.lit("")) == "", F.lit(0)).otherwise(F.size(_words(text))).cast("long")
 
 
 def _with_features(rows: DataFrame, text: str, markers: list[list[str]]) -> tuple[DataFrame, dict[str, int]]:
@@ -148,7 +148,7 @@ def fit_rates(rows: DataFrame, weights: list[float], *, budget: float = 1.0, low
     """Rates for a table of (_tokens, posteriors); targets are weights times ``budget`` times all tokens.
 
     Misses are weighted by the inverse of H = sum of n_d p_d p_d', so step 1 is allowed: without clipping the first round meets the targets.
-    It ends when all targets are met to ``close`` of all tokens, or when a round changes the sums by less than a fiftieth of that.
+    Later steps are as long as the last move and the change of its gradient say (spectral steps, 1 to 50); the best round counts. It ends when all targets are met to ``close`` of all tokens, or when a round changes the sums by less than a fiftieth of that.
     """
     size = len(weights)
     p = [F.col(f"{prefix}{k}") for k in range(size)]
@@ -162,16 +162,30 @@ def fit_rates(rows: DataFrame, weights: list[float], *, budget: float = 1.0, low
         h[j, k] = h[k, j] = first[f"h{j}_{k}"]
     wanted = np.array(weights, float) / sum(weights) * budget * first["all"]
     weigh = np.linalg.pinv(h, rcond=1e-6, hermitian=True)
+    before, least, best = None, np.inf, 0
     out = Rates([], lowest, highest, [], [], wanted.tolist())
     for k in range(rounds + 1):
-        rate = out.column(prefix)
-        sums = rows.withColumn("_rate", rate).agg(*[F.sum(F.col("_tokens") * F.col("_rate") * x) for x in p]).first()
-        now = np.array([float(x) for x in sums])
-        still = bool(out.after) and np.abs(now - out.after).max() <= 0.02 * close * wanted.sum()
-        out.before, out.after = out.before or now.tolist(), now.tolist()
-        if k == rounds or still or np.abs(now - wanted).max() <= close * wanted.sum():
+        last = Rates(out.rounds[:-1], lowest, highest, [], [], []).column(prefix)
+        moved = F.sum(F.col("_tokens") * F.pow(F.col("_rate") - F.col("_last"), 2))
+        row = rows.withColumns({"_last": last, "_rate": out.column(prefix)}).agg(*[F.sum(F.col("_tokens") * F.col("_rate") * x) for x in p], moved).first()
+        now, moved = np.array([float(x) for x in row[:-1]]), float(row[-1])
+        miss = now - wanted
+        price = float(miss @ weigh @ miss)
+        if price < least:
+            least, best, out.after = price, k, now.tolist()
+        out.before = out.before or now.tolist()
+        length = 1.0
+        if before is not None:
+            change = now - before
+            bend = float(change @ weigh @ change)
+            if np.abs(change).max() <= 0.02 * close * wanted.sum():
+                break
+            length = min(50.0, max(1.0, moved / bend)) if bend > 0 else 1.0
+        if k == rounds or np.abs(miss).max() <= close * wanted.sum():
             break
-        out.rounds.append((weigh @ (now - wanted)).tolist())
+        before = now
+        out.rounds.append((length * (weigh @ miss)).tolist())
+    out.rounds = out.rounds[:best]
     return out
 
 
