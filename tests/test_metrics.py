@@ -10,10 +10,11 @@ from tablecare.operators import drift as dr
 from tablecare.operators import ensemble as en
 from tablecare.operators import metrics as mt
 
-Y = [0, 1, 0, 1, 1, 0, 1, 0]
-A = [0, 1, 0, 1, 0, 0, 1, 1]
-B = [0, 1, 1, 1, 1, 0, 1, 0]
-P = [.3, .8, .2, .7, .4, .1, .9, .6]
+# Twelve rows: A has 4 hits, 1 false alarm and 2 misses; B is wrong in the second row only. 30 of the 36 positive-negative pairs of P are in order.
+Y = [1, 0, 1, 1, 0, 0, 1, 0, 1, 0, 0, 1]
+A = [1, 0, 0, 1, 1, 0, 1, 0, 1, 0, 0, 0]
+B = [1, 1, 1, 1, 0, 0, 1, 0, 1, 0, 0, 1]
+P = [.92, .15, .38, .81, .64, .22, .77, .05, .58, .41, .33, .29]
 
 
 @pytest.fixture(scope="module")
@@ -32,36 +33,36 @@ def test_tails():
 
 def test_binary_metrics(scored):
     row = mt.classification(scored, "y", "a").first()
-    assert row["accuracy"] == 0.75 and row["precision_binary"] == 0.75 and row["recall_binary"] == 0.75
-    assert mt.auc(scored, "y", "p").first()[0] == pytest.approx(15 / 16)
+    assert row["accuracy"] == 0.75 and row["precision_binary"] == pytest.approx(0.8) and row["recall_binary"] == pytest.approx(2 / 3)
+    assert mt.auc(scored, "y", "p").first()[0] == pytest.approx(30 / 36)
     loss = scored.agg(mt.log_loss("y", "p")).first()[0]
-    want = -sum(math.log(p if y else 1 - p) for y, p in zip(Y, P)) / 8
+    want = -sum(math.log(p if y else 1 - p) for y, p in zip(Y, P)) / 12
     assert loss == pytest.approx(want)
 
 
 def test_multiclass(spark):
-    df = spark.createDataFrame(list(zip([0, 1, 2, 0, 1, 2, 1, 0], [0, 2, 2, 0, 1, 1, 1, 0])), "y int, a int")
+    df = spark.createDataFrame(list(zip([2, 0, 1, 1, 2, 0, 2, 1, 0, 2], [2, 0, 1, 2, 2, 0, 1, 1, 1, 2])), "y int, a int")
     row = mt.classification(df, "y", "a").first()
-    assert row["accuracy"] == 0.75 and row["classes"] == 3
+    assert row["accuracy"] == pytest.approx(0.7) and row["classes"] == 3
 
 
 def test_one_vs_rest(scored):
     both = scored.withColumn("q", 1 - F.col("p"))
     out = {r["cls"]: r["roc_auc"] for r in mt.auc_one_vs_rest(both, "y", {1: "p", 0: "q"}).collect()}
-    assert out[0] == pytest.approx(15 / 16) and out[1] == pytest.approx(15 / 16)
+    assert out[0] == pytest.approx(30 / 36) and out[1] == pytest.approx(30 / 36)
 
 
 def test_regression(spark):
-    y, p = [1.5, 2.3, 4.7, 3.2, 5.8, 2.1], [1.4, 2.5, 4.5, 3.0, 6.0, 2.0]
+    y, p = [10.0, 12.5, 8.0, 15.0, 9.5], [11.0, 12.0, 8.5, 13.0, 9.5]
     df = spark.createDataFrame(list(zip(y, p)), "y double, p double")
     row = df.agg(*[c.alias(n) for n, c in mt.regression("y", "p").items()]).first()
-    assert row["mae"] == pytest.approx(1.0 / 6) and row["max_error"] == pytest.approx(0.2)
-    assert mt.median_error(df, "y", "p") == pytest.approx(0.2)
+    assert row["mae"] == pytest.approx(0.8) and row["max_error"] == pytest.approx(2.0)
+    assert mt.median_error(df, "y", "p") == pytest.approx(0.5)
 
 
 def test_mcnemar(scored):
     row = mt.mcnemar(scored, "y", "a", "b").first()
-    assert (row["only_a"], row["only_b"], row["statistic"]) == (1, 2, 0.0) and row["p_value"] == 1.0
+    assert (row["only_a"], row["only_b"], row["statistic"]) == (1, 3, 0.25) and row["p_value"] == pytest.approx(math.erfc(math.sqrt(0.125)), abs=1e-6)
 
 
 def test_t_tests(spark):
