@@ -1,7 +1,9 @@
 """Per-key state on streams: recent-value baselines and error-rate drift detectors.
 
-State per key is a bounded list or a few numbers. Rows of a key arrive in Arrow chunks and are handled chunk
-by chunk, so a busy key never sits in memory whole.
+State per key is a bounded list or a few numbers. A key's rows of one batch come in Arrow chunks of any size and in any order; their times,
+ids and values are gathered and put in order before the state sees them, so results don't depend on chunks, files or partitions. What a
+task holds of a key is what one batch brings, which the source's limits per trigger bound. Rows of a later batch come after those of an
+earlier one, whatever their times.
 """
 
 from __future__ import annotations
@@ -9,30 +11,53 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+OUT_ROWS = 50_000
+
+
+def _in_order(chunks: Iterator[pd.DataFrame], ts: str, row_id: str, value: str) -> pd.DataFrame:
+    parts = [pdf[[ts, row_id, value]] for pdf in chunks]
+    return pd.concat(parts, ignore_index=True).sort_values([ts, row_id], kind="stable") if parts else pd.DataFrame(columns=[ts, row_id, value])
+
+
+def trailing_scores(recent: np.ndarray, new: np.ndarray, span: int) -> np.ndarray:
+    """Distance of each new value from the mean of the last ``span`` values up to itself, in their deviations; missing values are no part of them."""
+    padded = np.concatenate([np.full(span, np.nan), recent[max(0, len(recent) - span) :], new])
+    out = np.empty(len(new))
+    first = len(padded) - len(new)
+    for start in range(0, len(new), 10_000):
+        stop = min(start + 10_000, len(new))
+        frames = np.lib.stride_tricks.sliding_window_view(padded[first + start - span + 1 : first + stop], span)
+        here = ~np.isnan(frames)
+        n = here.sum(axis=1)
+        safe = np.maximum(n, 1)
+        mean = np.where(here, frames, 0).sum(axis=1) / safe
+        std = np.sqrt((np.where(here, frames - mean[:, None], 0) ** 2).sum(axis=1) / safe)
+        score = np.abs(new[start:stop] - mean) / np.where(std > 0, std, 1)
+        out[start:stop] = np.where(np.isnan(new[start:stop]), np.nan, np.where((n > 2) & (std > 0), score, 0.0))
+    return out
+
+
 def zscore_stream(df: DataFrame, key: str, ts: str, value: str, row_id: str, span: int = 100, cut: float = 2.5) -> DataFrame:
-    """Anomaly score of each value against the last ``span`` values of its key."""
+    """Anomaly score of each value against the last ``span`` values of its key; a missing value has none and no anomaly."""
     kinds = dict(df.dtypes)
     out = f"{row_id} {kinds[row_id]}, {key} {kinds[key]}, anomaly_score double, is_anomaly boolean"
 
     def run(name, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for pdf in chunks:
-            pdf = pdf.sort_values([ts, row_id])
-            scores = []
-            for v in pdf[value]:
-                recent.append(float(v))
-                recent = recent[-span:]
-                n = len(recent)
-                mean = sum(recent) / n
-                std = math.sqrt(sum((x - mean) ** 2 for x in recent) / n)
-                scores.append(abs(v - mean) / std if n > 2 and std > 0 else 0.0)
-            yield pd.DataFrame({row_id: pdf[row_id], key: name[0], "anomaly_score": scores, "is_anomaly": [s > cut for s in scores]})
-        state.update((recent,))
+        recent = np.array([np.nan if x is None else x for x in state.get[0]] if state.exists else [], float)
+        rows = _in_order(chunks, ts, row_id, value)
+        new = rows[value].to_numpy(float, na_value=np.nan)
+        scores = trailing_scores(recent, new, span)
+        for start in range(0, len(rows), OUT_ROWS):
+            part = scores[start : start + OUT_ROWS]
+            yield pd.DataFrame({row_id: rows[row_id].iloc[start : start + OUT_ROWS].array, key: name[0], "anomaly_score": pd.array(part, "Float64").astype(object),
+                                "is_anomaly": part > cut})
+        state.update((np.concatenate([recent, new])[-span:].tolist(),))
 
     return df.groupBy(key).applyInPandasWithState(run, out, "recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
@@ -80,15 +105,18 @@ def error_drift_stream(df: DataFrame, key: str, ts: str, error: str, row_id: str
 
     def run(name, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else begin
-        for pdf in chunks:
-            pdf = pdf.sort_values([ts, row_id])
-            ids, marks = [], []
-            for i, e in zip(pdf[row_id], pdf[error]):
-                now, mark = step(now, float(e))
-                if mark != "stable":
-                    ids.append(i)
-                    marks.append(mark)
-            yield pd.DataFrame({row_id: ids, key: [name[0]] * len(ids), "state": marks})
+        rows = _in_order(chunks, ts, row_id, error)
+        ids, marks = [], []
+        for i, e in zip(rows[row_id], rows[error].to_numpy(float, na_value=np.nan).tolist()):
+            if e != e:  # a missing error says nothing
+                continue
+            now, mark = step(now, e)
+            if mark != "stable":
+                ids.append(i)
+                marks.append(mark)
+        for start in range(0, len(ids), OUT_ROWS):
+            part = ids[start : start + OUT_ROWS]
+            yield pd.DataFrame({row_id: part, key: [name[0]] * len(part), "state": marks[start : start + OUT_ROWS]})
         state.update((int(now[0]), float(now[1]), float(now[2]), float(now[3])))
 
     return df.groupBy(key).applyInPandasWithState(run, out, "n bigint, a double, b double, c double", "append", GroupStateTimeout.NoTimeout)
