@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablecare.functions.ordered import running
 from tablecare.operators.profile import profile
 
 META = ("name string, version int, entity_key string, time_key string, features string, partition_by string, "
         "registered_at timestamp")
+SNAPSHOT = "name string, snapshot_ts string, path string, fields string, written_at timestamp"
 
 
 class FeatureStore:
@@ -44,33 +47,35 @@ class FeatureStore:
         d = self.definition(name)
         if d["time_key"] not in df.columns:
             df = df.withColumn(d["time_key"], F.lit(snapshot_ts).cast("timestamp"))
-        out = df.withColumn("snapshot_ts", F.lit(snapshot_ts))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("snapshot_ts", *json.loads(d["partition_by"])).parquet(f"{self.base}/data/{name}"))
+        path = f"{self.base}/data/{name}/snapshot_ts={quote(snapshot_ts, safe='')}"
+        writer = df.write.mode("overwrite")
+        by = json.loads(d["partition_by"])
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+        row = (name, snapshot_ts, path, df.schema.json(), dt.datetime.now(dt.timezone.utc))
+        self.spark.createDataFrame([row], SNAPSHOT).coalesce(1).write.mode("append").json(f"{self.base}/snapshots")
 
     def snapshots(self, name: str) -> DataFrame:
-        """All snapshots; the snapshot name is a text partition column."""
-        probe = self.spark.read.option("mergeSchema", "true").parquet(f"{self.base}/data/{name}")
-        fields = [f for f in probe.schema.fields if f.name != "snapshot_ts"]
-        from pyspark.sql.types import StringType, StructField, StructType
-
-        schema = StructType([*fields, StructField("snapshot_ts", StringType())])
-        return self.spark.read.schema(schema).parquet(f"{self.base}/data/{name}")
+        """snapshot_ts, path and schema of every snapshot, from the metadata; a snapshot written again counts once, as last written."""
+        rows = self.spark.read.schema(SNAPSHOT).json(f"{self.base}/snapshots").where(F.col("name") == name)
+        return rows.groupBy("snapshot_ts").agg(F.max_by(F.struct("path", "fields"), "written_at").alias("s")).select("snapshot_ts", "s.*")
 
     def newest(self, name: str, as_of: str | None = None) -> str | None:
-        """Newest snapshot name, at or before a time when given; reads partition values only."""
+        """Newest snapshot name, at or before a time when given."""
+        found = self._newest(name, as_of)
+        return found["snapshot_ts"] if found else None
+
+    def _newest(self, name: str, as_of: str | None):
         rows = self.snapshots(name)
-        if as_of is not None:
-            rows = rows.where(F.col("snapshot_ts") <= as_of)
-        return rows.agg(F.max("snapshot_ts")).first()[0]
+        return (rows if as_of is None else rows.where(F.col("snapshot_ts") <= as_of)).orderBy(F.desc("snapshot_ts")).first()
 
     def read(self, name: str, features: list[str] | None = None, as_of: str | None = None) -> DataFrame:
+        """The newest snapshot at or before ``as_of``: one folder is listed and read, with the schema it was written with."""
         d = self.definition(name)
-        at = self.newest(name, as_of)
-        if at is None:
+        found = self._newest(name, as_of)
+        if found is None:
             raise ValueError(f"no snapshot of {name} at {as_of}")
         wanted = features or json.loads(d["features"])
-        return self.snapshots(name).where(F.col("snapshot_ts") == at).select(d["entity_key"], *wanted)
+        return self.spark.read.schema(StructType.fromJson(json.loads(found["fields"]))).parquet(found["path"]).select(d["entity_key"], *wanted)
 
     def read_many(self, names: list[str], as_of: str | None = None) -> DataFrame:
         """Feature sets joined by full outer join on their entity key."""
@@ -107,12 +112,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: s
     key with very many rows is cut into pieces like every ordered operator here.
     """
     pack = F.struct(*[F.col(c) for c in cols])
+    # Ties are ordered by the typed id columns themselves, so long ids keep their tail and negative numbers their place.
     a = left.select(key, F.col(left_ts).cast("timestamp").alias("_t"), F.lit(1).alias("_side"),
-                    F.struct(*[F.col(c).cast("string") for c in left_id]).alias("_id"), F.struct(*left.columns).alias("_left"))
+                    *[F.col(c).alias(f"_l{i}") for i, c in enumerate(left_id)], F.struct(*left.columns).alias("_left"))
     b = right.select(key, F.col(right_ts).cast("timestamp").alias("_t"), F.lit(0).alias("_side"),
-                     F.struct(*[F.lpad(F.col(c).cast("string"), 24, "0").alias(f"r{i}") for i, c in enumerate(right_id)]).alias("_rid"), pack.alias("_right"))
-    a = a.withColumn("_tie", F.to_json("_id")).drop("_id")
-    b = b.withColumn("_tie", F.to_json("_rid")).drop("_rid")
+                     *[F.col(c).alias(f"_r{i}") for i, c in enumerate(right_id)], pack.alias("_right"))
     both = a.unionByName(b, allowMissingColumns=True)
-    carried = running(both, [key], ["_t", "_side", "_tie"], {"_found": ("last", F.col("_right"))})
+    order = ["_t", "_side", *[f"_r{i}" for i in range(len(right_id))], *[f"_l{i}" for i in range(len(left_id))]]
+    carried = running(both, [key], order, {"_found": ("last", F.col("_right"))})
     return carried.where(F.col("_side") == 1).select("_left.*", *[F.col(f"_found.{c}").alias(f"asof_{c}") for c in cols])
