@@ -36,14 +36,17 @@ def group_medians(df: DataFrame, by: str, cols: list[str], positive: bool = Fals
 
 def fix_negative_prices(df: DataFrame, cols: list[str] | None = None, by: str | None = "category",
                         positive: bool = True) -> DataFrame:
-    """Negative prices to the median of their group, or of all positive values when there is no group column."""
+    """Negative prices to the median of their group, or of all positive values when there is no group column.
+
+    A price whose group is missing or has no positive price stays as it is.
+    """
     cols = cols or [c for c in numeric_columns(df) if has_word(c, PRICE_WORDS)]
     if not cols:
         return df
     if by and by in df.columns:
         usable = df if positive else df.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in cols})
         out = attach(df, group_medians(usable, by, cols, positive), [by])
-        fixed = {c: F.when(F.col(c) < 0, F.col(f"_med_{c}")).otherwise(F.col(c)) for c in cols}
+        fixed = {c: F.when(F.col(c) < 0, F.coalesce(F.col(f"_med_{c}"), F.col(c))).otherwise(F.col(c)) for c in cols}
         return out.withColumns(fixed).select(*df.columns)
     above = df.select(*[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in cols])
     med = quantiles(above, cols, [0.5])
@@ -238,12 +241,16 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, first_seen: li
 ONE_HOT_LIMIT = 1000
 
 
+class TooManyValues(RuntimeError):
+    """More values than a table can have columns; a plan that is replayed stops here instead of leaving the column out."""
+
+
 def one_hot(df: DataFrame, col: str, values: list | None = None) -> DataFrame:
     """One 0/1 column per fitted value; refuses columns with more values than a table can have columns."""
     if values is None:
         rows = df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).take(ONE_HOT_LIMIT + 1)
         if len(rows) > ONE_HOT_LIMIT:
-            raise ValueError(f"{col} has over {ONE_HOT_LIMIT} values; use label or target encoding")
+            raise TooManyValues(f"{col} has over {ONE_HOT_LIMIT} values; use label or target encoding")
         values = [r[0] for r in rows]
     hot = {f"{col}_{v}": F.when(F.col(col) == F.lit(v), 1).otherwise(0) for v in values}
     return df.withColumns(hot).drop(col)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,27 +10,38 @@ from pyspark.sql import functions as F
 
 from tablecare.functions.columns import clip, is_missing
 from tablecare.functions.ordered import quantiles
-from tablecare.operators.clean import ONE_HOT_LIMIT
+from tablecare.operators.clean import ONE_HOT_LIMIT, TooManyValues
 from tablecare.operators.features import datetime_features
 from tablecare.operators.profile import Facts, gather
 from tablecare.operators.quality import feature_types
+from tablecare.operators.text import tokens
 
 
 @dataclass
 class Preprocess:
-    """``fit`` keeps medians, bounds, moments and category lists; ``transform`` is one projection without a shuffle."""
+    """``fit`` keeps medians, bounds, moments, category lists and terms; ``transform`` is one projection without a shuffle.
+
+    No column is lost but the excluded ones, which pass as they are, and dates, which become their parts. Numbers are filled, clipped and
+    scaled; categories of any type are encoded; texts pass unchanged (``text="pass"``) or become the weights of their ``text_terms`` most
+    common terms (``text="tfidf"``); columns without a value, and others that no rule covers, pass. ``kinds`` sets the type of a column by hand.
+    """
 
     scaling: str = "standard"
     encoding: str = "onehot"
     clip_outliers: bool = True
     rare_share: float = 0.01
     exclude: tuple[str, ...] = ()
+    text: str = "pass"
+    text_terms: int = 100
+    kinds: dict[str, str] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
     medians: dict[str, float] = field(default_factory=dict)
     bounds: dict[str, tuple] = field(default_factory=dict)
     centers: dict[str, tuple] = field(default_factory=dict)
     values: dict[str, list] = field(default_factory=dict)
     dates: list[str] = field(default_factory=list)
+    terms: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    passed: list[str] = field(default_factory=list)
 
     def _dated(self, df: DataFrame) -> DataFrame:
         for c in self.dates:
@@ -38,12 +50,13 @@ class Preprocess:
 
     def fit(self, df: DataFrame) -> Preprocess:
         facts = Facts(df.drop(*self.exclude), duplicates=False)
-        self.types = feature_types(facts)
+        self.types = {**feature_types(facts), **self.kinds}
         self.dates = [c for c, k in self.types.items() if k == "datetime"]
         dated = self._dated(df)
         made = [c for c in dated.columns if c not in df.columns]
         numeric = [c for c, k in self.types.items() if k in ("numeric", "ordinal")] + made
         numeric += [c for c, k in self.types.items() if k == "binary" and c in facts.numeric]
+        numeric = [c for c in numeric if c in made or c in facts.numeric]
         probs = [0.01, 0.25, 0.5, 0.75, 0.99]
         found = quantiles(dated, numeric, probs)
         for c in numeric:
@@ -67,12 +80,21 @@ class Preprocess:
         if ranks:
             row = gather(cleaned, {f"{i}_{c}": f(F.col(c).cast("double")) for c in ranks for i, f in enumerate((F.min, F.max))})
             self.centers.update({c: (row[f"0_{c}"], (row[f"1_{c}"] - row[f"0_{c}"]) or 1.0) for c in ranks})
-        text = [c for c, k in self.types.items() if k in ("categorical", "binary") and c not in facts.numeric]
-        for c in text:
+        coded = [c for c, k in self.types.items() if k == "categorical" or k == "binary" and c not in facts.numeric]
+        for c in coded:
             counts = df.groupBy(F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
             # Values over the rare share number at most 1 / share.
-            kept = counts.where(F.col("n") >= self.rare_share * facts.rows).orderBy("v").take(ONE_HOT_LIMIT)
+            kept = counts.where(F.col("n") >= self.rare_share * facts.rows).orderBy("v").take(ONE_HOT_LIMIT + 1)
+            if len(kept) > ONE_HOT_LIMIT:
+                raise TooManyValues(f"{c} has over {ONE_HOT_LIMIT} values above the rare share; raise rare_share, or set its kind to text")
             self.values[c] = [r["v"] for r in kept]
+        if self.text == "tfidf":
+            for c in (c for c, k in self.types.items() if k == "text"):
+                found = df.select(F.explode(F.array_distinct(tokens(F.col(c)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+                top = found.orderBy(F.desc("n"), "t").limit(self.text_terms).collect()
+                self.terms[c] = [(r["t"], math.log((1 + facts.rows) / (1 + r["n"])) + 1) for r in top]
+        done = {*self.exclude, *self.medians, *self.values, *self.terms, *self.dates}
+        self.passed = [c for c in df.columns if c not in done]
         return self
 
     def _numbers(self, df: DataFrame, scale: bool = True) -> DataFrame:
@@ -102,4 +124,11 @@ class Preprocess:
                 for i, x in enumerate(values):
                     code = F.when(v == x, i).otherwise(code)
                 cols.append(code.alias(c))
+        cols += [F.col(c) for c in self.passed if c in out.columns]
+        # The words of a text are split once, and each term reads its count from them.
+        for i, (c, terms) in enumerate(self.terms.items()):
+            out = out.withColumn(f"_words{i}", tokens(F.coalesce(F.col(c), F.lit(""))))
+            for term, weight in terms:
+                count = F.size(f"_words{i}") - F.size(F.array_remove(f"_words{i}", term))
+                cols.append((count * F.lit(weight)).alias(f"{c}_tfidf_{term}"))
         return out.select(*cols)

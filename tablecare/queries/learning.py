@@ -96,6 +96,35 @@ def pln_preprocess(spark, d):
     return plan.transform(li).select("l_orderkey", "l_partkey", *[rnd(c).alias(c) for c in scaled], *hot)
 
 
+_TERMS = """SELECT t, row_number() OVER (ORDER BY n DESC, t) AS place, ln((1 + (SELECT count(*) FROM documents)) / (1 + n)) + 1 AS w FROM
+ (SELECT t, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS t FROM documents) WHERE t <> '' GROUP BY t) ORDER BY place LIMIT 4"""
+
+
+@query("pln_preprocess_text", with_views("""
+SELECT doc_id, n_chars_scaled, source_src0, lang_en, """ + ", ".join(f"round(len(list_filter(w, lambda x: x = t{i})) * w{i}, 6) + 0.0 AS term{i}" for i in range(1, 5)) + """
+FROM (SELECT doc_id, round((k - avg(k) OVER ()) / stddev_pop(k) OVER (), 6) + 0.0 AS n_chars_scaled, (source = 'src0')::INT::DOUBLE AS source_src0, (lang = 'en')::INT::DOUBLE AS lang_en,
+  regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM k),
+ (SELECT """ + ", ".join(f"max(t) FILTER (place = {i}) AS t{i}, max(w) FILTER (place = {i}) AS w{i}" for i in range(1, 5)) + """ FROM top)""", top=_TERMS,
+    k="SELECT *, least(greatest(n_chars, quantile_cont(n_chars, 0.01) OVER ()), quantile_cont(n_chars, 0.99) OVER ()) AS k FROM documents"))
+def pln_preprocess_text(spark, d):
+    """Texts become the weights of their most common terms; numbers and categories go as ever."""
+    docs = tb.load(spark, d, "documents")
+    plan = Preprocess(exclude=("doc_id",), text="tfidf", text_terms=4, kinds={"source": "categorical", "lang": "categorical", "text": "text"}).fit(docs)
+    names = [f"text_tfidf_{t}" for t, _ in plan.terms["text"]]
+    return plan.transform(docs).select("doc_id", rnd("n_chars").alias("n_chars_scaled"), "source_src0", "lang_en",
+                                       *[rnd(F.col(f"`{c}`")).alias(f"term{i + 1}") for i, c in enumerate(names)])
+
+
+@query("pln_preprocess_codes", """
+SELECT c_custkey, c_name, c_nationkey::INT AS c_nationkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS segment FROM
+ (SELECT c_custkey, c_name, c_mktsegment, dense_rank() OVER (ORDER BY c_nationkey::VARCHAR) - 1 AS c_nationkey FROM customer)""")
+def pln_preprocess_codes(spark, d):
+    """An integer column taken as a category gets codes like any other; a text column passes."""
+    rows = tb.load(spark, d, "customer")
+    plan = Preprocess(exclude=("c_custkey",), encoding="codes", rare_share=0.0, kinds={"c_nationkey": "categorical", "c_name": "text"}).fit(rows)
+    return plan.transform(rows).select("c_custkey", "c_name", "c_nationkey", F.col("c_mktsegment").cast("bigint").alias("segment"))
+
+
 @query("fea_rfe")
 def fea_rfe(spark, d):
     rows = md.recursive_elimination(labelled(spark, d), X, "label", 2, trees=5, depth=4)
