@@ -124,10 +124,10 @@ def time_series_features(df: DataFrame, date: str, value: str, keys: list[str],
     return lag_features(out, value, keys, order, (1, 7, 14, 30), (7, 14, 30), (), ("mean", "std", "min", "max"))
 
 
-def polynomial_columns(cols: list[str], degree: int = 2, cap: int = 25) -> dict[str, Column]:
+def polynomial_columns(cols: list[str], degree: int = 2, cap: int | None = None) -> dict[str, Column]:
     out = {}
     for size in range(2, degree + 1):
-        for combo in combinations_with_replacement(cols[:10], size):
+        for combo in combinations_with_replacement(cols, size):
             c = F.col(combo[0])
             for other in combo[1:]:
                 c = c * F.col(other)
@@ -136,32 +136,32 @@ def polynomial_columns(cols: list[str], degree: int = 2, cap: int = 25) -> dict[
     return dict(list(out.items())[:cap])
 
 
-def interaction_columns(cols: list[str], cap: int = 25) -> dict[str, Column]:
-    """Product, sum and difference of column pairs; the cap stops after the pair that reaches it."""
+def interaction_columns(cols: list[str], cap: int | None = None) -> dict[str, Column]:
+    """Product, sum and difference of all column pairs; a cap, if given, stops after the pair that reaches it."""
     out: dict[str, Column] = {}
-    for a, b in combinations(cols[:10], 2):
+    for a, b in combinations(cols, 2):
         out.update({f"{a}_times_{b}": F.col(a) * F.col(b), f"{a}_plus_{b}": F.col(a) + F.col(b),
                     f"{a}_minus_{b}": F.col(a) - F.col(b)})
-        if len(out) >= cap:
+        if cap is not None and len(out) >= cap:
             break
     return out
 
 
-def ratio_columns(cols: list[str], cap: int = 16) -> dict[str, Column]:
+def ratio_columns(cols: list[str], cap: int | None = None) -> dict[str, Column]:
     """Ratios both ways; a zero or missing side gives 0, an infinite one gives 1e10 with its sign."""
     def ratio(a: str, b: str) -> Column:
         c = F.coalesce(F.col(a).cast("double") / F.nullif(F.col(b).cast("double"), F.lit(0.0)), F.lit(0.0))
         return F.when(c == float("inf"), 1e10).when(c == float("-inf"), -1e10).otherwise(c)
 
     out: dict[str, Column] = {}
-    for a, b in combinations(cols[:10], 2):
+    for a, b in combinations(cols, 2):
         out.update({f"{a}_div_{b}": ratio(a, b), f"{b}_div_{a}": ratio(b, a)})
-        if len(out) >= cap:
+        if cap is not None and len(out) >= cap:
             break
     return out
 
 
-def log_columns(df: DataFrame, cols: list[str], cap: int = 25) -> dict[str, Column]:
+def log_columns(df: DataFrame, cols: list[str], cap: int | None = None) -> dict[str, Column]:
     """log1p and square root of columns without negatives, squares of all; one pass finds the minima."""
     low = df.agg(*[F.min(c).alias(c) for c in cols]).first()
     out: dict[str, Column] = {}
@@ -173,7 +173,7 @@ def log_columns(df: DataFrame, cols: list[str], cap: int = 25) -> dict[str, Colu
         if low[c] is not None and low[c] >= 0:
             out[f"{c}_sqrt"] = F.sqrt(F.col(c))
         out[f"{c}_squared"] = F.col(c).cast("double") * F.col(c)
-        if len(out) >= cap:
+        if cap is not None and len(out) >= cap:
             break
     return out
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablecare.functions.columns import melt_row
+from tablecare.functions.ordered import quantiles
 from tablecare.functions.params import attach
 
 
@@ -21,12 +22,15 @@ def quality_trend(checks: DataFrame, last: int = 10) -> DataFrame:
                       F.max("score").alias("max_score"), issues.alias("issues"))
 
 
-def job_metrics(predictions: DataFrame) -> DataFrame:
-    """Totals, distribution and statistics of a prediction table: (part, value, metric, amount)."""
+def job_metrics(predictions: DataFrame, bins: int | None = None) -> DataFrame:
+    """Totals, distribution and statistics of a prediction table: (part, value, metric, amount).
+
+    The distribution has a count per prediction, or, with ``bins`` (for continuous predictions), per range of equal width, named by its low end.
+    """
     pred = F.col("prediction").cast("double")
     proba = [c for c in predictions.columns if c.startswith("proba_")]
     aggs = {"prediction": {"total": F.count(F.lit(1)), "mean": F.avg(pred), "std": F.stddev_samp(pred),
-                           "min": F.min(pred), "max": F.max(pred), "median": F.median(pred)}}
+                           "min": F.min(pred), "max": F.max(pred)}}
     for c in proba:
         aggs[c] = {"mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(c), "max": F.max(c)}
     if "prediction_error" in predictions.columns:
@@ -36,8 +40,16 @@ def job_metrics(predictions: DataFrame) -> DataFrame:
     stats = row.select(F.explode(F.array(*[
         F.struct(F.lit(p).alias("part"), F.lit(None).cast("string").alias("value"), F.lit(m).alias("metric"),
                  F.col(f"v{i}").alias("amount")) for i, (p, m, _) in enumerate(flat)])).alias("r")).select("r.*")
-    counts = predictions.groupBy(F.col("prediction").cast("string").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("amount"))
-    return stats.unionByName(counts.select(F.lit("prediction").alias("part"), "value", F.lit("count").alias("metric"), "amount"))
+    middle = quantiles(predictions, ["prediction"], [0.5])["prediction"][0]
+    median = predictions.sparkSession.createDataFrame([("prediction", None, "median", middle)], stats.schema)
+    value = F.col("prediction").cast("string")
+    if bins:
+        low, high = predictions.agg(F.min(pred), F.max(pred)).first()
+        if low is not None:
+            width = (high - low) / bins or 1.0
+            value = (F.lit(low) + F.least(F.floor((pred - F.lit(low)) / F.lit(width)), F.lit(bins - 1)) * F.lit(width)).cast("string")
+    counts = predictions.groupBy(value.alias("value")).agg(F.count(F.lit(1)).cast("double").alias("amount"))
+    return stats.unionByName(median).unionByName(counts.select(F.lit("prediction").alias("part"), "value", F.lit("count").alias("metric"), "amount"))
 
 
 # Metric, test, threshold, alert name, severity.

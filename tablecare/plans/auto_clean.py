@@ -73,8 +73,8 @@ def basic_clean(df: DataFrame) -> tuple[DataFrame, list[dict]]:
 
 
 def clean_from_recommendations(facts: Facts, by: str = "category", protect: tuple[str, ...] = (),
-                               general: int = 3) -> tuple[DataFrame, list[dict]]:
-    """Turn the recommendations for a table into plan steps, special ones first, then the first general ones."""
+                               general: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """Turn the recommendations for a table into plan steps, special ones first, then all general ones, or only the first ``general``."""
     recs = recommendations(facts)
     special = [r for r in recs if r[1] in ("sentinel_handling", "price_correction", "imputation_strategy")]
     rest = [r for r in recs if r not in special][:general]

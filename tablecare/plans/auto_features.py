@@ -35,7 +35,7 @@ class AutoFeatures:
             self.rows = True
             made.update({c: F.col(c) for c in fe.ROW_STATISTICS})
         if "bins" in families:
-            made.update(fe.bin_columns(fe.bin_edges(df, self.numeric[:10])))
+            made.update(fe.bin_columns(fe.bin_edges(df, self.numeric)))
         base = {c: F.col(c) for c in self.numeric}
         self.columns = {**base, **made}
         spread = self._variances(df)

@@ -165,9 +165,14 @@ def str_error_drift(spark, d):
 @query("str_progress", "SELECT 'events_progress' AS name, count(*) AS input_rows, NULL::VARCHAR AS error FROM events")
 def str_progress(spark, d):
     """Rows counted by the progress of a drained query; throughput depends on the machine and is left out."""
-    q = ig.drain(ig.table_stream(spark, d, "events"), work_folder(spark), name="events_progress")
-    rows = spark.createDataFrame(ig.progress_rows(q), ig.PROGRESS)
-    return rows.groupBy("name").agg(F.sum("input_rows").alias("input_rows"), F.max("error").alias("error"))
+    log = ig.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        q = ig.drain(ig.table_stream(spark, d, "events"), work_folder(spark), name="events_progress")
+        log.wait(q.runId)
+    finally:
+        spark.streams.removeListener(log)
+    return spark.createDataFrame(log.rows(), ig.TOTALS).where("name = 'events_progress'").select("name", "input_rows", "error")
 
 
 @query("str_user_fn", "SELECT event_id, value * 2 AS doubled, upper(event_type) AS kind FROM events")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,33 +121,51 @@ class Pipelines:
         return sorted(n for n, q in self.running.items() if q.isActive)
 
 
+TOTALS = "name string, batches bigint, input_rows bigint, duration_ms bigint, error string"
 PROGRESS = "name string, batch_id bigint, input_rows bigint, rows_per_second double, duration_ms bigint, error string"
 
 
 def progress_rows(query) -> list[tuple]:
-    """Counts, throughput and duration of the recent batches of a query."""
+    """Counts, throughput and duration of the recent batches of a query (the last 100 by default; ``ProgressLog`` has the totals)."""
     error = query.exception()
     return [(query.name, p["batchId"], p["numInputRows"], p.get("processedRowsPerSecond"), p["durationMs"].get("triggerExecution"),
              str(error) if error else None) for p in query.recentProgress]
 
 
 class ProgressLog(StreamingQueryListener):
-    """Collects progress of all queries of a session; the rows are few and small."""
+    """Totals of all queries of a session by name: batches, rows, milliseconds and the last error, however many batches there are."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
-        self.errors: list[tuple] = []
+        self.totals: dict[str, list] = {}
+        self.names: dict[str, str] = {}
+        self.ended: set[str] = set()
+
+    def rows(self) -> list[tuple]:
+        return [(name, *t) for name, t in sorted(self.totals.items())]
+
+    def wait(self, run_id, seconds: float = 60.0) -> None:
+        """Events come after the query's own end; the last one of a run says that it ended."""
+        end = time.monotonic() + seconds
+        while str(run_id) not in self.ended:
+            if time.monotonic() > end:
+                raise TimeoutError(f"no end of {run_id} seen")
+            time.sleep(0.05)
 
     def onQueryStarted(self, event):
-        pass
+        self.names[str(event.runId)] = event.name
+        self.totals.setdefault(event.name, [0, 0, 0, None])
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.rows.append((p.name, p.batchId, p.numInputRows, p.processedRowsPerSecond, p.durationMs.get("triggerExecution"), None))
+        total = self.totals.setdefault(p.name, [0, 0, 0, None])
+        total[0] += 1
+        total[1] += p.numInputRows
+        total[2] += p.durationMs.get("triggerExecution") or 0
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
         if event.exception:
-            self.errors.append((str(event.id), event.exception))
+            self.totals.setdefault(self.names.get(str(event.runId)), [0, 0, 0, None])[3] = event.exception
+        self.ended.add(str(event.runId))

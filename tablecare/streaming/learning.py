@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STATE = "last_batch bigint, w array<double>, count bigint, mean array<double>, m2 array<double>, seen array<bigint>"
+
 
 class OnlineLogistic:
     """Logistic regression with a running scaler, a bounded replay table and a few gradient steps per batch."""
 
     def __init__(self, cols: list[str], label: str, rate: float = 0.5, steps: int = 5, replay_path: str | None = None, replay_share: float = 0.1,
-                 replay_batches: int = 5):
+                 replay_batches: int = 5, state_path: str | None = None):
         self.cols, self.label, self.rate, self.steps = cols, label, rate, steps
         self.w = [0.0] * (len(cols) + 1)
         self.count, self.mean, self.m2 = 0, [0.0] * len(cols), [0.0] * len(cols)
         self.replay_path, self.replay_share, self.replay_batches = replay_path, replay_share, replay_batches
+        self.state_path = state_path
         self.seen: list[int] = []
+        self.last_batch = -1
         self.history: list[tuple[int, int, float | None]] = []
 
     def _scaled(self) -> list:
@@ -53,8 +58,30 @@ class OnlineLogistic:
         row = df.agg(F.avg(err).alias("g0"), *[F.avg(err * x).alias(f"g{i + 1}") for i, x in enumerate(self._scaled())]).first()
         self.w = [w - self.rate * (row[f"g{i}"] or 0.0) for i, w in enumerate(self.w)]
 
+    def save(self, spark: SparkSession) -> None:
+        """One row per batch id beside the stream's checkpoint; a repeated batch replaces its own."""
+        row = (self.last_batch, self.w, self.count, self.mean, self.m2, self.seen)
+        spark.createDataFrame([row], STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/batch_id={self.last_batch}")
+
+    def restore(self, spark: SparkSession) -> OnlineLogistic:
+        """Go on from the newest saved batch, if there is one."""
+        try:
+            row = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(self.state_path).orderBy(F.desc("last_batch")).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            row = None
+        if row is not None:
+            self.last_batch, self.w, self.count, self.mean, self.m2, self.seen = (list(x) if isinstance(x, list) else x for x in row)
+        return self
+
     def learn(self, batch: DataFrame, batch_id: int) -> None:
-        """Score the batch with the model so far, then learn from it and from a sample of recent batches."""
+        """Score the batch with the model so far, then learn from it and from a sample of recent batches.
+
+        A batch that comes again after a restart is not learned twice. With ``state_path`` the model is saved after each batch.
+        """
+        if batch_id <= self.last_batch:
+            return
         rows = batch.select(*self.cols, self.label).dropna().persist()
         try:
             if rows.isEmpty():
@@ -71,9 +98,12 @@ class OnlineLogistic:
                 if kept:
                     paths = [f"{self.replay_path}/batch_id={b}" for b in kept]
                     train = rows.unionByName(rows.sparkSession.read.parquet(*paths).select(*self.cols, self.label))
-                self.seen.append(batch_id)
+                self.seen = [*kept, batch_id]
             for _ in range(self.steps):
                 self._step(train)
+            self.last_batch = batch_id
+            if self.state_path:
+                self.save(batch.sparkSession)
         finally:
             rows.unpersist()
 

@@ -46,3 +46,36 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     ensure_checkpoint_dir(spark)
     assert before and spark.sparkContext.getCheckpointDir() == before
     assert tb.SPLIT_DATE == "1998-05-24"
+
+
+def test_preprocessing_loses_no_column(spark):
+    from tablecare.operators.clean import TooManyValues
+    from tablecare.plans.preprocess import Preprocess
+
+    rows = [(i, f"city{i % 50}", (1, 5, 9)[i % 3], float(i), i % 2 == 0, None, f"some longer words number {i % 4} stand here") for i in range(400)]
+    df = spark.createDataFrame(rows, "key int, city string, code int, x double, flag boolean, nothing string, body string")
+    out = Preprocess(exclude=("key",)).fit(df).transform(df)
+    assert {"key", "city", "x", "nothing", "body"} <= set(out.columns) and {"code_1", "code_5", "code_9"} <= set(out.columns)
+    assert any(c.startswith("flag") for c in out.columns)
+    terms = Preprocess(exclude=("key",), text="tfidf", text_terms=3).fit(df).transform(df)
+    assert sum(c.startswith("body_tfidf_") for c in terms.columns) == 3 and "city" not in terms.columns
+    many = spark.range(3000).selectExpr("id", "concat('v', id % 1500) AS c")
+    with pytest.raises(TooManyValues):
+        Preprocess(exclude=("id",), rare_share=0.0, kinds={"c": "categorical"}).fit(many)
+
+
+def test_a_replayed_plan_does_not_swallow_too_many_values(spark):
+    from tablecare.operators.clean import TooManyValues
+    from tablecare.plans.cleaning_plan import Step, replay
+
+    many = spark.range(3000).selectExpr("id", "concat('v', id % 1500) AS c")
+    with pytest.raises(TooManyValues):
+        replay(many, [Step("encode", "c", {"method": "onehot"})])
+
+
+def test_feature_families_have_no_cap_of_their_own():
+    from tablecare.operators import features as fe
+
+    cols = [f"c{i}" for i in range(12)]
+    assert len(fe.interaction_columns(cols)) == 66 * 3 and len(fe.ratio_columns(cols)) == 66 * 2 and len(fe.polynomial_columns(cols)) == 78
+    assert len(fe.polynomial_columns(cols, cap=25)) == 25

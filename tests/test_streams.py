@@ -1,12 +1,15 @@
 """Streams: restarts, late rows, named pipelines and detectors."""
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tablecare.streaming import ingest as ig
 from tablecare.streaming import windows as ws
-from tablecare.streaming.stateful import ddm_step
+from tablecare.streaming.learning import OnlineLogistic
+from tablecare.streaming.stateful import ddm_step, error_drift_stream, zscore_stream
 
 
 def _rows(spark, rows):
@@ -69,3 +72,66 @@ def test_ddm_finds_a_rise():
 def test_kafka_options():
     out = ig.kafka_options("h:9092", "t", group="g", batch=10)
     assert out["subscribe"] == "t" and out["maxOffsetsPerTrigger"] == "10"
+
+
+@pytest.fixture
+def chunked(spark):
+    """Arrow chunks of 20 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    yield spark
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_state_streams_order_a_key_whatever_the_chunks(chunked, tmp_path):
+    random.seed(6)
+    rows = [(i, "a" if i % 3 else "b", 1000 + i, None if i % 50 == 7 else random.gauss(0, 1) + 9 * (i % 97 == 0)) for i in range(1500)]
+    kinds = "id long, k string, t long, v double"
+    errors = [(i, k, t, float(random.random() < (0.1 if i < 800 else 0.6))) for i, k, t, _ in rows]
+    found = []
+    for n, parts in enumerate((1, 5)):
+        random.shuffle(rows)
+        random.shuffle(errors)
+        chunked.createDataFrame(rows, kinds).repartition(parts).write.parquet(f"{tmp_path}/v{n}")
+        chunked.createDataFrame(errors, kinds).repartition(parts).write.parquet(f"{tmp_path}/e{n}")
+        z = ig.drained(chunked, zscore_stream(ig.file_stream(chunked, f"{tmp_path}/v{n}", kinds, files_per_batch=9), "k", "t", "v", "id"), f"{tmp_path}/z{n}")
+        d = ig.drained(chunked, error_drift_stream(ig.file_stream(chunked, f"{tmp_path}/e{n}", kinds, files_per_batch=9), "k", "t", "v", "id"), f"{tmp_path}/d{n}")
+        found.append(({r.id: (r.anomaly_score, r.is_anomaly) for r in z.collect()}, sorted((r.id, r.state) for r in d.collect())))
+    assert found[0] == found[1] and found[0][1]
+    values: dict[str, list] = {}
+    for i, k, _, v in sorted(rows):
+        values[k] = [*values.get(k, []), v][-100:]
+        seen = [x for x in values[k] if x is not None]
+        mean = sum(seen) / len(seen)
+        std = math.sqrt(sum((x - mean) ** 2 for x in seen) / len(seen))
+        want = None if v is None else abs(v - mean) / std if len(seen) > 2 and std > 0 else 0.0
+        got = found[0][0][i][0]
+        assert got is None if want is None else abs(got - want) < 1e-9
+
+
+def test_progress_counts_every_batch(spark, tmp_path):
+    spark.range(300).repartition(30).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    log = ig.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        q = ig.drain(ig.file_stream(spark, f"{tmp_path}/in", "id long", files_per_batch=2), f"{tmp_path}/out", name="counted")
+        log.wait(q.runId)
+    finally:
+        spark.streams.removeListener(log)
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert [r[2] for r in log.rows() if r[0] == "counted"] == [300]
+
+
+def test_online_model_goes_on_after_a_restart(spark, tmp_path):
+    batches = [spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(40 * b, 40 * b + 40)], "x double, y double") for b in range(4)]
+    whole = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r0", state_path=f"{tmp_path}/s0")
+    for b, rows in enumerate(batches):
+        whole.learn(rows, b)
+    first = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r1", state_path=f"{tmp_path}/s1")
+    for b in (0, 1):
+        first.learn(batches[b], b)
+    again = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r1", state_path=f"{tmp_path}/s1").restore(spark)
+    for b in (1, 2, 3):  # batch 1 comes a second time
+        again.learn(batches[b], b)
+    assert again.w == pytest.approx(whole.w) and again.count == whole.count == 160 and again.seen == whole.seen
+    assert OnlineLogistic(["x"], "y", state_path=f"{tmp_path}/none").restore(spark).last_batch == -1
