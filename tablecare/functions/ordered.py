@@ -43,6 +43,12 @@ def _order(order, descending: bool):
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
 
+def slice_count(df: DataFrame) -> int:
+    """Slices of at most about ``spark.tablecare.blockRows`` rows: a slice is one window task, so their number grows with the rows."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / block_rows(spark)))
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tuple[str, Column]],
             descending: bool = False, small: bool | None = None) -> DataFrame:
     """Running sum, min, max or last non-null value up to each row, per key, in a total order."""
@@ -53,7 +59,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tu
         w = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*by).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({n: _WITHIN[k](c, w) for n, (k, c) in outs.items()})
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = slice_count(df)
     sources = {f"_in_{n}": c for n, (_, c) in outs.items()}
     cut = df.withColumns(sources).repartitionByRange(parts, *[F.col(k) for k in keys], *by)
     cut = settle(cut.withColumn("_slice", F.spark_partition_id()))
@@ -86,22 +92,24 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "_r
     return running(df, keys, order, {out: ("sum", F.lit(1).cast("bigint"))}, small=small)
 
 
+BROADCAST_KEYS = 10_000
+
+
 def long_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys with too many rows for one task, or None.
+    """Keys with more rows than one task may hold, or None.
 
-    The limit never falls under a ten-thousandth of the table, so at most ten thousand keys can pass:
-    small enough to broadcast whatever the table size.
+    The limit is a fixed number of rows at any table size. Up to ``BROADCAST_KEYS`` such keys, counted, are marked for broadcast; more
+    are joined by shuffle.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     limit = small_rows(df.sparkSession)
-    total = df.count()
-    if total <= limit:
+    if is_small(df):
         return None
-    hot = counts.where(F.col("_n") > max(limit, total // 10000)).select(*keys)
-    rows = hot.collect()
-    if not rows:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = settle(counts.where(F.col("_n") > limit).select(*keys))
+    many = hot.limit(BROADCAST_KEYS + 1).count()
+    if not many:
         return None
-    return df.sparkSession.createDataFrame(rows, hot.schema)
+    return F.broadcast(hot) if many <= BROADCAST_KEYS else hot
 
 
 def framed(df: DataFrame, keys: list[str], order: list[str], span: int, build) -> DataFrame:
@@ -118,7 +126,6 @@ def framed(df: DataFrame, keys: list[str], order: list[str], span: int, build) -
     hot = long_keys(df, keys)
     if hot is None:
         return plain(df)
-    hot = F.broadcast(hot)
     cold_part = plain(df.join(hot, keys, "left_anti"))
     size = max(block_rows(df.sparkSession), span)
     numbered = row_numbers(df.join(hot, keys, "left_semi"), keys, order, "_frame_rn", small=False)

@@ -85,3 +85,22 @@ def test_decayed_sums_cross_blocks(large, rows):
                 want[i] = acc
         have = as_dict(got, name)
         assert all(math.isclose(have[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
+def test_slices_grow_with_the_rows(large):
+    from tablecare.functions.ordered import slice_count
+
+    base = int(large.conf.get("spark.sql.shuffle.partitions"))
+    assert slice_count(large.range(40 * base)) == base and slice_count(large.range(40 * base * 10)) == 10 * base
+
+
+def test_hot_keys_have_a_fixed_limit(spark):
+    from tablecare.functions.ordered import long_keys
+
+    spark.conf.set("spark.tablecare.smallRows", "50")
+    try:
+        few = spark.range(20_000).selectExpr("if(id < 60, 0, id) AS k")
+        assert [r[0] for r in long_keys(few, ["k"]).collect()] == [0]
+        assert long_keys(spark.range(20_000).selectExpr("id AS k"), ["k"]) is None
+    finally:
+        spark.conf.unset("spark.tablecare.smallRows")
