@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablecare.session import shared_folder
@@ -71,6 +71,18 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         state.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def smallest_hashes(rows: DataFrame, group: str, id_col: str, most: int, counts: dict[str, int]) -> DataFrame:
+    """The ``most`` rows of each group with the smallest hash of their id; ``counts`` are the rows per group, a table that fits a plan.
+
+    Rows far above the group's quantile are left out first, so that what meets in a group's task doesn't grow with the table.
+    """
+    place = F.pmod(F.xxhash64(id_col), F.lit(2**61 - 1))
+    shares = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, int(min(1.0, 2 * most / n + 64 / n) * (2**61 - 1)))])
+    few = rows.withColumn("_hash", place).where(F.col("_hash") <= F.element_at(shares, F.col(group))) if counts else rows.limit(0).withColumn("_hash", place)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash", id_col))
+    return few.withColumn("_place", rank).where(F.col("_place") <= most).drop("_hash", "_place")
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (one more than rows) of an Arrow string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

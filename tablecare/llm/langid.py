@@ -19,10 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.common import slices, text_buffers
+from tablecare.llm.common import slices, smallest_hashes, text_buffers
 
 BUCKETS = 8192
 MAX_LANGUAGES = 512
@@ -148,9 +148,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     seen = {r.place: r.n for r in found}
     df = np.array([seen.get(i, 0) for i in range(BUCKETS)], float)
     idf = np.log((1 + seen.get(-1, 0)) / (1 + df)) + 1
-    rank = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where("id IS NOT NULL").select("id", "language").withColumn("place", F.row_number().over(rank)).where(F.col("place") <= fit_rows)
-    sample = rows.join(F.broadcast(chosen.select("id", "language")), ["id", "language"], "left_semi") if _few(chosen, fit_rows) else rows.limit(0)
+    named = rows.where("id IS NOT NULL").select("id", "language")
+    counted = {r["language"]: r["count"] for r in named.groupBy("language").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} labels can't be learned")
+    chosen = smallest_hashes(named, "language", "id", fit_rows, counted)  # at most MAX_LANGUAGES * fit_rows ids, so they are broadcast
+    sample = rows.join(F.broadcast(chosen), ["id", "language"], "left_semi")
     made = sample.select("language", "text").mapInArrow(_sample_vectors(idf), "language string, vector binary, grams long")
     learned = made.groupBy("language").applyInArrow(_centres(centroids, slack), "language string, centre binary, limits array<double>").collect()
     learned = sorted(((r.language, bytes(r.centre), tuple(r.limits)) for r in learned))
@@ -158,14 +161,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
                  np.array([r[2] for r in learned]).reshape(-1, len(_SHORT) - 1))
 
 
-def _few(chosen: DataFrame, fit_rows: int) -> bool:
-    """The sample's ids are broadcast: at most MAX_LANGUAGES * fit_rows of them, which is checked here."""
-    languages = chosen.where("place = 1").count()
-    if languages > MAX_LANGUAGES:
-        raise ValueError(f"{languages} labels; at most {MAX_LANGUAGES} can be learned")
-    return languages > 0
-
-
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mapped = _MAP[data]
     run = np.concatenate([[0], np.cumsum((mapped != 32) & (data < 128))])

@@ -21,10 +21,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.common import Workspace
+from tablecare.llm.common import Workspace, smallest_hashes
 
 SHARES = (0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4)
 MARKERS, FIT_ROWS = 25, 4000
@@ -78,12 +78,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     ws = Workspace(spark)
     labels = labelled.select(F.col(label_id).alias("_id"), F.col(domain_col).cast("string").alias("_domain")).where("_id IS NOT NULL AND _domain IS NOT NULL").distinct()
-    rank = Window.partitionBy("_domain").orderBy(F.xxhash64("_id"), "_id")
-    chosen = labels.withColumn("_place", F.row_number().over(rank)).where(F.col("_place") <= fit_rows).drop("_place")
     counted = {r["_domain"]: r["n"] for r in labels.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     names = sorted(counted)
     if len(names) > 64:
         raise ValueError(f"{len(names)} domains; at most 64 can be mixed")
+    chosen = smallest_hashes(labels, "_domain", "_id", fit_rows, counted)
     sample = ws.put(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id"), "sample")
     rows = {r["_domain"]: r["n"] for r in sample.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     names = [d for d in names if rows.get(d)]
