@@ -70,12 +70,13 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _pieces(offsets: np.ndarray):
     for a, b in slices(offsets):
-        for k in range(a, b, 256):
-            yield k, min(b, k + 256)
+        for k in range(a, b, 96):
+            yield k, min(b, k + 96)
 
 
 def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(found).astype(np.float32) * idf.astype(np.float32)
+    out = np.log1p(found, dtype=np.float32)
+    out *= idf.astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

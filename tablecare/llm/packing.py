@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PARTS, CACHE_WORDS = 200_000, 800_000
+CACHE_PARTS, CACHE_WORDS = 100_000, 400_000
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
