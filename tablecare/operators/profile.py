@@ -49,11 +49,22 @@ def value_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Distinct non-missing values per column, exact or approximate."""
     cols = cols or df.columns
-    count = F.countDistinct if exact else F.approx_count_distinct
-    row = df.agg(*[count(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in cols])
+    if exact:
+        rows = list(exact_distinct(df, cols).items())
+        return df.sparkSession.createDataFrame(rows, "column string, distinct bigint")
+    row = df.agg(*[F.approx_count_distinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in cols])
     return melt_row(row, {c: {"distinct": c} for c in cols})
 
 
+def exact_distinct(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """One pass per column, side by side: each reads and shuffles its own column, pre-aggregated.
+
+    Several distinct counts in one aggregate would copy every row once per column and shuffle on all of them.
+    """
+    one = lambda c: df.agg(F.countDistinct(F.when(~is_missing(df, c), F.col(f"`{c}`")))).first()[0]
+    return dict(zip(cols, map(int, together(*[lambda c=c: one(c) for c in cols]))))
+
+
 # Rules compare distinct counts with fixed small numbers and with these shares of the rows.
 RULE_SHARES = (0.5, 0.9)
 FEW_VALUES = 5000
@@ -74,10 +85,7 @@ def rule_distinct(df: DataFrame, rows: int, text: list[str], rough: dict[str, in
     rough = dict(rough or rough_distinct(df))
     near = [c for c, n in rough.items() if n < FEW_VALUES or (
         c in text and rows and any(abs(n / rows - s) < 0.15 for s in RULE_SHARES))]
-    parts = [near[i:i + 8] for i in range(0, len(near), 8)]
-    exact = lambda part: df.agg(*[F.countDistinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in part]).first().asDict()
-    for found in together(*[lambda part=part: exact(part) for part in parts]):
-        rough.update({c: int(n) for c, n in found.items()})
+    rough.update(exact_distinct(df, near))
     return rough
 
 

@@ -8,6 +8,7 @@ from tablecare.functions.columns import has_word, kind_of, numeric_columns
 from tablecare.operators.profile import Facts, missing_counts, outlier_counts
 from tablecare.operators.quality import local_stats, recommendations
 from tablecare.plans.cleaning_plan import Step, replay
+from tablecare.session import settle
 
 # Outlier steps leave these columns alone in retail data.
 SKIP_WORDS = ("stock", "qty", "quantity")
@@ -37,6 +38,8 @@ def auto_clean(df: DataFrame, sector: str = "general", by: str = "category",
         steps += [Step("handle_sentinels", c) for c in before.sentinel_columns() if c not in protect]
         steps += [Step("fix_negative_prices", c, {"by": by}) for c in before.negative_prices() if c not in protect]
     cleaned, log = replay(df, steps)
+    # Each stage is fitted in several passes: what the stage before it shuffled is written once, not worked out in each of them.
+    cleaned = settle(cleaned) if steps else cleaned
 
     rows, missing = missing_counts(cleaned)
     kinds = {c: kind_of(cleaned, c) for c in cleaned.columns}
@@ -46,6 +49,7 @@ def auto_clean(df: DataFrame, sector: str = "general", by: str = "category",
     steps += [_fill_step(c, kinds[c] == "numeric", group) for c in open_
               if 0 < missing[c] <= 0.5 * rows and kinds[c] in ("numeric", "text")]
     cleaned, more = replay(cleaned, steps)
+    cleaned = settle(cleaned) if steps else cleaned
     log += more
 
     free = [c for c in numeric_columns(cleaned) if c not in protect and not (retail and has_word(c, SKIP_WORDS))]
