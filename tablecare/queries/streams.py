@@ -76,6 +76,44 @@ def str_multi_window(spark, d):
                       *[rnd(c, 4 if c in ("sum", "range") else 6).alias(c) for c in out.columns if c not in exact])
 
 
+TRAILING = {"1min": 60, "5min": 300, "15min": 900, "60min": 3600}
+
+
+def _back(name, seconds):
+    w = f"OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"
+    return f"count(value) {w} AS count_{name}, round(avg(value) {w}, 6) + 0.0 AS mean_{name}, min(value) {w} AS min_{name}, max(value) {w} AS max_{name}"
+
+
+@query("str_trailing", "SELECT event_id, " + ", ".join(_back(n, s) for n, s in TRAILING.items()) + " FROM events")
+def str_trailing(spark, d):
+    """Statistics of the last 1, 5, 15 and 60 minutes before each event of its type."""
+    out = ws.trailing(tb.load(spark, d, "events").select("event_id", "event_type", "ts", "value"), "ts", "value", TRAILING, ["event_type"])
+    return out.drop("event_type", "ts", "value").withColumns({f"mean_{n}": rnd(f"mean_{n}") for n in TRAILING})
+
+
+# Four files: up to the 10th; from the 20th but for a fifth of the last days; a tenth of these; and the rest, most of it behind the
+# watermark by then. Spark drops rows by the watermark that held in the batch before, so the third file lets that of the second take effect.
+LAST = "ts >= TIMESTAMP '2024-01-26 00:00:00' AND event_id % 10"
+FILES = {"a": "ts < TIMESTAMP '2024-01-11 00:00:00'", "b": f"ts >= TIMESTAMP '2024-01-20 00:00:00' AND NOT ({LAST} < 2)", "m": f"{LAST} = 1"}
+FILES["c"] = " AND NOT ".join(f"({rows})" for rows in ("TRUE", *FILES.values()))
+
+
+@query("str_late_rows", f"""
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type AS metric, count(value) AS count, round(sum(value), 4) + 0.0 AS sum
+FROM (SELECT *, ({FILES['c']}) AS late, max(ts) FILTER (({FILES['a']}) OR ({FILES['b']})) OVER () AS top FROM events)
+WHERE NOT late OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > date_trunc('milliseconds', top) - INTERVAL 5 DAYS GROUP BY ALL""")
+def str_late_rows(spark, d):
+    """Daily windows of a stream of four files; rows of the last one count only where their window is still open."""
+    base = work_folder(spark)
+    events = tb.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for rows in FILES.values():
+        events.where(rows).coalesce(1).write.mode("append").parquet(f"{base}/events")
+    stream = ig.file_stream(spark, f"{base}/events", events.schema, files_per_batch=1)
+    out = ig.drained(spark, ws.tumbling(stream, "ts", "event_type", "value", slide="1 day", keep="5 days"), f"{base}/out", "update")
+    out = ig.newest_update(out, ["window_start", "metric"])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", "count", rnd("sum", 4).alias("sum"))
+
+
 DAYS = {"6hour": 21600, "12hour": 43200, "1day": 86400}
 
 

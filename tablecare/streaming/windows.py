@@ -63,6 +63,24 @@ def multi_window(df: DataFrame, ts: str, value: str, sizes: dict[str, int]) -> D
     return out.join(far, keys).withColumn("outlier_ratio", F.col("outlier_count") / F.col("count"))
 
 
+def trailing(df: DataFrame, ts: str, value: str, sizes: dict[str, int], keys: list[str]) -> DataFrame:
+    """Count, mean, min and max over the last seconds before each row (itself and rows of the same time included), for several sizes.
+
+    A key's history is cut into blocks as long as the longest size. A row belongs to its own block and leads in the next one, so a window
+    task holds two blocks of a key at most, however long the history is.
+    """
+    longest = max(sizes.values()) * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    home = F.floor(at / longest)
+    led = df.withColumns({"_at": at, "_home": home}).withColumn("_block", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
+    by = W.partitionBy(*keys, "_block").orderBy("_at")
+    made = {}
+    for name, seconds in sizes.items():
+        w = by.rangeBetween(-seconds * 1_000_000, 0)
+        made.update({f"count_{name}": F.count(value).over(w), f"mean_{name}": F.avg(value).over(w), f"min_{name}": F.min(value).over(w), f"max_{name}": F.max(value).over(w)})
+    return led.withColumns(made).where("_home = _block").drop("_at", "_home", "_block")
+
+
 def patterns(stats: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """Trend and volatility across window sizes that end at the same time; all sizes must be there.
 
