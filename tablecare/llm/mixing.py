@@ -82,7 +82,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     names = sorted(counted)
     if len(names) > 64:
         raise ValueError(f"{len(names)} domains; at most 64 can be mixed")
-    chosen = smallest_hashes(labels, "_domain", "_id", fit_rows, counted)
+    chosen = F.broadcast(smallest_hashes(labels, "_domain", "_id", fit_rows, counted))  # at most 64 * fit_rows ids
     sample = ws.put(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id"), "sample")
     rows = {r["_domain"]: r["n"] for r in sample.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     names = [d for d in names if rows.get(d)]
