@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -23,6 +25,25 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _local.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tablecare-llm-"))
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python in batches of ``rows``, unless the session has a value of its own: Spark's default holds 10,000 texts at a time."""
+    if spark.conf.get(BATCH_KEY, BATCH_ROWS) == BATCH_ROWS:
+        spark.conf.set(BATCH_KEY, str(rows))
+
+
+def release_memory() -> None:
+    """Give free memory of a Python worker back at the end of a task; the worker lives on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 class Workspace:
     """Tables written once to the shared folder, so that lineage is cut and a lost executor costs no recomputation."""
 
@@ -94,7 +115,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of about ``most`` bytes each (one row at least), which bounds the arrays made at a time."""
     start, n = 0, len(offsets) - 1
     while start < n:

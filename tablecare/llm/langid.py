@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecare.llm.common import slices, smallest_hashes, text_buffers
+from tablecare.llm.common import modest_batches, release_memory, slices, smallest_hashes, text_buffers
 
 BUCKETS = 8192
 MAX_LANGUAGES = 512
@@ -90,6 +90,7 @@ def _document_frequency(column_at: int):
                 total += (counts(data[part[0] : part[-1]], part - part[0]) > 0).sum(axis=0)
             rows += batch.num_rows
         where = np.flatnonzero(total)
+        release_memory()
         yield pa.record_batch([pa.array(np.append(where, -1).astype(np.int32)), pa.array(np.append(total[where], rows))], names=["place", "n"])
 
     return run
@@ -104,6 +105,7 @@ def _sample_vectors(idf: np.ndarray):
                 found = counts(data[part[0] : part[-1]], part - part[0])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array([v.tobytes() for v in vectors(found, idf)], pa.binary()),
                                        pa.array(found.sum(axis=1))], names=["language", "vector", "grams"])
+        release_memory()
 
     return run
 
@@ -142,7 +144,7 @@ def _centres(k: int, slack: float):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", *, centroids: int = 4,
         fit_rows: int = 800, slack: float = 0.4) -> Model:
     """Learn from the rows whose label is not null and whose text holds something."""
-    spark = docs.sparkSession
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("language"), F.col(text_col).alias("text")).where(
         "language IS NOT NULL AND text IS NOT NULL AND text <> ''")
     found = rows.select("text").mapInArrow(_document_frequency(0), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
@@ -200,7 +202,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             languages, score, rejected = judge(batch.column(1), model)
             yield pa.record_batch([batch.column(0), pa.array(languages, pa.string()), pa.array(score), pa.array(rejected)], names=names)
+        release_memory()
 
+    modest_batches(docs.sparkSession)
     rows = docs.select(id_col, text_col)
     names = [id_col, "lang_pred", "score", "rejected"]
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
@@ -213,5 +217,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def run(batches):
         for batch in batches:
             yield batch.filter(pc.invert(pa.array(judge(batch.column(at), model)[2])))
+        release_memory()
 
+    modest_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

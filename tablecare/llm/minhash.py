@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm import shingles
-from tablecare.llm.common import Workspace, components, mix64, slices, text_buffers
+from tablecare.llm.common import Workspace, components, mix64, modest_batches, release_memory, slices, text_buffers
 
 BANDS, ROWS = 32, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 600, 2_000_000
@@ -73,7 +73,10 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, width: int, ban
                 ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(s1), pa.array(s2), pa.array(sizes),
                                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["id", "s1", "s2", "n", "bands"])
+        shingles.forget()
+        release_memory()
 
+    modest_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, "id long, s1 long, s2 long, n long, bands array<long>")
 

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecare.llm.common import modest_batches, release_memory
+
 CACHE_PARTS, CACHE_WORDS = 100_000, 400_000
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -56,6 +58,11 @@ class Words:
         for piece, i in vocabulary.items():
             self.sentence_end[i] = piece.endswith((".</w>", "!</w>", "?</w>"))
 
+    def forget(self) -> None:
+        self.parts.clear()
+        self.parts[""] = b""
+        self.words.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -213,7 +220,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
                     yield settle(False)
         if waiting:
             yield settle(True)
+        words.forget()
+        release_memory()
 
+    modest_batches(docs.sparkSession)
     return narrow.mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")
 
 

@@ -28,6 +28,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint of every word (A-Z lower-cased, split at ASCII white space) and the number of words per row."""
     n = len(data)

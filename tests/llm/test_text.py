@@ -179,7 +179,7 @@ def test_license_edges(spark, tiny, none):
     assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].labels, got[0].score) == (1, 1, 1, "mit", 1.0)
     assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word) == (6, 2, 0, 3)
     assert got[2].base_labels == "apache-2" and got[2].first_word == 3 and got[3].n_base == 0 and got[4].base_labels == ""
-    assert got[5].labels == "gpl-3" and got[5].base_labels == "" and got[5].score == 1.0 and 0.8 <= got[6].score < 1 and got[7].n_base == 0
+    assert "gpl-3" in got[5].labels.split(",") and "mit" not in got[5].labels and got[5].base_labels == "" and got[5].score == 1.0 and 0.8 <= got[6].score < 1 and got[7].n_base == 0
     assert got[8].n_words == got[9].n_words == 0 and got[8].first_word is None and got[9].labels == ""
     assert licenses.scan(tiny).count() == 13 and licenses.scan(none).count() == 0
 
