@@ -4,8 +4,9 @@ A text becomes a vector of its n-grams (1 to 4 bytes of UTF-8, ASCII lower-cased
 ``BUCKETS`` places, weighted log(1 + count) * idf and normalised to length 1. Document frequencies are counted over every labelled row.
 Only the centroids are fitted on a bounded sample: the ``fit_rows`` labelled rows per language with the smallest hash of their id.
 Spherical k-means gives ``centroids`` centres per language. A text takes the language of the centre with the largest cosine; ties go to
-the smaller language name. It is rejected when that cosine is below the centre's own limit, a share of the lowest cosines among its
-sample rows of similar or smaller length.
+the smaller language name. It is rejected when that cosine is below the limit of the centre's language for texts of its length: the ``low``
+quantile of the cosines that sample rows have with centres fitted without them. Fewer rows than show that quantile (three of them below
+it) give an estimate of the lowest cosine possible instead. A language that passages of known ones quote at length isn't told by this.
 
 Null texts and texts without a letter give ``und``, score 0, and are rejected. When nothing was learned, texts with letters give ``und``
 with score 0 and are not rejected. Repeated rows are judged row by row. Columns other than the named ones play no part. Very long texts
@@ -110,30 +111,55 @@ def _sample_vectors(idf: np.ndarray):
     return run
 
 
-def _centres(k: int, slack: float):
-    """Spherical k-means on one language's sample: start from the mean and the rows farthest from all centres, 12 rounds."""
+def _cluster(x: np.ndarray, grams: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means: start from the mean and the rows farthest from all centres, 12 rounds."""
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    long = x[grams >= np.median(grams)]
+    c = [unit(long.mean(axis=0))]
+    while len(c) < min(k, len(long)):
+        c.append(long[np.argmin((long @ np.array(c).T).max(axis=1))])
+    c = np.array(c)
+    for _ in range(12):
+        near = (x @ c.T).argmax(axis=1)
+        c = np.array([unit(x[near == j].mean(axis=0)) if (near == j).any() else c[j] for j in range(len(c))])
+    return c
+
+
+def _unseen(x: np.ndarray, grams: np.ndarray, k: int, folds: int = 4) -> np.ndarray:
+    """Each row's largest cosine with centres fitted without its fold; a row alone has its own."""
+    if len(x) < 2:
+        return np.ones(len(x))
+    fold, out = np.arange(len(x)) % folds, np.empty(len(x))
+    for i in range(min(folds, len(x))):
+        rest = fold != i
+        out[~rest] = (x[~rest] @ _cluster(x[rest], grams[rest], k).T).max(axis=1)
+    return out
+
+
+def _low_end(close: np.ndarray, low: float) -> float:
+    """The ``low`` quantile, or with too few rows for it the lowest value less its distance from the next one."""
+    if low * len(close) >= 3:
+        return float(np.quantile(close, low))
+    least = np.sort(close)[:2]
+    return max(0.0, float(2 * least[0] - least[1])) if len(least) > 1 else 0.5 * float(least[0])
+
+
+def _centres(k: int, low: float):
+    """Centres of one language's sample, and its limits per length class."""
 
     def run(group: pa.Table) -> pa.Table:
         x = np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float32).reshape(-1, BUCKETS)
         grams = group.column("grams").to_numpy()
         order = np.lexsort((x @ x.sum(axis=0), grams))
         x, grams = x[order], grams[order]
-        unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
-        heavy = grams >= np.median(grams)
-        c = [unit(x[heavy].mean(axis=0))]
-        while len(c) < min(k, int(heavy.sum())):
-            c.append(x[heavy][np.argmin((x[heavy] @ np.array(c).T).max(axis=1))])
-        c = np.array(c)
-        for _ in range(12):
-            near = (x @ c.T).argmax(axis=1)
-            c = np.array([unit(x[near == j].mean(axis=0)) if (near == j).any() else c[j] for j in range(len(c))])
-        close = (x @ c.T).max(axis=1)
+        c = _cluster(x, grams, k)
+        close = _unseen(x, grams, k)
         kind = np.searchsorted(_SHORT, grams, "right") - 1
-        limits, low = [], 1.0
+        limits, least = [], 1.0
         for j in range(len(_SHORT) - 2, -1, -1):  # a shorter text never has a higher limit than a longer one
-            mine = close[kind >= j] if j == len(_SHORT) - 2 else close[kind == j]
-            low = min(low, float(np.quantile(mine, 0.01))) if len(mine) else low * 0.5
-            limits.append(slack * low)
+            mine = close[kind == j]
+            least = min(least, _low_end(mine, low)) if len(mine) else least * 0.5
+            limits.append(least)
         return pa.table({"language": pa.array([group.column("language")[0].as_py()] * len(c), pa.string()),
                          "centre": pa.array([v.astype(np.float32).tobytes() for v in c], pa.binary()),
                          "limits": pa.array([limits[::-1]] * len(c), pa.list_(pa.float64()))})
@@ -142,7 +168,7 @@ def _centres(k: int, slack: float):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", *, centroids: int = 4,
-        fit_rows: int = 800, slack: float = 0.4) -> Model:
+        fit_rows: int = 800, low: float = 0.01) -> Model:
     """Learn from the rows whose label is not null and whose text holds something."""
     modest_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("language"), F.col(text_col).alias("text")).where(
@@ -158,7 +184,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     chosen = smallest_hashes(named, "language", "id", fit_rows, counted)  # at most MAX_LANGUAGES * fit_rows ids, so they are broadcast
     sample = rows.join(F.broadcast(chosen), ["id", "language"], "left_semi")
     made = sample.select("language", "text").mapInArrow(_sample_vectors(idf), "language string, vector binary, grams long")
-    learned = made.groupBy("language").applyInArrow(_centres(centroids, slack), "language string, centre binary, limits array<double>").collect()
+    learned = made.groupBy("language").applyInArrow(_centres(centroids, low), "language string, centre binary, limits array<double>").collect()
     learned = sorted(((r.language, bytes(r.centre), tuple(r.limits)) for r in learned))
     return Model([r[0] for r in learned], np.array([np.frombuffer(r[1], np.float32) for r in learned]).reshape(-1, BUCKETS), idf,
                  np.array([r[2] for r in learned]).reshape(-1, len(_SHORT) - 1))

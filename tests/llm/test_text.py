@@ -35,6 +35,23 @@ def test_language_id_learns_and_rejects(spark, tiny, none):
     assert not nothing.languages and langid.predict(tiny, nothing).where("lang_pred <> 'und'").count() == 0 and langid.predict(none, model).count() == 0
 
 
+def test_language_id_rejects_a_language_left_out_and_random_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = F.expr("crc32(cast(doc_id AS string)) % 5 = 0")
+    odd = F.expr("size(array_distinct(split(text, '[ \n]+'))) < 0.4 * size(split(text, '[ \n]+')) OR text LIKE '%!!%'")  # a word over and over, or shouting
+    random.seed(7)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(2, 9)))
+    letters = [(i, " ".join(word() for _ in range(150))) for i in range(20)] + [(20, "".join(random.choices("ABCXYZabcdefghxyz0123456789+/", k=900)))]
+    strange = spark.createDataFrame(letters, "doc_id long, text string")
+    model = langid.fit(docs.where(~held & (F.col("lang") != "fr")))
+    out = langid.predict(docs.where("lang = 'fr'"), model)
+    assert out.where("rejected").count() >= 0.95 * out.count()
+    assert langid.predict(strange, model).where("rejected").count() == len(letters)
+    clean = docs.where(held & ~odd)
+    got = langid.predict(clean, langid.fit(docs.where(~held)))
+    assert got.where("NOT rejected").count() >= 0.99 * got.count() and got.count() > 500
+
+
 def test_gram_counts_are_those_of_single_texts():
     texts = [b"", b"a", b"The cat; sat.  on", "Größe é".encode(), b"..", b"x" * 70]
     joined, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
