@@ -14,6 +14,9 @@ to the cells under that prefix and returns the best of each. Queries are dealt i
 Only the medians are fitted on a sample, the ``sample_rows`` rows with the smallest hash; every row is indexed. On isotropic data nearest
 neighbours are hardly nearer than the rest, and the share decides the recall; 0.9 and more is measured in the tests.
 
+Rows that repeat an id and its vector are indexed once. Rows of an id with several vectors count together as one candidate, are dealt over
+the parts of a cell by their vectors, and are reduced to the best one before the nearest ids are taken.
+
 Vectors that are null, zero, hold null or non-finite components or have another length than most take no part, nor do null ids. Rows with a
 query's own id are no candidates of it. Repeated ids are returned once, with their best score. Ties go to the smaller id. Fewer candidates than ``k``
 are all returned. Other columns are ignored. An empty table gives an empty result.
@@ -50,7 +53,8 @@ def _hash(hashes: Hashes):
         for batch in batches:
             x = unit(matrix(batch.column(1)))
             for tree in range(len(hashes.planes)) if len(x) else ():
-                yield pa.record_batch([pa.array(np.full(len(x), tree, np.int32)), pa.array(hashes.strings(x, tree)), batch.column(0)], names=["tree", "string", "id"])
+                yield pa.record_batch([pa.array(np.full(len(x), tree, np.int32)), pa.array(hashes.strings(x, tree)), *batch.columns[:1], *batch.columns[2:]],
+                                      names=["tree", "string", "id", *batch.schema.names[2:]])
 
     return run
 
@@ -63,16 +67,18 @@ def _ranges(strings: np.ndarray, asked: np.ndarray, length: np.ndarray | int):
 
 
 def _count(depth: int):
-    """For each query of a cell part, the matches per prefix length from ``depth`` on, up to the last length that has any."""
+    """For each query of a cell part, the ids (an id's rows together count 1) per prefix length from ``depth`` on, up to the last length that has any."""
 
     def run(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy(zero_copy_only=False)
         strings = group.column("string").to_numpy()
-        rows, asked = np.sort(strings[~query]), strings[query]
+        order = np.argsort(strings[~query])
+        rows, asked = strings[~query][order], strings[query]
+        weight = np.concatenate([[0.0], np.cumsum(group.column("weight").to_numpy()[~query][order])])
         ids = group.column("id").to_numpy()[query]
-        counts = np.stack([np.subtract(*_ranges(rows, asked, n)[::-1]) for n in range(depth, BITS + 1)], axis=1) if len(asked) else np.zeros((0, 1), np.int64)
+        counts = np.stack([np.subtract(*(weight[x] for x in _ranges(rows, asked, n)[::-1])) for n in range(depth, BITS + 1)], axis=1) if len(asked) else np.zeros((0, 1))
         at, length = np.nonzero(counts)
-        return pa.table({"id": pa.array(ids[at], pa.int64()), "bits": pa.array((length + depth).astype(np.int32)), "n": pa.array(counts[at, length], pa.int64())})
+        return pa.table({"id": pa.array(ids[at], pa.int64()), "bits": pa.array((length + depth).astype(np.int32)), "n": pa.array(counts[at, length], pa.float64())})
 
     return run
 
@@ -87,21 +93,26 @@ def _search(k: int):
         order = np.flatnonzero(~query)
         order = order[np.argsort(strings[order], kind="stable")]
         rows, own, asked = x[order], ids[order], np.flatnonzero(query)
+        alone = len(np.unique(own)) == len(own)
         low, high = _ranges(strings[order], strings[asked], group.column("bits").to_numpy()[asked])
         out_q, out_v, out_s = [], [], []
         for a, b in np.unique(np.stack([low, high]), axis=1).T if len(asked) else ():
             mine = asked[(low == a) & (high == b)]
+            by_id = np.argsort(own[a:b], kind="stable")
+            first = np.flatnonzero(np.diff(own[a:b][by_id], prepend=own[a:b][by_id][:1] - 1)) if b > a else by_id
             for part in range(0, len(mine), 256):
                 some = mine[part : part + 256]
                 score = x[some] @ rows[a:b].T
                 score[ids[some][:, None] == own[None, a:b]] = -np.inf
-                least = np.partition(score, max(0, b - a - k), axis=1)[:, max(0, b - a - k)] - 1e-9 if b > a else None
+                each = score if alone or b == a else np.maximum.reduceat(score[:, by_id], first, axis=1)  # the best row of each id
+                kth = max(0, each.shape[1] - k)
+                least = np.partition(each, kth, axis=1)[:, kth] - 1e-9 if b > a else None
                 for i, q in enumerate(some if b > a else ()):
                     near = np.flatnonzero((score[i] >= least[i]) & (score[i] > -np.inf))
                     exact = (rows[a + near] * x[q]).sum(axis=1)  # one fixed order of addition: equal vectors have equal scores
-                    best = np.lexsort((own[a + near], -exact))[: max(k, 1) * 4]
-                    _, first = np.unique(own[a + near][best], return_index=True)
-                    best = best[np.sort(first)][:k]
+                    best = np.lexsort((own[a + near], -exact))
+                    _, top = np.unique(own[a + near][best], return_index=True)
+                    best = best[np.sort(top)][:k]
                     out_q.append(np.full(len(best), ids[q]))
                     out_v.append(own[a + near][best])
                     out_s.append(exact[best])
@@ -116,8 +127,11 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     """query_id, rank (from 1), vec_id, score for every usable row of ``queries`` (columns as ``rows``)."""
     ws = Workspace(rows.sparkSession)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL")
-    base = ws.put(usable(pick(rows)), "rows")
-    total, width = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    base = ws.put(usable(pick(rows)).dropDuplicates(["id", "v"]), "distinct")
+    several = ws.put(base.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    base = base.join(several, "id", "left").withColumn("row", F.monotonically_increasing_id())
+    base = ws.put(base.select("row", "id", "v", (1 / F.coalesce("n", F.lit(1))).alias("weight")), "rows")
+    total, width, ids = base.agg(F.count("*"), F.max(F.size("v")), F.sum("weight")).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
         return rows.sparkSession.createDataFrame([], empty)
@@ -129,26 +143,26 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     blocks = max(1, -(-asked.count() // query_rows))
     schema = "tree int, string long, id long"
     cell = F.shiftright("string", BITS - depth) if depth else F.lit(0).cast("long")
-    index = ws.put(base.select("id", "v").mapInArrow(_hash(hashes), schema).withColumn("cell", cell), "index")
+    index = ws.put(base.select("id", "v", "row", "weight").mapInArrow(_hash(hashes), schema + ", row long, weight double").withColumn("cell", cell), "index")
     asking = ws.put(asked.select("id", "v").mapInArrow(_hash(hashes), schema).withColumn("cell", cell), "asking")
-    cells = ws.put(index.groupBy("tree", "cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / (2 * cell_rows)).cast("int")), "cells")
-    index = index.join(cells.select("tree", "cell", "parts"), ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    cells = ws.put(index.groupBy("tree", "cell").agg(F.sum("weight").alias("n"), F.ceil(F.count("*") / (2 * cell_rows)).cast("int").alias("parts")), "cells")
+    index = index.join(cells.select("tree", "cell", "parts"), ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every_block, every_part = F.explode(F.expr(f"sequence(0, {blocks - 1})")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     key = ["tree", "cell", "part", "block"]
 
     # Matches by prefix length: inside the own cell, and above it by whole cells.
     inner = asking.join(cells, ["tree", "cell"]).withColumn("part", every_part).withColumn("block", block)
-    both = index.withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id").union(
-        inner.withColumn("query", F.lit(True)).select(*key, "query", "string", "id"))
-    matches = both.groupBy(*key).applyInArrow(_count(depth), "id long, bits int, n long")
+    both = index.withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", "weight").union(
+        inner.withColumn("query", F.lit(True)).select(*key, "query", "string", "id", F.lit(0.0)))
+    matches = both.groupBy(*key).applyInArrow(_count(depth), "id long, bits int, n double")
     above = cells.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - bits)"))
     above = ws.put(above.select("tree", "bits", "prefix", "cell", "n", "parts"), "above")
     asking_above = asking.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - bits)"))
     if depth:
         whole = above.where(F.col("bits") < depth).groupBy("tree", "bits", "prefix").agg(F.sum("n").alias("n"))
         matches = matches.union(asking_above.join(whole, ["tree", "bits", "prefix"]).select("id", "bits", "n"))
-    enough = max(candidates, share * total)
+    enough = max(candidates, share * ids) * (1 - 1e-9)  # sums of weights are rounded
     ascend = matches.groupBy("id", "bits").agg(F.sum("n").alias("n")).where((F.col("n") >= enough) | (F.col("bits") == 0)).groupBy("id").agg(F.max("bits").alias("reach"))
     ascend = ws.put(asked.select("id").join(ascend, "id", "left").na.fill(0, ["reach"]), "ascend")
 
@@ -156,7 +170,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     reach = asking_above.join(ascend, "id").where(F.col("bits") == F.least("reach", F.lit(depth))).select("tree", "bits", "prefix", "string", "id", "reach")
     sent = reach.join(above, ["tree", "bits", "prefix"]).withColumn("part", every_part).withColumn("block", block)
     sent = sent.join(asked, "id").withColumn("query", F.lit(True)).select(*key, "query", "string", "id", F.col("reach").alias("bits"), "v")
-    held = index.join(base, "id").withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", F.lit(0).alias("bits"), "v")
+    held = index.join(base.select("row", "v"), "row").withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", F.lit(0).alias("bits"), "v")
     found = held.union(sent).groupBy(*key).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -112,6 +112,21 @@ def test_forest_finds_neighbours_and_breaks_ties_by_id(spark, cell_rows):
     assert forest.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [8192, 16])
+def test_forest_reduces_repeated_ids_before_the_nearest(spark, cell_rows):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 16))
+    near = [(500, (base[0] + rng.normal(size=16) * 1e-3).tolist()) for _ in range(60)]  # one id, many vectors, nearest to the query
+    rows = [(i, x.tolist()) for i, x in enumerate(base)] + near + [(501, base[0].tolist())] * 60
+    df = vectors(spark, [(*r, "0", "x", 1) for r in rows])
+    got = forest.nearest(df, df.where("vec_id = 0"), candidates=10_000, cell_rows=cell_rows).orderBy("rank").collect()
+    best = {}
+    for i, x in rows:
+        best[i] = max(best.get(i, -2.0), float(unit(x) @ unit(base[0])))
+    want = sorted(((-s, i) for i, s in best.items() if i))[:5]
+    assert [r.vec_id for r in got] == [i for _, i in want] and all(abs(r.score + s) < 1e-12 for r, (s, _) in zip(got, want))
+
+
 def test_forest_recall_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = forest.nearest(df, df.where("vec_id % 50 = 0")).collect()
