@@ -1,6 +1,7 @@
 """License scans: phrases at word places, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A text block is a sentence or line. It matches a template when it holds at least ``threshold`` of the template's distinct words. The join is
+A text block is a line or, within it, a sentence; beside these, a sentence that runs over several lines is a block too, numbered after them.
+Lines without a word end such sentences. A block matches a template when it holds at least ``threshold`` of the template's distinct words. The join is
 exact: template words are ordered by how many blocks of the whole corpus hold them, rarest first; a template with m words of which r are
 needed must share one of its m - r + 1 rarest with a matching block (prefix filter), the block must hold at least r template words (length
 filter), and the words after the shared one must still suffice on both sides (positional filter). Candidates are verified by their full
@@ -41,6 +42,8 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 BREAK, GAP = r"[.!?;]\s+|[\r\n]+", r"[^0-9a-z\x{80}-\x{10FFFF}\n]+"
+# Ends of sentences that may run over lines: marks, and lines without a word. What is left of line ends is inside a sentence.
+PARAGRAPH = r"[.!?;]\s+|\n(?:[^0-9a-z\x{80}-\x{10FFFF}\n]*\n)+"
 
 
 def lowered(text: Column) -> Column:
@@ -74,8 +77,12 @@ def phrase_places(docs: DataFrame, text_col: str, phrases: dict[str, str]) -> Da
 
 def _blocks(docs: DataFrame, text_col: str, vocabulary: list[str]) -> DataFrame:
     """One row per block: its number, and the vocabulary's words that it holds, in the vocabulary's order."""
-    clean = F.regexp_replace(F.regexp_replace(lowered(F.col(text_col)), BREAK, "\n"), GAP, " ")
-    each = docs.withColumn("_clean", clean).select(*[c for c in docs.columns if c != text_col], F.posexplode(F.split("_clean", "\n")).alias("block", "_block"))
+    low = lowered(F.col(text_col))
+    clean = F.regexp_replace(F.regexp_replace(low, BREAK, "\n"), GAP, " ")
+    # Sentences end at a form feed here; only those with a line end inside are blocks of their own.
+    wide = F.filter(F.split(F.regexp_replace(F.regexp_replace(F.replace(low, F.lit("\f"), F.lit(" ")), r"\r\n?", "\n"), PARAGRAPH, "\f"), "\f"), lambda x: F.rlike(x, F.lit(r"[^\n]\n[^\n]")))
+    wide = F.transform(wide, lambda x: F.regexp_replace(F.replace(x, F.lit("\n"), F.lit(" ")), GAP, " "))
+    each = docs.withColumn("_clean", F.concat(F.split(clean, "\n"), wide)).select(*[c for c in docs.columns if c != text_col], F.posexplode("_clean").alias("block", "_block"))
     return each.withColumn("held", F.array_intersect(F.array(*[F.lit(w) for w in vocabulary]), F.split("_block", " "))).drop("_block")
 
 

@@ -201,6 +201,14 @@ def test_license_edges(spark, tiny, none):
     assert licenses.scan(tiny).count() == 13 and licenses.scan(none).count() == 0
 
 
+def test_wrapped_license_notices_are_found(spark):
+    texts = ["# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n",
+             "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0. If a copy of the MPL was not distributed",
+             "Licensed under\nthe GNU\nLesser General\nPublic License", "Licensed under the GNU\n\nLesser General Public License", "Licensed under the GNU.\nLesser General Public License"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "bsd" and got[1] == "mpl-2" and "lgpl" in got[2].split(",") and got[3] == got[4] == ""
+
+
 def test_license_join_equals_brute_force(spark):
     random.seed(5)
     vocabulary = [f"t{i}" for i in range(30)]
