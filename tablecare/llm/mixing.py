@@ -142,10 +142,12 @@ class Rates:
         return F.expr(rate)
 
 
-def fit_rates(rows: DataFrame, weights: list[float], *, budget: float = 1.0, lowest: float = 0.0, highest: float = 8.0, rounds: int = 40,
+def fit_rates(rows: DataFrame, weights: list[float], *, budget: float | None = 1.0, lowest: float = 0.0, highest: float = 8.0, rounds: int = 40,
               close: float = 1e-3, prefix: str = "_p") -> Rates:
     """Rates for a table of (_tokens, posteriors); targets are weights times ``budget`` times all tokens.
 
+    Without a budget it is the smallest at which no domain is too large at its lowest rate. Documents that dilute a domain hold a little of it
+    themselves, so the budget grows with what the last fit left over, until the targets are met or ``highest`` stands in the way.
     Misses are weighted by the inverse of H = sum of n_d p_d p_d', so step 1 is allowed: without clipping the first round meets the targets.
     Later steps are as long as the last move and the change of its gradient say (spectral steps, 1 to 50); the best round counts. It ends when all targets are met to ``close`` of all tokens, or when a round changes the sums by less than a fiftieth of that.
     """
@@ -159,7 +161,22 @@ def fit_rates(rows: DataFrame, weights: list[float], *, budget: float = 1.0, low
     h = np.zeros((size, size))
     for j, k in pairs:
         h[j, k] = h[k, j] = first[f"h{j}_{k}"]
-    wanted = np.array(weights, float) / sum(weights) * budget * first["all"]
+    every, share = float(first["all"]), np.array(weights, float) / sum(weights)
+    if budget is not None:
+        return _descend(rows, h, share * budget * every, lowest, highest, rounds, close, prefix)
+    needed = lambda sums: max(1.0, *(x / (w * every) for x, w in zip(sums, share) if w > 0))
+    budget = needed(lowest * h.sum(axis=0))
+    for _ in range(8):
+        out = _descend(rows, h, share * budget * every, lowest, highest, rounds, close, prefix)
+        over, budget = budget, needed(out.after)
+        if budget <= over * 1.001 or over > highest or np.abs(np.subtract(out.after, out.targets)).max() <= close * sum(out.targets):
+            break
+        budget *= 1.01
+    return out
+
+
+def _descend(rows: DataFrame, h: np.ndarray, wanted: np.ndarray, lowest: float, highest: float, rounds: int, close: float, prefix: str) -> Rates:
+    p = [F.col(f"{prefix}{k}") for k in range(len(wanted))]
     weigh = np.linalg.pinv(h, rcond=1e-6, hermitian=True)
     before, least, best = None, np.inf, 0
     out = Rates([], lowest, highest, [], [], wanted.tolist())

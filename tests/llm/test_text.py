@@ -97,6 +97,27 @@ def test_mixing_classifies_and_repeats(spark, tiny, none):
     assert unlabelled.where("rate <> 1 OR copies <> 1").count() == 0 and mixing.mixed(tiny, no_model, no_rates).count() == 13
 
 
+def test_pipeline_mixing_meets_its_weights_and_keeps_every_document(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    domain = F.expr("CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END")
+    labelled = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", domain.alias("domain"))
+    taken = corpus_pipeline.mixed_domains(spark, docs, sf)
+    assert taken.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    model = mixing.fit_domains(docs, labelled)
+    sums = mixing.posteriors(taken, model).agg(*[F.sum(F.col("_tokens") * F.col(f"_p{k}")).alias(d) for k, d in enumerate(model.names)], F.sum("_tokens").alias("all")).first()
+    assert all(abs(sums[d] / sums["all"] - w) <= 0.015 for d, w in corpus_pipeline.WEIGHTS.items()), sums
+
+
+def test_budget_dilutes_a_domain_of_a_third(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(1, 500)), 0.98 if i % 3 else 0.03, 0.02 if i % 3 else 0.97) for i in range(300)]
+    df = spark.createDataFrame(rows, "_tokens long, _p0 double, _p1 double")
+    fitted = mixing.fit_rates(df, [0.9, 0.1], budget=None, lowest=1.0, highest=32.0)
+    got = np.array(fitted.after) / sum(fitted.after)
+    assert np.abs(got - [0.9, 0.1]).max() <= 0.005 and fitted.after[1] >= fitted.before[1]
+
+
 def test_words_give_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
