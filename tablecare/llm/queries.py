@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablecare.llm import chat, crosspolytope, forest, langid, licenses, minhash, mixing, packing, viterbi, warc
+from tablecare.llm import chat, crosspolytope, exact, fim, forest, langid, licenses, minhash, mixing, packing, periods, viterbi, warc
 from tablecare.llm.common import Workspace, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,4 +143,53 @@ def op10_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op11_refine", f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS x FROM documents),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM t JOIN g USING (x)
+""")
+def op11_refine(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(exact.ascii_lower(F.col("text")), 256))
+    return exact.exact_duplicates(docs, "doc_id", "text", carry=("text_sha256",))
+
+
+@query("op12_fenwick", """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+u AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+o AS (SELECT *, left(t, x) AS a, substring(t, x + 1, y - x) AS b, substring(t, y + 1) AS c FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o
+""")
+def op12_fenwick(spark, sf_dir):
+    made = fim.examples(table(spark, sf_dir, "documents"), "doc_id", "text")
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents repeat a stretch of their words to the end, as their id says."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.expr("CASE WHEN n > 0 THEN g % n END")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    again = F.expr("array_join(transform(sequence(0L, n - 1L), i -> w[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periods")
+def op13_periods(spark, sf_dir):
+    """Runs of every document; tested against a brute-force version."""
+    found = periods.periodic_runs(with_repeats(table(spark, sf_dir, "documents")), "doc_id", "text", digest=True)
+    # The greatest length wins, then the smallest start, then the smallest period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    rows = found.withColumn("best", best)
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+                       F.expr("1000 * best.length DIV -best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
