@@ -77,7 +77,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept_columns = [f"_carry{i}" for i in range(len(carry))]
     rows = ws.put(flagged(narrow, ["_length", "_prefix"], prefixes, exponent).select("_id", *kept_columns, "_length", full, F.monotonically_increasing_id().alias("_row")), "rows")
     survivors = rows.where("_full IS NOT NULL")
-    groups = survivors.groupBy("_length", "_full").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
+    # Stored, so that the join alone deals out the rows and Spark can split a group that is too large for a task.
+    groups = ws.put(survivors.groupBy("_length", "_full").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "groups")
     marked = survivors.join(groups, ["_length", "_full"], "left").select("_id", *kept_columns, "_row", "_keep", "_size")
     nothing = groups.select("_keep", "_size").schema
     alone = rows.where("_full IS NULL").select("_id", *kept_columns, "_row", *[F.lit(None).cast(f.dataType).alias(f.name) for f in nothing])
