@@ -3,11 +3,13 @@
 A hash rotates the vector (padded to a power of two) by three rounds of random signs and the fast Hadamard transform, and takes the place
 and sign of the largest component: the nearest corner of the cross-polytope. ``functions`` hashes make one code of a table. A vector is put
 into ``probes`` buckets of each of ``tables`` tables: those whose corners cost least against the nearest ones. Two vectors that share a
-bucket are compared in double precision. At 64 components, 3 functions, 8 probes and 10 tables a pair of cosine 0.93 is missed with
-probability 3e-8 (measured: 0.82 per table), while a pair of unrelated vectors shares a table's bucket with probability 1e-4.
+bucket are compared in double precision. The number of functions follows from the number of vectors (``settings``), so that the unrelated
+vectors in a bucket stay few however large the table is; probes and tables follow from it, so that a pair of cosine 0.93 is missed with
+probability 1e-7 at most (measured at 64 components, per table: 0.84 found with 3 functions and 8 probes, 0.83 with 4 and 16).
 
-Equal vectors with equal labels collapse to one class first. Buckets with the same members are kept once. A bucket of more than ``block``
-classes is dealt into blocks and compared block by block, so no task holds an unbounded bucket. Every pair is counted in one bucket only,
+Equal vectors with equal labels collapse to one class first. Buckets with the same members are kept once. Buckets come sorted by key, many
+in an Arrow batch, and the pairs of all small ones are compared at once; only those that hold a link are looked at one by one. A bucket of more
+than ``block`` classes is dealt into blocks and compared block by block, so no task holds an unbounded bucket. Every pair is counted in one bucket only,
 the smallest that both are in; tasks return sums per vector and a spanning forest, never pairs.
 
 Vectors that are null, zero, hold null or non-finite components or have another length than most, and rows without label or id, link
@@ -17,6 +19,8 @@ rows. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +29,18 @@ from pyspark.sql import functions as F
 from tablecare.llm.common import Workspace, components, mix64
 from tablecare.llm.vectors import lists, matrix, unit, usable
 
-TABLES, FUNCTIONS, PROBES, BLOCK = 10, 3, 8, 512
+BLOCK = 512
+#: Functions: (tables, probes).
+SETTINGS = {1: (10, 4), 2: (10, 8), 3: (10, 8), 4: (10, 16), 5: (16, 16), 6: (24, 24)}
+SMALL = 64
+
+
+def settings(rows: int, width: int) -> tuple[int, int, int]:
+    """(tables, functions, probes): codes are 512 times as many as rows at least, up to six functions."""
+    corners = 2 << max(2, (width - 1).bit_length())
+    functions = min(max(SETTINGS), max(min(3, rows), math.ceil(math.log(512 * max(rows, 1)) / math.log(corners))))
+    tables, probes = SETTINGS[max(functions, 1)]
+    return tables, max(functions, 1), probes
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -117,8 +132,52 @@ def _link(least: float):
     return run
 
 
+def _buckets(least: float):
+    """``_link`` over rows that come sorted by (key, i, j): the last bucket of a batch waits for the next one. Small buckets without a link go early."""
+    link = _link(least)
+
+    def settled(rows: pa.Table):
+        marks = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+        starts = np.flatnonzero(np.append(True, (marks[:, 1:] != marks[:, :-1]).any(axis=0)))
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        x = unit(matrix(rows.column("v")))
+        small = sizes[group] <= SMALL
+        wanted = sizes > SMALL
+        for step in range(1, min(SMALL, int(sizes.max()))):
+            pairs = np.flatnonzero(small[:-step] & (group[:-step] == group[step:]))
+            if not len(pairs):
+                break
+            for k in range(0, len(pairs), 1 << 16):
+                part = pairs[k : k + (1 << 16)]
+                near = np.einsum("ij,ij->i", x[part], x[part + step]) >= least - 1e-9
+                wanted[group[part[near]]] = True
+        for g in np.flatnonzero(wanted).tolist():
+            found = link(rows.slice(starts[g], sizes[g]))
+            if found.num_rows:
+                yield from found.to_batches()
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows
+            last = [rows.column(c)[-1].as_py() for c in ("key", "i", "j")]
+            same = np.all([rows.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)], axis=0)
+            whole = int(same.argmax())  # rows of one bucket stand together, so the last bucket's rows are the first of its key and all behind
+            rest = rows.slice(whole)
+            if whole:
+                yield from settled(rows.slice(0, whole))
+        if rest is not None:
+            yield from settled(rest)
+
+    return run
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", *, least: float = 0.93,
-                 tables: int = TABLES, functions: int = FUNCTIONS, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+                 tables: int | None = None, functions: int | None = None, probes: int | None = None, block: int = BLOCK) -> DataFrame:
     """Per row: id_col, n_links (other rows with cosine >= ``least`` and the same label), component_id, kept."""
     ws = Workspace(rows.sparkSession)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
@@ -126,6 +185,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     fine = usable(every.where("id IS NOT NULL AND label IS NOT NULL"))
     classes = ws.put(fine.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("times")).withColumn(
         "class", F.xxhash64("label", "v", "id")), "classes")
+    size = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    chosen = settings(size["n"], size["d"] or 1)
+    tables, functions, probes = tables or chosen[0], functions or chosen[1], probes or chosen[2]
 
     def run(batches):
         for batch in batches:
@@ -143,8 +205,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     # Block i meets the blocks j >= i: it is side 0 of the pairs (i, j) and side 1 of the pairs (j, i).
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("class", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    grouped = spread.join(data, "class").select("key", "i", "j", "side", "id", "times", "keys", "v").groupBy("key", "i", "j")
-    found = ws.put(grouped.applyInArrow(_link(least), "id long, links long, root long"), "links")
+    grouped = spread.join(data, "class").select("key", "i", "j", "side", "id", "times", "keys", "v")
+    ordered = grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = ws.put(ordered.mapInArrow(_buckets(least), "id long, links long, root long"), "links")
     copies = fine.join(classes.select("label", "v", F.col("id").alias("first"), "times"), ["label", "v"]).select("id", "first", "times")
     copies = ws.put(copies, "copies")
     edges = found.select(F.col("id").alias("a"), F.col("root").alias("b")).union(copies.select(F.col("id").alias("a"), F.col("first").alias("b")))

@@ -48,7 +48,8 @@ def test_minhash_edges(spark, tiny, none):
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
-    assert len(got) == 13 and by[3] == by[4] == by[5] == [(0, by[3][0][1], True)] or [by[k][0][0] for k in (3, 4, 5)] == [0, 0, 0]
+    assert len(got) == 13
+    assert all(by[k] == [(0, k, True)] for k in (3, 4, 5))
     assert by[2] == [(8, 1, False)] and by[8][0][1] == 7 and not by[8][0][2]
     assert by[10] == [(1, 9, False)] * 2 and by[None] == [(1, None, True)]
     assert minhash.near_duplicates(none).count() == 0
@@ -70,13 +71,21 @@ def cases():
 
 
 def unit(x):
-    x = np.array(x) / np.abs(x).max()
-    return x / np.linalg.norm(x)
+    x = np.array(x) / np.abs(x).max(axis=-1, keepdims=True)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+@pytest.fixture(params=["10000", "13"])
+def batches(spark, request):
+    """Arrow batches of many buckets, and of so few rows that buckets run over their ends."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield spark
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 @pytest.mark.parametrize("block", [512, 7])
-def test_crosspolytope_equals_brute_force(spark, block):
-    rows = cases()
+def test_crosspolytope_equals_brute_force(batches, block):
+    spark, rows = batches, cases()
     got = crosspolytope.near_vectors(vectors(spark, rows), block=block).collect()
     fine = [(i, r[0], unit(r[1]), r[2]) for i, r in enumerate(rows) if r[1] and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1]) and r[2]]
     links = [(a, b) for k, a in enumerate(fine) for b in fine[k + 1 :] if a[3] == b[3] and a[2] @ b[2] >= 0.93]
@@ -91,6 +100,30 @@ def test_crosspolytope_equals_brute_force(spark, block):
     assert crosspolytope.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_crosspolytope_finds_the_links_of_the_test_table_at_every_setting(spark):
+    table, rng = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), np.random.default_rng(8)
+    rows = [(r.vec_id, [float(v) for v in r.embedding], str(r.label)) for r in table.collect()]
+    # Copies whose cosine to the first lies on both sides of 0.93.
+    rows += [(10_000 + k, (unit(np.array(v)[None])[0] + rng.normal(size=len(v)) * 0.05).tolist(), label) for k, (_, v, label) in enumerate(rows[:800])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    x, label = unit(np.array([r[1] for r in rows])), np.array([r[2] for r in rows])
+    links = ((x @ x.T >= 0.93) & (label[:, None] == label)).sum(axis=1) - 1
+    want = {r[0]: n for r, n in zip(rows, links.tolist())}
+    assert sum(want.values()) > 300
+    for functions in (None, 4):
+        tables, probes = crosspolytope.SETTINGS[functions or 3]
+        got = {r.vec_id: r.n_links for r in crosspolytope.near_vectors(df, functions=functions, tables=tables, probes=probes).collect()}
+        assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[k] <= want[k] for k in want)
+
+
+def test_crosspolytope_settings_keep_buckets_small():
+    for rows in (1, 2, 10, 400, 2000, 10_000, 50_000, 10**6, 10**9):
+        tables, functions, probes = crosspolytope.settings(rows, 64)
+        assert functions <= 3 or 128 ** (functions - 1) < 512 * rows
+        assert 128**functions >= 512 * rows or functions == max(crosspolytope.SETTINGS) or rows < 3
+        assert (tables, probes) == crosspolytope.SETTINGS[functions]
+
+
 @pytest.mark.parametrize("cell_rows", [8192, 16])
 def test_forest_finds_neighbours_and_breaks_ties_by_id(spark, cell_rows):
     rows = cases()
