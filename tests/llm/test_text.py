@@ -4,6 +4,7 @@ import io
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -246,6 +247,32 @@ def test_license_join_equals_brute_force(spark):
     assert got == want and want
 
 
+def test_license_tags_and_real_notices_are_found_and_equal_the_sql(spark, tmp_path):
+    texts = ["SPDX-License-Identifier: Apache-2.0", "// SPDX-License-Identifier: GPL-2.0\nint main;", "spdx license identifier 2 0", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nPreamble",
+             "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that", "Boost Software License - Version 1.0 - August 17th, 2003",
+             "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that\n#\n# neither", "a. b! under the MIT License; x\r\n\r\ncc by nc", None, "",
+             "This Source Code Form is subject to the terms of the Mozilla Public\r\nLicense, v. 2.0.", "free software you can redistribute", "x" * 200_000 + " released under the mit\x0blicense", "İ K license the\x0c\x0bmit\n \t\nunder"]
+    spark.createDataFrame(list(enumerate(texts)) + [(0, "cc by nc cc by nc")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = licenses.scan(spark.read.parquet(f"{tmp_path}/documents.parquet")).drop("n_blocks").collect()
+    got = {r.doc_id: r.labels for r in rows if r.doc_id}
+    assert got[1] == "gpl-2" and got[2] == "" and got[3] == "gpl-3" and got[4] == "isc" and got[5] == "boost" and got[6] == "bsd" and got[7] == "cc-by-nc,mit" and got[10] == "mpl-2" and got[11] == ""
+    assert sorted(r.labels for r in rows if r.doc_id == 0) == ["apache-2", "cc-by-nc"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(licenses.sql())
+    names = [d[0] for d in cur.description]
+    assert sorted(str([r[n] for n in names]) for r in rows) == sorted(str(list(r)) for r in cur.fetchall())
+
+
+def test_license_phrases_of_a_caller_are_taken_as_words(spark):
+    docs = spark.createDataFrame([(1, "it's (c) all rights reserved; a+b")], "doc_id long, text string")
+    assert licenses.scan(docs, phrases={"it's (C)": "copyright"}).first().labels == "copyright"
+    with pytest.raises(ValueError):
+        licenses.scan(docs, phrases={"...": "none"})
+    with pytest.raises(ValueError):
+        licenses.scan(docs, templates=(("none", " - "),))
+
+
 def test_licenses_run_no_python(spark, tiny):
     plan = licenses.template_matches(tiny)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
