@@ -15,6 +15,7 @@ from tablecare.queries.quality import union
 from tablecare.queries.registry import query, with_views
 from tablecare.streaming import ingest as ig
 from tablecare.streaming import windows as ws
+from tablecare.streaming.intime import drained_in_time
 from tablecare.streaming.learning import OnlineLogistic, prequential
 from tablecare.streaming.stateful import error_drift_stream, zscore_stream
 
@@ -157,9 +158,9 @@ def str_zscore(spark, d):
 
 @query("str_zscore_state", _ZSQL)
 def str_zscore_state(spark, d):
-    """The stream form with per-key state gives the rows of the batch form."""
-    stream = zscore_stream(ig.table_stream(spark, d, "events"), "user_id", "ts", "value", "event_id")
-    return ig.drained(spark, stream, work_folder(spark)).select("event_id", "user_id", rnd("anomaly_score").alias("anomaly_score"), "is_anomaly")
+    """The stream form with per-key state gives the rows of the batch form. A user has few events a month, so slices are months."""
+    out = drained_in_time(ig.table_stream(spark, d, "events"), "ts", lambda s: zscore_stream(s, "user_id", "ts", "value", "event_id", slice_seconds=30 * 86_400), f"{work_folder(spark)}/out")
+    return out.select("event_id", "user_id", rnd("anomaly_score").alias("anomaly_score"), "is_anomaly")
 
 
 @query("str_batch_summary", """
@@ -188,14 +189,33 @@ def str_ema(spark, d):
     return out.select("event_id", rnd("value_ema_mean", 5).alias("value_ema_mean"), rnd("value_ema_std", 5).alias("value_ema_std"))
 
 
-@query("str_error_drift")
+# The detectors' rules as recursions over the errors of a type in order; each restarts after a drift.
+_DRIFT_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS k, event_id, (value > 20)::INT::DOUBLE AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
+ddm AS (
+ SELECT event_type AS k, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS p, 'infinity'::DOUBLE AS lp, 'infinity'::DOUBLE AS ls, 'stable' AS state FROM events GROUP BY 1
+ UNION ALL
+ SELECT k, i, event_id, CASE WHEN drift THEN 0 ELSE n END, CASE WHEN drift THEN 0.0 ELSE p END, CASE WHEN drift THEN 'infinity'::DOUBLE ELSE lp END, CASE WHEN drift THEN 'infinity'::DOUBLE ELSE ls END,
+  CASE WHEN n < 30 THEN 'stable' WHEN drift THEN 'drift' WHEN p + s > lp + 2 * ls THEN 'warning' ELSE 'stable' END
+ FROM (SELECT *, n >= 30 AND p + s > lp + 3 * ls AS drift FROM
+  (SELECT *EXCLUDE (lp, ls), CASE WHEN n >= 30 AND p + s <= lp + ls THEN p ELSE lp END AS lp, CASE WHEN n >= 30 AND p + s <= lp + ls THEN s ELSE ls END AS ls FROM
+   (SELECT *, sqrt(greatest(p * (1 - p), 0.0) / n) AS s FROM (SELECT e.k, e.i, e.event_id, d.n + 1 AS n, d.p + (e.x - d.p) / (d.n + 1) AS p, d.lp, d.ls FROM ddm d JOIN e ON e.k = d.k AND e.i = d.i + 1))))),
+ph AS (
+ SELECT event_type AS k, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS m, 0.0::DOUBLE AS t, false AS drift FROM events GROUP BY 1
+ UNION ALL
+ SELECT k, i, event_id, CASE WHEN n >= 30 AND t > 50 THEN 0 ELSE n END, CASE WHEN n >= 30 AND t > 50 THEN 0.0 ELSE m END, CASE WHEN n >= 30 AND t > 50 THEN 0.0 ELSE t END, n >= 30 AND t > 50
+ FROM (SELECT *, greatest(0.0, 0.9999::DOUBLE * t0 + (x - m - 0.005::DOUBLE)) AS t FROM
+  (SELECT e.k, e.i, e.event_id, e.x, p.n + 1 AS n, p.m + (e.x - p.m) / (p.n + 1) AS m, p.t AS t0 FROM ph p JOIN e ON e.k = p.k AND e.i = p.i + 1)))
+SELECT event_id, k AS event_type, state, 'ddm' AS detector FROM ddm WHERE state <> 'stable' UNION ALL SELECT event_id, k, 'drift', 'page_hinkley' FROM ph WHERE drift"""
+
+
+@query("str_error_drift", _DRIFT_SQL)
 def str_error_drift(spark, d):
-    """Detectors restart after each drift, which SQL windows cannot state."""
+    """Both detectors over the events of each type in the order of their times."""
     ev = ig.table_stream(spark, d, "events").withColumn("error", (F.col("value") > 20).cast("double"))
     out = None
     for name in ("ddm", "page_hinkley"):
-        rows = ig.drained(spark, error_drift_stream(ev, "event_type", "ts", "error", "event_id", name), work_folder(spark))
-        rows = rows.drop("batch_id").withColumn("detector", F.lit(name))
+        rows = drained_in_time(ev, "ts", lambda s: error_drift_stream(s, "event_type", "ts", "error", "event_id", name), f"{work_folder(spark)}/out")
+        rows = rows.withColumn("detector", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 

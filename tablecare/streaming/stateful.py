@@ -1,28 +1,18 @@
-"""Per-key state on streams: recent-value baselines and error-rate drift detectors.
+"""Per-key state on streams: recent-value baselines and error-rate drift detectors, in event-time order.
 
-State per key is a bounded list or a few numbers. A key's rows of one batch come in Arrow chunks of any size and in any order; their times,
-ids and values are gathered and put in order before the state sees them, so results don't depend on chunks, files or partitions. What a
-task holds of a key is what one batch brings, which the source's limits per trigger bound. Rows of a later batch come after those of an
-earlier one, whatever their times.
+State per key is a bounded list or a few numbers, beside the rows that wait for the watermark (``intime``). So results don't depend on
+chunks, files, partitions or batches.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-OUT_ROWS = 50_000
-
-
-def _in_order(chunks: Iterator[pd.DataFrame], ts: str, row_id: str, value: str) -> pd.DataFrame:
-    parts = [pdf[[ts, row_id, value]] for pdf in chunks]
-    return pd.concat(parts, ignore_index=True).sort_values([ts, row_id], kind="stable") if parts else pd.DataFrame(columns=[ts, row_id, value])
+from tablecare.streaming.intime import in_time
 
 
 def trailing_scores(recent: np.ndarray, new: np.ndarray, span: int) -> np.ndarray:
@@ -43,23 +33,20 @@ def trailing_scores(recent: np.ndarray, new: np.ndarray, span: int) -> np.ndarra
     return out
 
 
-def zscore_stream(df: DataFrame, key: str, ts: str, value: str, row_id: str, span: int = 100, cut: float = 2.5) -> DataFrame:
-    """Anomaly score of each value against the last ``span`` values of its key; a missing value has none and no anomaly."""
-    kinds = dict(df.dtypes)
-    out = f"{row_id} {kinds[row_id]}, {key} {kinds[key]}, anomaly_score double, is_anomaly boolean"
+def zscore_stream(df: DataFrame, key: str, ts: str, value: str, row_id: str, span: int = 100, cut: float = 2.5, **order) -> DataFrame:
+    """Anomaly score of each value against the last ``span`` values of its key; a missing value has none and no anomaly.
 
-    def run(name, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = np.array([np.nan if x is None else x for x in state.get[0]] if state.exists else [], float)
-        rows = _in_order(chunks, ts, row_id, value)
-        new = rows[value].to_numpy(float, na_value=np.nan)
+    ``order`` is passed on: delay and slice_seconds.
+    """
+
+    def step(memory: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        recent = np.array([np.nan if x is None else x for x in memory[0]] if memory else [], float)
+        new = rows["v"].to_numpy(float, na_value=np.nan)
         scores = trailing_scores(recent, new, span)
-        for start in range(0, len(rows), OUT_ROWS):
-            part = scores[start : start + OUT_ROWS]
-            yield pd.DataFrame({row_id: rows[row_id].iloc[start : start + OUT_ROWS].array, key: name[0], "anomaly_score": pd.array(part, "Float64").astype(object),
-                                "is_anomaly": part > cut})
-        state.update((np.concatenate([recent, new])[-span:].tolist(),))
+        out = pd.DataFrame({row_id: rows["id"], "anomaly_score": pd.array(scores, "Float64").astype(object), "is_anomaly": scores > cut})
+        return (np.concatenate([recent, new])[-span:].tolist(),), out
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    return in_time(df, key, ts, value, row_id, step, "recent array<double>", "anomaly_score double, is_anomaly boolean", **order)
 
 
 def ddm_step(state: tuple, error: float, start: int = 30, warn: float = 2.0, drift: float = 3.0) -> tuple[tuple, str]:
@@ -95,28 +82,21 @@ DETECTORS = {
 }
 
 
-def error_drift_stream(df: DataFrame, key: str, ts: str, error: str, row_id: str, detector: str = "ddm") -> DataFrame:
-    """Rows at which the detector of a key warns or finds a drift."""
+def error_drift_stream(df: DataFrame, key: str, ts: str, error: str, row_id: str, detector: str = "ddm", **order) -> DataFrame:
+    """Rows at which the detector of a key warns or finds a drift. ``order`` is passed on: delay and slice_seconds."""
     if detector not in DETECTORS:
         raise ValueError(f"unknown detector {detector}; there are {', '.join(DETECTORS)}")
-    step, begin = DETECTORS[detector]
-    kinds = dict(df.dtypes)
-    out = f"{row_id} {kinds[row_id]}, {key} {kinds[key]}, state string"
-
-    def run(name, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else begin
-        rows = _in_order(chunks, ts, row_id, error)
-        ids, marks = [], []
-        for i, e in zip(rows[row_id], rows[error].to_numpy(float, na_value=np.nan).tolist()):
+    one, begin = DETECTORS[detector]
+
+    def step(memory: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        now, places, marks = tuple(memory) if memory else begin, [], []
+        for i, e in enumerate(rows["v"].to_numpy(float, na_value=np.nan).tolist()):
             if e != e:  # a missing error says nothing
                 continue
-            now, mark = step(now, e)
+            now, mark = one(now, e)
             if mark != "stable":
-                ids.append(i)
+                places.append(i)
                 marks.append(mark)
-        for start in range(0, len(ids), OUT_ROWS):
-            part = ids[start : start + OUT_ROWS]
-            yield pd.DataFrame({row_id: part, key: [name[0]] * len(part), "state": marks[start : start + OUT_ROWS]})
-        state.update((int(now[0]), float(now[1]), float(now[2]), float(now[3])))
+        return (int(now[0]), *map(float, now[1:])), pd.DataFrame({row_id: rows["id"].iloc[places].array, "state": marks})
 
-    return df.groupBy(key).applyInPandasWithState(run, out, "n bigint, a double, b double, c double", "append", GroupStateTimeout.NoTimeout)
+    return in_time(df, key, ts, error, row_id, step, "n bigint, a double, b double, c double", "state string", **order)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablecare.streaming import ingest as ig
 from tablecare.streaming import windows as ws
+from tablecare.streaming.intime import FINITE, drained_in_time
 from tablecare.streaming.learning import OnlineLogistic
 from tablecare.streaming.stateful import ddm_step, error_drift_stream, zscore_stream
 
@@ -82,21 +83,28 @@ def chunked(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_state_streams_order_a_key_whatever_the_chunks(chunked, tmp_path):
+def _stamped(spark, rows, folder, files):
+    """Rows (id, k, seconds or None, v) dealt to ``files`` files."""
+    df = spark.createDataFrame(rows, "id long, k string, t double, v double").select("id", "k", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts"), "v")
+    df.repartition(files).write.parquet(folder)
+    return df.schema
+
+
+@pytest.mark.parametrize("slice_seconds", [50, 5000])
+def test_state_streams_go_by_time_whatever_the_files_and_chunks(chunked, tmp_path, slice_seconds):
     random.seed(6)
-    rows = [(i, "a" if i % 3 else "b", 1000 + i, None if i % 50 == 7 else random.gauss(0, 1) + 9 * (i % 97 == 0)) for i in range(1500)]
-    kinds = "id long, k string, t long, v double"
-    errors = [(i, k, t, float(random.random() < (0.1 if i < 800 else 0.6))) for i, k, t, _ in rows]
+    rows = [(i, "a" if i % 3 else "b", 1000.0 + i // 2, None if i % 50 == 7 else random.gauss(0, 1) + 9 * (i % 97 == 0)) for i in range(600)]
+    errors = [(i, k, t, float(random.random() < (0.1 if i < 300 else 0.6))) for i, k, t, _ in rows]
+    order = {"delay": "1 hour", "slice_seconds": slice_seconds}  # no row is later than the delay
     found = []
-    for n, parts in enumerate((1, 5)):
+    for n, files in enumerate((1, 4)):
         random.shuffle(rows)
         random.shuffle(errors)
-        chunked.createDataFrame(rows, kinds).repartition(parts).write.parquet(f"{tmp_path}/v{n}")
-        chunked.createDataFrame(errors, kinds).repartition(parts).write.parquet(f"{tmp_path}/e{n}")
-        z = ig.drained(chunked, zscore_stream(ig.file_stream(chunked, f"{tmp_path}/v{n}", kinds, files_per_batch=9), "k", "t", "v", "id"), f"{tmp_path}/z{n}")
-        d = ig.drained(chunked, error_drift_stream(ig.file_stream(chunked, f"{tmp_path}/e{n}", kinds, files_per_batch=9), "k", "t", "v", "id"), f"{tmp_path}/d{n}")
+        zs, es = (ig.file_stream(chunked, f"{tmp_path}/{x}{n}", _stamped(chunked, part, f"{tmp_path}/{x}{n}", files), files_per_batch=1) for x, part in (("v", rows), ("e", errors)))
+        z = drained_in_time(zs, "ts", lambda s: zscore_stream(s, "k", "ts", "v", "id", **order), f"{tmp_path}/z{n}")
+        d = drained_in_time(es, "ts", lambda s: error_drift_stream(s, "k", "ts", "v", "id", **order), f"{tmp_path}/d{n}")
         found.append(({r.id: (r.anomaly_score, r.is_anomaly) for r in z.collect()}, sorted((r.id, r.state) for r in d.collect())))
-    assert found[0] == found[1] and found[0][1]
+    assert found[0] == found[1] and found[0][1] and len(found[0][0]) == len(rows)
     values: dict[str, list] = {}
     for i, k, _, v in sorted(rows):
         values[k] = [*values.get(k, []), v][-100:]
@@ -106,6 +114,33 @@ def test_state_streams_order_a_key_whatever_the_chunks(chunked, tmp_path):
         want = None if v is None else abs(v - mean) / std if len(seen) > 2 and std > 0 else 0.0
         got = found[0][0][i][0]
         assert got is None if want is None else abs(got - want) < 1e-9
+    state, marks = {}, []
+    for i, k, _, e in sorted(errors):
+        state[k], mark = ddm_step(state.get(k, (0, 0.0, math.inf, math.inf)), e)
+        marks += [(i, mark)] if mark != "stable" else []
+    assert found[0][1] == sorted(marks)
+
+
+def test_rows_wait_for_the_watermark_across_runs_and_late_ones_drop(spark, tmp_path):
+    base, kinds = f"{tmp_path}/in", "id long, k string, ts timestamp, v double"
+    for key, value in FINITE.items():
+        spark.conf.set(key, value)
+    try:
+        def run(rows):
+            spark.createDataFrame(rows, "id long, k string, t double, v double").select("id", "k", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "v").coalesce(1).write.mode("append").parquet(base)
+            stream = ig.file_stream(spark, base, kinds, files_per_batch=1)
+            ig.drain(zscore_stream(stream, "k", "ts", "v", "id", delay="100 seconds", slice_seconds=10), f"{tmp_path}/out")
+            return [r.id for r in spark.read.schema("id long").parquet(f"{tmp_path}/out").orderBy("id").collect()]
+
+        assert run([(1, "a", 1000.0, 1.0), (2, "a", 1001.0, 2.0), (3, "b", None, 0.0)]) == []
+        assert run([(4, "a", 1105.0, 3.0)]) == []  # the watermark is 900 in this batch, 1005 from now on
+        assert run([(5, "a", 1003.0, 4.0), (6, "a", 1106.0, 5.0), (7, "b", 1008.0, 1.0)]) == []  # 1005 has not passed the slice to 1010
+        assert run([(8, "a", 1200.0, 5.0)]) == []  # 1006 has not either
+        # The watermark is 1100; rows behind the one of the batch before are late.
+        assert run([(9, "a", 1201.0, 5.0), (10, "a", 1002.0, 9.0), (11, "a", 1007.0, 1.0)]) == [1, 2, 5, 7, 11]
+    finally:
+        for key in FINITE:
+            spark.conf.unset(key)
 
 
 def test_progress_counts_every_batch(spark, tmp_path):
