@@ -76,7 +76,7 @@ def trailing_counts(df: DataFrame, key: str, ts: str, seconds: int, out: str = "
     """Calls of a key in the ``seconds`` up to each call.
 
     Calls are first counted per exact time. Time is cut in blocks of an hour or more, and each count is sent
-    also to the next block when it can still matter there, so a busy key spreads over its blocks.
+    also to the next block when it can still matter there, so a busy key spreads over its blocks. Calls without a time or a key have no count.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     span = seconds * 1_000_000
@@ -87,7 +87,7 @@ def trailing_counts(df: DataFrame, key: str, ts: str, seconds: int, out: str = "
         "_block", F.explode(F.when(F.col("_us") % block >= block - span, F.array(home, home + 1)).otherwise(F.array(home))))
     w = W.partitionBy(key, "_block").orderBy("_us").rangeBetween(-span, 0)
     counted = led.withColumn(out, F.sum("_n").over(w)).where("_home = _block").select(key, "_us", out)
-    return df.withColumn("_us", us).join(counted, [key, "_us"]).drop("_us")
+    return df.withColumn("_us", us).join(counted, [key, "_us"], "left").drop("_us")
 
 
 def run_summary(df: DataFrame, keys: list[str], value: str, order: list[str], ts: str) -> DataFrame:

@@ -117,8 +117,9 @@ class Preprocess:
             v = F.coalesce(F.col(c).cast("string"), F.lit("missing"))
             other = ~v.isin(values)
             if self.encoding == "onehot":
-                cols += [F.when(v == x, 1.0).otherwise(0.0).alias(f"{c}_{x}") for x in values]
-                cols.append(F.when(other, 1.0).otherwise(0.0).alias(f"{c}_Other"))
+                # A value that is called Other shares its column with the rest, as rare values of that name do elsewhere.
+                cols += [F.when(v == x, 1.0).otherwise(0.0).alias(f"{c}_{x}") for x in values if x != "Other"]
+                cols.append(F.when(other | (v == "Other"), 1.0).otherwise(0.0).alias(f"{c}_Other"))
             else:
                 code = F.lit(-1)
                 for i, x in enumerate(values):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablecare import tables as tb
 from tablecare.functions.columns import rnd
+from tablecare.functions.ranges import STATISTICS
 from tablecare.operators import models as md
 from tablecare.operators.features import ema_features
 from tablecare.queries.features import EV, work_folder
@@ -80,16 +81,50 @@ def str_multi_window(spark, d):
 TRAILING = {"1min": 60, "5min": 300, "15min": 900, "60min": 3600}
 
 
-def _back(name, seconds):
-    w = f"OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {seconds} SECONDS PRECEDING AND CURRENT ROW)"
-    return f"count(value) {w} AS count_{name}, round(avg(value) {w}, 6) + 0.0 AS mean_{name}, min(value) {w} AS min_{name}, max(value) {w} AS max_{name}"
+def _back(name):
+    q = ", ".join(f"round(quantile_cont(value, {p}) OVER w_{name}, 6) + 0.0 AS {n}_{name}" for n, p in _Q.items())
+    fences = [f"(quantile_cont(value, 0.{q}) OVER w_{name}) {s} 1.5 * ((quantile_cont(value, 0.75) OVER w_{name}) - (quantile_cont(value, 0.25) OVER w_{name}))" for q, s in (("25", "-"), ("75", "+"))]
+    return f"""count(value) OVER w_{name} AS count_{name}, round(sum(value) OVER w_{name}, 4) + 0.0 AS sum_{name}, round(avg(value) OVER w_{name}, 6) + 0.0 AS mean_{name}, round(stddev_pop(value) OVER w_{name}, 5) + 0.0 AS std_{name},
+ min(value) OVER w_{name} AS min_{name}, max(value) OVER w_{name} AS max_{name}, round((max(value) OVER w_{name}) - (min(value) OVER w_{name}), 4) + 0.0 AS range_{name}, {q},
+ round((quantile_cont(value, 0.75) OVER w_{name}) - (quantile_cont(value, 0.25) OVER w_{name}), 6) + 0.0 AS iqr_{name}, list(value) OVER w_{name} AS l_{name}, {fences[0]} AS lo_{name}, {fences[1]} AS hi_{name}"""
 
 
-@query("str_trailing", "SELECT event_id, " + ", ".join(_back(n, s) for n, s in TRAILING.items()) + " FROM events")
+_FAR = "len(list_filter(l_{0}, lambda x: x < lo_{0} OR x > hi_{0}))"
+_TRAILING_SQL = ("SELECT *EXCLUDE (" + ", ".join(f"l_{n}, lo_{n}, hi_{n}" for n in TRAILING) + "), " + ", ".join(f"{_FAR.format(n)} AS outlier_count_{n}, round({_FAR.format(n)}::DOUBLE / count_{n}, 6) AS outlier_ratio_{n}" for n in TRAILING)
+                 + " FROM (SELECT event_id, " + ", ".join(_back(n) for n in TRAILING) + " FROM events WINDOW "
+                 + ", ".join(f"w_{n} AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {s} SECONDS PRECEDING AND CURRENT ROW)" for n, s in TRAILING.items()) + ")")
+
+
+@query("str_trailing", _TRAILING_SQL)
 def str_trailing(spark, d):
-    """Statistics of the last 1, 5, 15 and 60 minutes before each event of its type."""
+    """The 15 statistics of the last 1, 5, 15 and 60 minutes before each event of its type."""
     out = ws.trailing(tb.load(spark, d, "events").select("event_id", "event_type", "ts", "value"), "ts", "value", TRAILING, ["event_type"])
-    return out.drop("event_type", "ts", "value").withColumns({f"mean_{n}": rnd(f"mean_{n}") for n in TRAILING})
+    digits = {"sum": 4, "range": 4, "std": 5}
+    exact = ("count", "min", "max", "outlier_count")
+    return out.drop("event_type", "ts", "value").withColumns({f"{s}_{n}": rnd(f"{s}_{n}", digits.get(s, 6)) for n in TRAILING for s in STATISTICS if s not in exact})
+
+
+_SLIDE = "SELECT event_type, value, unnest([time_bucket(INTERVAL 30 MINUTES, ts) - i * INTERVAL 30 MINUTES for i in range(12)]) AS w FROM events WHERE value IS NOT NULL"
+
+
+@query("str_sliding", f"""
+SELECT w AS window_start, event_type, count(*) AS count, round(sum(value), 4) + 0.0 AS sum, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 4) + 0.0 AS std, min(value) AS min, max(value) AS max,
+ round(max(value) - min(value), 4) + 0.0 AS range, true AS quantiles_near, true AS outliers_near FROM ({_SLIDE}) GROUP BY ALL""")
+def str_sliding(spark, d):
+    """Six-hour windows every half hour on a stream. Quantiles come from sketches: their ranks among the window's rows are checked against the stated error."""
+    stream = ig.table_stream(spark, d, "events")
+    found = drained_in_time(stream, "ts", lambda s: ws.window_statistics(s, "ts", "value", "6 hours", "30 minutes", keys=("event_type",)), f"{work_folder(spark)}/out")
+    rows = tb.load(spark, d, "events").where("value IS NOT NULL").select("event_type", "value", F.window(F.col("ts").cast("timestamp"), "6 hours", "30 minutes")["start"].alias("window_start"))
+    low, high = F.col("p25") - 1.5 * F.col("iqr"), F.col("p75") + 1.5 * F.col("iqr")
+    ranks = [F.count_if(F.col("value") < F.col(q)).alias(f"below_{q}") for q in _Q] + [F.count_if(F.col("value") <= F.col(q)).alias(f"upto_{q}") for q in _Q]
+    truth = rows.join(found.select("window_start", "event_type", *_Q, low.alias("low"), high.alias("high")), ["window_start", "event_type"]).groupBy("window_start", "event_type").agg(
+        *ranks, F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("far"))
+    near = F.lit(True)
+    for q, p in _Q.items():  # the rank asked for lies among the ranks that rows equal to the quantile have, but for the error
+        near = near & (F.col(f"below_{q}") <= (p + ws.RANK_ERROR) * F.col("count") + 1) & (F.col(f"upto_{q}") >= (p - ws.RANK_ERROR) * F.col("count") - 1)
+    out = found.join(truth, ["window_start", "event_type"]).withColumns({"quantiles_near": near, "outliers_near": F.abs(F.col("outlier_count") - F.col("far")) <= 2 * ws.RANK_ERROR * F.col("count") + 1})
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "count", rnd("sum", 4).alias("sum"), rnd("mean").alias("mean"), rnd("std", 4).alias("std"), "min", "max",
+                      rnd("range", 4).alias("range"), "quantiles_near", "outliers_near")
 
 
 # Four files: up to the 10th; from the 20th but for a fifth of the last days; a tenth of these; and the rest, most of it behind the

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from tablecare import tables as tb
+from tablecare.plans.preprocess import Preprocess
 from tablecare.queries import catalog
 
 ROOT = Path(__file__).resolve().parents[1] / "tablecare"
@@ -50,7 +51,6 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 
 def test_preprocessing_loses_no_column(spark):
     from tablecare.operators.clean import TooManyValues
-    from tablecare.plans.preprocess import Preprocess
 
     rows = [(i, f"city{i % 50}", (1, 5, 9)[i % 3], float(i), i % 2 == 0, None, f"some longer words number {i % 4} stand here") for i in range(400)]
     df = spark.createDataFrame(rows, "key int, city string, code int, x double, flag boolean, nothing string, body string")
@@ -79,3 +79,11 @@ def test_feature_families_have_no_cap_of_their_own():
     cols = [f"c{i}" for i in range(12)]
     assert len(fe.interaction_columns(cols)) == 66 * 3 and len(fe.ratio_columns(cols)) == 66 * 2 and len(fe.polynomial_columns(cols)) == 78
     assert len(fe.polynomial_columns(cols, cap=25)) == 25
+
+
+def test_preprocess_takes_a_value_called_other(spark):
+    rows = [("a",)] * 40 + [("Other",)] * 40 + [("b",)] * 40 + [("c",)]
+    df = spark.createDataFrame([(*r, i, i % 2) for i, r in enumerate(rows)], "kind string, x long, flag int")
+    out = Preprocess(rare_share=0.1, kinds={"kind": "categorical"}).fit(df).transform(df)
+    names = [c for c in out.columns if c.startswith("kind_")]
+    assert names == ["kind_a", "kind_b", "kind_Other"] and [out.agg({c: "sum"}).first()[0] for c in names] == [40.0, 40.0, 41.0]
