@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablecare.functions.columns import dot, squared_distance
+from tablecare.session import settle
 
 
 def chunk(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -40,27 +43,120 @@ def keywords(c: Column, k: int = 5) -> Column:
     return F.slice(F.filter(tokens(c), lambda w: ~F.array_contains(stop, w)), 1, k)
 
 
+QUERIES_AT_ONCE = 20_000
+FEW_WORDS = 32
+
+
+def _holds(words: list[str]):
+    """A function from texts to, for each word's number, the places of the texts that contain it."""
+    if len(words) > FEW_WORDS:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            machine.add_word(w, i)
+        machine.make_automaton()
+        found = lambda text: {i for _, i in machine.iter(text)}
+    else:
+        found = lambda text: [i for i, w in enumerate(words) if w in text]
+
+    def run(texts) -> dict[int, list[int]]:
+        postings: dict[int, list[int]] = {}
+        for place, text in enumerate(texts):
+            for i in found(text) if text else ():
+                postings.setdefault(i, []).append(place)
+        return postings
+
+    return run
+
+
+def _best(ids: np.ndarray, vectors: np.ndarray, texts, q: np.ndarray, holds, asking: list, always: np.ndarray, boost: float, k: int):
+    """(query places, ids, distances): at least the k best rows of a batch for each query, ties with the k-th included."""
+    hits = np.tile(always, (len(ids), 1))
+    for word, places in holds(texts).items():
+        for query, times in asking[word]:
+            hits[places, query] += times
+    factor = boost ** hits
+    gap = np.maximum((vectors * vectors).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * (vectors @ q.T), 0.0)
+    rough = gap * factor
+    if len(ids) > k:
+        edge = np.partition(rough, k - 1, axis=0)[k - 1]
+        # The rough distances are off by a few last digits of the norms.
+        slack = 1e-12 * ((vectors * vectors).sum(1).max(initial=0) + (q * q).sum(1)) * factor.max(initial=1.0)
+        row, query = np.nonzero(rough <= edge + slack)
+    else:
+        row, query = (x.ravel() for x in np.indices(rough.shape))
+    exact = np.concatenate([((vectors[row[a : a + 4096]] - q[query[a : a + 4096]]) ** 2).sum(1) for a in range(0, len(row), 4096)] or [np.zeros(0)])
+    return query, ids[row], exact * factor[row, query]
+
+
 def search(docs: DataFrame, queries: DataFrame, doc_id: str, vector: str, text: str, k: int, where: Column | None = None,
-           boost: float = 0.8) -> DataFrame:
+           boost: float = 0.8, at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """Nearest documents per query; a keyword inside the text shortens the distance by the boost once per keyword.
 
-    ``queries`` (query_id, query_vector, query_words) is what a user asks at once: at most 1000 rows, checked,
-    so it travels to the documents as a literal array, and each task keeps its own top k per query.
+    ``queries`` (query_id, query_vector, query_words) may be any number: they travel to the documents ``at_once`` together, each such part in
+    one pass. A batch of documents finds the words of all queries in its texts together (posting lists of the batch: word to documents),
+    measures all distances as one product of matrices, and each task keeps the k best rows per query. Only these are shuffled, no text and no
+    vector. Documents without a vector of the queries' length are left out, as are queries without one; a null text has no words, and null
+    words count for nothing. Ties go to the smaller document id.
     """
-    rows = queries.take(1001)
-    if len(rows) > 1000:
-        raise ValueError("search takes at most 1000 queries at once")
+    spark = docs.sparkSession
+    kind, asked_kind = dict(docs.dtypes)[doc_id], dict(queries.dtypes)["query_id"]
     source = docs if where is None else docs.where(where)
-    table = F.array(*[F.struct(
-        F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["query_vector"]]).alias("v"),
-        F.array(*[F.lit(w) for w in r["query_words"]]).cast("array<string>").alias("words")) for r in rows])
-    each = source.select(doc_id, vector, F.lower(text).alias("_low"), F.explode(table).alias("q"))
-    hits = F.size(F.filter("q.words", lambda w: F.contains(F.col("_low"), F.lower(w))))
-    distance = squared_distance(F.col(vector), F.col("q.v")) * F.pow(F.lit(boost), hits.cast("double"))
-    scored = each.select(F.col("q.query_id").alias("query_id"), doc_id, distance.alias("distance"))
-    # The rank limit runs in every task before the shuffle, so a query gets k rows per task, not all documents.
-    w = W.partitionBy("query_id").orderBy("distance", doc_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    rows = source.select(F.col(doc_id).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), F.lower(text).alias("_low")).where("_id IS NOT NULL AND _v IS NOT NULL AND NOT exists(_v, x -> x IS NULL)")
+    asked = settle(queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), F.transform(F.coalesce("query_words", F.array().cast("array<string>")), F.lower).alias("words")).where("v IS NOT NULL"))
+    schema = f"query int, `{doc_id}` {kind}, distance double"
+    out = spark.createDataFrame([], f"query_id {asked_kind}, `{doc_id}` {kind}, distance double")
+
+    def part(chunk: list) -> DataFrame:
+        width = len(chunk[0]["v"])
+        if any(len(r["v"]) != width for r in chunk):
+            raise ValueError("queries have vectors of different lengths")
+        q = np.array([r["v"] for r in chunk], float)
+        words = sorted({w for r in chunk for w in r["words"] if w})
+        number, asking = {w: i for i, w in enumerate(words)}, [[] for _ in words]
+        always = np.zeros(len(chunk))
+        for i, r in enumerate(chunk):
+            for w in set(r["words"]) - {None}:
+                if w:
+                    asking[number[w]].append((i, r["words"].count(w)))
+                else:
+                    always[i] += r["words"].count(w)  # every text holds the empty word
+
+        def run(batches):
+            holds, best = _holds(words), None
+            for batch in batches:
+                names, vectors, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+                fine = np.flatnonzero(np.diff(vectors.offsets.to_numpy()) == width)
+                for a in range(0, len(fine), 1024):
+                    take = fine[a : a + 1024]
+                    x = vectors.take(pa.array(take)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    query, ids, distance = _best(take, x, [texts[i] for i in take], q, holds, asking, always, boost, k)
+                    found = pa.table({"query": pa.array(query, pa.int32()), doc_id: names.take(pa.array(ids)), "distance": pa.array(distance)})
+                    merged = found if best is None else pa.concat_tables([best, found])
+                    order = pa.compute.sort_indices(merged, [("query", "ascending"), ("distance", "ascending"), (doc_id, "ascending")])
+                    merged = merged.take(order)
+                    keys = merged.column("query").to_numpy()
+                    place = np.arange(len(keys)) - np.searchsorted(keys, keys)
+                    best = merged.filter(pa.array(place < k)).combine_chunks()
+            if best is not None:
+                yield from best.to_batches()
+
+        named = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(chunk)], f"query int, query_id {asked_kind}")
+        # The rank limit runs in every task before the shuffle.
+        w = W.partitionBy("query").orderBy("distance", doc_id)
+        top = rows.mapInArrow(run, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return top.join(F.broadcast(named), "query").select("query_id", doc_id, "distance", "rank")
+
+    done, chunk = None, []
+    for r in asked.toLocalIterator():
+        chunk.append(r)
+        if len(chunk) == at_once:
+            done = settle(part(chunk)) if done is None else done.unionByName(settle(part(chunk)))
+            chunk = []
+    if chunk:
+        done = part(chunk) if done is None else done.unionByName(part(chunk))
+    return out.withColumn("rank", F.lit(0)) if done is None else done
 
 
 def document_frequency(df: DataFrame, doc_id: str, text: str, min_df: int = 2, max_share: float = 0.95, top: int = 100) -> DataFrame:

@@ -193,8 +193,8 @@ def str_zscore(spark, d):
 
 @query("str_zscore_state", _ZSQL)
 def str_zscore_state(spark, d):
-    """The stream form with per-key state gives the rows of the batch form. A user has few events a month, so slices are months."""
-    out = drained_in_time(ig.table_stream(spark, d, "events"), "ts", lambda s: zscore_stream(s, "user_id", "ts", "value", "event_id", slice_seconds=30 * 86_400), f"{work_folder(spark)}/out")
+    """The stream form with per-key state gives the rows of the batch form. A user has few events, so slices are a quarter of a year long."""
+    out = drained_in_time(ig.table_stream(spark, d, "events"), "ts", lambda s: zscore_stream(s, "user_id", "ts", "value", "event_id", slice_seconds=90 * 86_400), f"{work_folder(spark)}/out")
     return out.select("event_id", "user_id", rnd("anomaly_score").alias("anomaly_score"), "is_anomaly")
 
 
