@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecare.operators import text as tx
+from tablecare.operators.nearest import grow, nearest, routes
 
 DOCS = "id long, v array<double>, body string, kind string"
 
@@ -46,3 +47,45 @@ def test_search_takes_thousands_of_queries_and_none(spark):
     assert got.count() == 5000 and got.where("query_id % 300 <> id").count() == 0
     assert tx.search(docs, queries.limit(0), "id", "v", "body", 1).count() == 0
     assert tx.search(docs, queries, "id", "v", "body", 1, where=F.col("kind") == "b").count() == 0
+
+
+def clustered(rng, n, width=6):
+    centres = rng.normal(size=(max(n // 25, 1), width)) * 40
+    return centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, width))
+
+
+@pytest.mark.parametrize("block, leaf_rows", [(4096, 2000), (16, 8), (7, 3)])
+def test_nearest_equals_brute_force_at_every_depth_of_the_tree(spark, block, leaf_rows):
+    rng = np.random.default_rng(block)
+    x = clustered(rng, 500)
+    x[100:140] = x[7]  # one crowded point: ties go by id, and its leaf is cut into blocks
+    q = np.concatenate([x[::9], rng.normal(size=(15, 6)) * 200])
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    queries = spark.createDataFrame([(i * 9 if i < 56 else 1000 + i, v.tolist()) for i, v in enumerate(q)], "qid int, v array<double>")
+    for skip in (False, True):
+        got = {}
+        for r in nearest(queries, corpus, "qid", "id", "v", "v", 5, skip_self=skip, block=block, leaf_rows=leaf_rows).collect():
+            got.setdefault(r.qid, []).append((r["rank"], r.dist, r.cid))
+        for i, v in enumerate(q):
+            name = i * 9 if i < 56 else 1000 + i
+            d = ((x - v) ** 2).sum(1)
+            want = sorted((s, j) for j, s in enumerate(d.tolist()) if not (skip and j == name))[:5]
+            mine = sorted(got[name])
+            assert [c for _, _, c in mine] == [j for _, j in want] and [s for _, s, _ in mine] == pytest.approx([s for s, _ in want])
+    close = nearest(queries, corpus, "qid", "id", "v", "v", 500, within=9.0, block=block, leaf_rows=leaf_rows).groupBy("qid").count().collect()
+    assert {r["qid"]: r["count"] for r in close} == {n: c for n, c in ((i * 9 if i < 56 else 1000 + i, int((((x - v) ** 2).sum(1) <= 9.0).sum())) for i, v in enumerate(q)) if c}
+    assert nearest(queries, corpus.limit(0), "qid", "id", "v", "v", 5).count() == 0 and nearest(queries.limit(0), corpus, "qid", "id", "v", "v", 5).count() == 0
+
+
+def test_queries_visit_few_blocks_however_large_the_table(spark):
+    rng = np.random.default_rng(1)
+    share = {}
+    for n in (1000, 4000):
+        x = clustered(rng, n)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+        tree, layout, held = grow(df, "id", "v", block=64, leaf_rows=20)
+        assert held.count() == n and held.groupBy("block").count().agg({"count": "max"}).first()[0] <= 2 * 64
+        assert len(tree.tops) <= len(tree.pivots) ** 0.5 + 1 and len(tree.pivots) <= max(n // 20, 1)
+        reach = df.select(F.col("id").alias("qid"), "v", F.lit(4.0).alias("reach"))
+        share[n] = routes(reach, tree, layout, "int").count() / n / held.select("block").distinct().count()
+    assert share[4000] < 0.5 * share[1000] < 0.1  # of all blocks, by a query
