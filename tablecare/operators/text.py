@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablecare.operators.components import MOST_COLUMNS, project, truncated_svd
 from tablecare.session import settle
 
 
@@ -159,49 +162,53 @@ def search(docs: DataFrame, queries: DataFrame, doc_id: str, vector: str, text:
     return out.withColumn("rank", F.lit(0)) if done is None else done
 
 
+def grams(words: Column) -> Column:
+    """Words, then pairs of neighbouring words."""
+    return F.concat(words, F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(words, i), x)))
+
+
+def _terms(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """A row per place of a term of one or two words."""
+    return df.select(doc_id, tokens(F.col(text)).alias("_w")).select(doc_id, F.explode(grams(F.col("_w"))).alias("term"))
+
+
 def document_frequency(df: DataFrame, doc_id: str, text: str, min_df: int = 2, max_share: float = 0.95, top: int = 100) -> DataFrame:
     """Terms of one and two words with their document and total counts, most frequent first."""
-    words = tokens(F.col(text))
-    pairs = F.transform(F.slice(F.col("_w"), 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(F.col("_w"), i), x))
-    terms = df.select(doc_id, words.alias("_w")).select(doc_id, F.explode(F.concat(F.col("_w"), pairs)).alias("term"))
-    per_doc = terms.groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("n"))
     docs = df.count()
-    freq = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
+    freq = _terms(df, doc_id, text).groupBy("term", doc_id).agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     return freq.where((F.col("docs") >= min_df) & (F.col("docs") <= max_share * docs)).orderBy(F.desc("total"), "term").limit(top)
 
 
+def vocabulary(df: DataFrame, doc_id: str, text: str, top: int = 100, **limits) -> list[tuple[str, float]]:
+    """(term, smoothed idf) of the ``top`` most frequent terms, at most as many as a decomposition takes."""
+    if top > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} terms")
+    docs = df.count()
+    return [(r["term"], math.log((1 + docs) / (1 + r["docs"])) + 1) for r in document_frequency(df, doc_id, text, top=top, **limits).collect()]
+
+
+def weight_rows(df: DataFrame, doc_id: str, text: str, terms: list[tuple[str, float]]) -> DataFrame:
+    """id, places, weights: sparse rows of unit length over the terms; a text without any has an empty row."""
+    table = df.sparkSession.createDataFrame([(t, i, w) for i, (t, w) in enumerate(terms)], "term string, place int, idf double")
+    found = _terms(df, doc_id, text).join(F.broadcast(table), "term").groupBy(doc_id, "place").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
+    rows = found.groupBy(F.col(doc_id).alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "w"))).alias("x"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
+    rows = rows.select("id", F.transform("x", lambda e: e["place"]).alias("places"), F.transform("x", lambda e: e["w"] / norm).alias("weights"))
+    empty = df.select(F.col(doc_id).alias("id")).distinct().join(rows.select("id"), "id", "left_anti")
+    return rows.unionByName(empty.select("id", F.array().cast("array<int>").alias("places"), F.array().cast("array<double>").alias("weights")))
+
+
 def tfidf(df: DataFrame, doc_id: str, text: str, top: int = 100, **limits) -> DataFrame:
     """Weights per (document, term) with smoothed idf and unit length per document; the term list is at most ``top``."""
-    docs = df.count()
-    terms = document_frequency(df, doc_id, text, top=top, **limits).collect()
-    table = df.sparkSession.createDataFrame(terms, "term string, docs bigint, total bigint")
-    idf = table.select("term", (F.log((1 + docs) / (1 + F.col("docs"))) + 1).alias("idf"))
-    words = tokens(F.col(text))
-    pairs = F.transform(F.slice(F.col("_w"), 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", F.get(F.col("_w"), i), x))
-    found = df.select(doc_id, words.alias("_w")).select(doc_id, F.explode(F.concat(F.col("_w"), pairs)).alias("term"))
-    weights = found.join(F.broadcast(idf), "term").groupBy(doc_id, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(doc_id)))
-    return weights.select(doc_id, "term", (F.col("w") / norm).alias("weight"))
-
-
-def text_components(df: DataFrame, doc_id: str, text: str, components: int = 50, top: int = 100) -> DataFrame:
-    """Documents on the leading components of the term weights (latent semantic analysis).
-
-    The term matrix has at most ``top`` columns, so its cross products are one small aggregate; the
-    projection back is a sum per document.
-    """
-    import numpy as np
-
-    weights = tfidf(df, doc_id, text, top)
-    rows = weights.groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
-    names = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
-    dense = rows.select(doc_id, F.array(*[F.coalesce(F.try_element_at("m", F.lit(t)), F.lit(0.0)) for t in names]).alias("x"))
-    from tablecare.functions.moments import gram
-
-    cross = gram(dense, "x", len(names))
-    values, vectors = np.linalg.eigh(cross)
-    order = np.argsort(values)[::-1][:min(components, len(names))]
-    lead = vectors[:, order]
-    out = [F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in lead[:, j]]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-           for j in range(lead.shape[1])]
-    return dense.select(doc_id, F.array(*out).alias("components"))
+    terms = vocabulary(df, doc_id, text, top, **limits)
+    named = df.sparkSession.createDataFrame([(i, t) for i, (t, _) in enumerate(terms)], "place int, term string")
+    rows = weight_rows(df, doc_id, text, terms).select(F.col("id").alias(doc_id), F.explode(F.arrays_zip("places", "weights")).alias("e"))
+    return rows.select(doc_id, F.col("e.places").alias("place"), F.col("e.weights").alias("weight")).join(F.broadcast(named), "place").select(doc_id, "term", "weight")
+
+
+def text_components(df: DataFrame, doc_id: str, text: str, components: int = 50, top: int = 100, **limits) -> DataFrame:
+    """Documents on the leading components of the term weights (latent semantic analysis), for up to 65,536 terms."""
+    terms = vocabulary(df, doc_id, text, top, **limits)
+    rows = settle(weight_rows(df, doc_id, text, terms))
+    _, vectors = truncated_svd(rows, max(len(terms), 1), components)
+    return project(rows, vectors).withColumnRenamed("id", doc_id)

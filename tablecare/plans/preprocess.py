@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from tablecare.functions.ordered import quantiles
 from tablecare.operators.clean import ONE_HOT_LIMIT, TooManyValues
 from tablecare.operators.features import datetime_features
 from tablecare.operators.profile import Facts, gather
+from tablecare.operators.components import truncated_svd
 from tablecare.operators.quality import feature_types
-from tablecare.operators.text import tokens
+from tablecare.operators.text import grams, tokens, vocabulary, weight_rows
+from tablecare.session import settle
 
 
 @dataclass
@@ -22,8 +26,9 @@ class Preprocess:
     """``fit`` keeps medians, bounds, moments, category lists and terms; ``transform`` is one projection without a shuffle.
 
     No column is lost but the excluded ones, which pass as they are, and dates, which become their parts. Numbers are filled, clipped and
-    scaled; categories of any type are encoded; texts pass unchanged (``text="pass"``) or become the weights of their ``text_terms`` most
-    common terms (``text="tfidf"``); columns without a value, and others that no rule covers, pass. ``kinds`` sets the type of a column by hand.
+    scaled; categories of any type are encoded; texts pass unchanged (``text="pass"``), become the weights of their ``text_terms`` most
+    common terms (``text="tfidf"``), or ``text_components`` coordinates of the weights of terms of one and two words (``text="svd"``; terms
+    in ``text_min_df`` rows at least and in a share of ``text_max_share`` at most); columns without a value, and others that no rule covers, pass. ``kinds`` sets the type of a column by hand.
     """
 
     scaling: str = "standard"
@@ -33,6 +38,9 @@ class Preprocess:
     exclude: tuple[str, ...] = ()
     text: str = "pass"
     text_terms: int = 100
+    text_components: int = 50
+    text_min_df: int = 2
+    text_max_share: float = 0.95
     kinds: dict[str, str] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
     medians: dict[str, float] = field(default_factory=dict)
@@ -41,6 +49,7 @@ class Preprocess:
     values: dict[str, list] = field(default_factory=dict)
     dates: list[str] = field(default_factory=list)
     terms: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    spaces: dict[str, tuple[list[tuple[str, float]], np.ndarray]] = field(default_factory=dict)
     passed: list[str] = field(default_factory=list)
 
     def _dated(self, df: DataFrame) -> DataFrame:
@@ -93,7 +102,13 @@ class Preprocess:
                 found = df.select(F.explode(F.array_distinct(tokens(F.col(c)))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
                 top = found.orderBy(F.desc("n"), "t").limit(self.text_terms).collect()
                 self.terms[c] = [(r["t"], math.log((1 + facts.rows) / (1 + r["n"])) + 1) for r in top]
-        done = {*self.exclude, *self.medians, *self.values, *self.terms, *self.dates}
+        if self.text == "svd":
+            for c in (c for c, k in self.types.items() if k == "text"):
+                numbered = settle(df.select(F.monotonically_increasing_id().alias("_row"), c))
+                terms = vocabulary(numbered, "_row", c, self.text_terms, min_df=self.text_min_df, max_share=self.text_max_share)
+                rows = settle(weight_rows(numbered, "_row", c, terms))
+                self.spaces[c] = (terms, truncated_svd(rows, max(len(terms), 1), self.text_components)[1])
+        done = {*self.exclude, *self.medians, *self.values, *self.terms, *self.spaces, *self.dates}
         self.passed = [c for c in df.columns if c not in done]
         return self
 
@@ -132,4 +147,24 @@ class Preprocess:
             for term, weight in terms:
                 count = F.size(f"_words{i}") - F.size(F.array_remove(f"_words{i}", term))
                 cols.append((count * F.lit(weight)).alias(f"{c}_tfidf_{term}"))
+        for i, (c, (terms, vectors)) in enumerate(self.spaces.items()):
+            out = out.withColumn(f"_space{i}", _projected(terms, vectors)(grams(tokens(F.coalesce(F.col(c), F.lit(""))))))
+            cols += [F.get(f"_space{i}", F.lit(j)).alias(f"{c}_svd_{j}") for j in range(vectors.shape[1])]
         return out.select(*cols)
+
+
+def _projected(terms: list[tuple[str, float]], vectors: np.ndarray):
+    """A function from a text's terms to the coordinates of its weights, scaled to unit length."""
+    place, idf = {t: i for i, (t, _) in enumerate(terms)}, np.array([w for _, w in terms])
+
+    @F.pandas_udf("array<double>")
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for found in column:
+            known, counts = np.unique([place[t] for t in found if t in place] or np.zeros(0, int), return_counts=True)
+            w = counts * idf[known] if len(known) else np.zeros(0)
+            length = np.sqrt((w * w).sum())
+            out.append((w / length) @ vectors[known] if length else np.zeros(vectors.shape[1]))
+        return pd.Series(out)
+
+    return run

@@ -476,7 +476,18 @@ def cln_tfidf(spark, d):
     return tx.document_frequency(tb.load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
+@query("cln_tfidf_weights", rf"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+terms AS (SELECT doc_id, unnest(w) AS term FROM t UNION ALL SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM t),
+f AS (SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS total FROM terms GROUP BY 1),
+top AS (SELECT term, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + docs)) + 1 AS idf FROM f WHERE docs >= 2 AND docs <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 500),
+w AS (SELECT doc_id, term, count(*) * any_value(idf) AS w FROM terms JOIN top USING (term) GROUP BY ALL)
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) + 0.0 AS weight FROM w""")
+def cln_tfidf_weights(spark, d):
+    return tx.tfidf(tb.load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", top=500).withColumn("weight", rnd("weight"))
+
+
 @query("cln_text_components")
 def cln_text_components(spark, d):
-    """Latent components of the term weights; the sign of a component is free, so SQL has nothing to match."""
-    return tx.text_components(tb.load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", components=10)
+    """Latent components of 2000 terms' weights; checked in the tests by singular values and the reconstruction, as SQL has no decomposition."""
+    return tx.text_components(tb.load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", components=10, top=2000)
