@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablecare.functions.columns import numeric_columns
-from tablecare.functions.ordered import decayed_sums, framed, quantiles
+from tablecare.functions.ordered import decayed_sums, framed, quantiles, running
 from tablecare.functions.params import attach
+from tablecare.operators.nearest import nearest
+from tablecare.session import settle
 
 
 def datetime_features(df: DataFrame, col: str, keep: bool = False) -> DataFrame:
@@ -291,6 +293,56 @@ def binned_mutual_info(df: DataFrame, cols: list[str], target: str, bins: int =
     return terms.groupBy("feature").agg(F.sum("t").alias("mutual_info"))
 
 
+def digamma(n: Column) -> Column:
+    """Of numbers from 1 on: the asymptotic series six places further, less the steps to there."""
+    x = n.cast("double") + 6
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8)
+    for i in range(6):
+        series = series - 1 / (n.cast("double") + i)
+    return series
+
+
+def neighbour_mutual_info(df: DataFrame, cols: list[str], target: str, k: int = 3) -> DataFrame:
+    """Mutual information of columns with a numeric target, by the distances of the k-th neighbours (feature, mutual_info; 0 at least).
+
+    Both columns are scaled by their deviation. Of each row the k-th neighbour in the plane, by the larger difference, gives a radius; the
+    rows nearer than that are counted on each axis alone (itself included; with radius 0 the equal ones). No noise is added, so the result
+    is the same every time. Rows with a gap are left out; columns without spread, or with k rows or less, have 0.
+    """
+    out = None
+    for c in cols:
+        both = df.select(F.col(c).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+        n, dx, dy, mx, my = both.agg(F.count("*"), F.stddev_pop("x"), F.stddev_pop("y"), F.avg("x"), F.avg("y")).first()
+        if n <= k or not dx or not dy:
+            value = df.sparkSession.createDataFrame([(c, 0.0)], "feature string, mutual_info double")
+        else:
+            rows = settle(both.select(F.monotonically_increasing_id().alias("i"), ((F.col("x") - mx) / dx).alias("x"), ((F.col("y") - my) / dy).alias("y")))
+            found = nearest(rows.withColumn("v", F.array("x", "y")), rows.withColumn("v", F.array("x", "y")), "i", "i", "v", "v", k, skip_self=True, metric="chebyshev")
+            # A little less than the distance, so that its last digits don't decide whether the neighbour itself counts.
+            radius = found.groupBy(F.col("qid").alias("i")).agg((F.max("dist") * (1 - 1e-7)).alias("r"))
+            asks = rows.join(radius, "i")
+            # On each axis: values below the upper bound, less values up to the lower one. Equal places go in the order of ``side``.
+            axis = lambda name: F.array(*[F.struct(F.lit(name).alias("axis"), *x) for x in (
+                (F.col(name).alias("at"), F.lit(1).alias("side"), F.lit(0).alias("sign")),
+                ((F.col(name) + F.col("r")).alias("at"), F.when(F.col("r") > 0, 0).otherwise(2).alias("side"), F.lit(1).alias("sign")),
+                ((F.col(name) - F.col("r")).alias("at"), F.when(F.col("r") > 0, 2).otherwise(0).alias("side"), F.lit(-1).alias("sign")))])
+            marks = asks.select("i", F.explode(F.concat(axis("x"), axis("y"))).alias("e")).select("i", "e.*")
+            counted = running(marks, ["axis"], ["at", "side", "i"], {"below": ("sum", (F.col("sign") == 0).cast("long"))})
+            near = counted.where("sign <> 0").groupBy("axis", "i").agg(F.sum(F.col("sign") * F.col("below")).alias("n"))
+            mean = near.agg((F.sum(digamma(F.greatest("n", F.lit(1)))) / n).alias("m"))
+            both_n = digamma(F.lit(n)) + digamma(F.lit(k))
+            value = mean.select(F.lit(c).alias("feature"), F.greatest(both_n - F.col("m"), F.lit(0.0)).alias("mutual_info"))
+        out = value if out is None else out.unionByName(value)
+    return out
+
+
+def mutual_info(df: DataFrame, cols: list[str], target: str, task: str) -> DataFrame:
+    """By neighbours for a numeric target (task regression), by binned counts for classes."""
+    if task not in ("regression", "classification"):
+        raise ValueError(f"task is regression or classification, not {task}")
+    return neighbour_mutual_info(df, cols, target) if task == "regression" else binned_mutual_info(df, cols, target)
+
+
 def variances(df: DataFrame, cols: list[str]) -> dict[str, float]:
     return df.agg(*[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in cols]).first().asDict()
 

@@ -246,6 +246,24 @@ def fea_mutual_info(spark, d):
     return fe.binned_mutual_info(tb.load(spark, d, "lineitem"), NUM, "l_returnflag").withColumn("mutual_info", rnd("mutual_info"))
 
 
+def _near_sql(c):
+    bounds = lambda a: f"CASE WHEN r > 0 THEN b.{a} < p.{a} + r AND NOT b.{a} <= p.{a} - r ELSE b.{a} = p.{a} END"
+    psi = "(-0.577215664901532860607 + list_sum(list_prepend(0.0, [1.0::DOUBLE / j for j in range(1, ({0})::BIGINT)])))"
+    return f"""SELECT '{c}' AS feature, round(greatest(0, any_value({psi.format('t')}) + {psi.format('3')} - avg({psi.format('nx')} + {psi.format('ny')})), 5) + 0.0 AS mutual_info FROM
+ (SELECT p.i, any_value(p.t) AS t, count_if({bounds('x')}) AS nx, count_if({bounds('y')}) AS ny FROM
+  (SELECT a.i, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.t) AS t, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] * (1 - 1e-7) AS r FROM v_{c} a JOIN v_{c} b ON a.i <> b.i GROUP BY a.i) p, v_{c} b GROUP BY p.i)"""
+
+
+_NEAR = ("p_partkey", "p_size")
+
+
+@query("fea_mutual_info_regression", with_views(union(_near_sql(c) for c in _NEAR), **{f"v_{c}": f"""
+SELECT p_partkey AS i, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS x, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS y, count(*) OVER () AS t FROM part""" for c in _NEAR}))
+def fea_mutual_info_regression(spark, d):
+    """Neighbour estimate for a numeric target; ranks on each axis come from running counts."""
+    return fe.mutual_info(tb.load(spark, d, "part"), list(_NEAR), "p_retailprice", "regression").withColumn("mutual_info", rnd("mutual_info", 5))
+
+
 @query("fea_variance_select", """
 SELECT "column", round(v, 4) AS variance FROM (
   SELECT 'l_quantity' AS "column", var_pop(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', var_pop(l_extendedprice) FROM lineitem
