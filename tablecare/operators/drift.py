@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablecare.functions.columns import melt_row, numeric_columns
 from tablecare.functions.ordered import quantiles, running
 from tablecare.functions.tails import chi2_p, ks_p
+from tablecare.operators import sketches as sk
 from tablecare.session import settle
 
 
@@ -95,8 +96,19 @@ def _bin_shares(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     return found.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10, cut: float = 0.25) -> DataFrame:
-    """Population stability index on quantile bins of the reference; repeated edges are merged."""
+def psi_of_sketches(ref: DataFrame, cur: DataFrame, bins: int = 10, cut: float = 0.25) -> DataFrame:
+    """Population stability index from the sketches of both sides (``operators.sketches``); neither table is read again."""
+    edges = sk.quantile_edges(ref, bins)
+    if not edges:
+        return ref.sparkSession.createDataFrame([], "feature string, psi double, drifted boolean")
+    both = sk.shares(ref, edges, "p_ref").join(sk.shares(cur, edges, "p_cur"), ["feature", "bin"])
+    return _psi_terms(both, cut)
+
+
+def psi(ref: DataFrame, cur: DataFrame, cols: list[str], bins: int = 10, cut: float = 0.25, exact: bool = True) -> DataFrame:
+    """Population stability index on quantile bins of the reference; repeated edges are merged. Not ``exact``: one pass a side, by sketches."""
+    if not exact:
+        return psi_of_sketches(settle(sk.sketch(ref, cols)), settle(sk.sketch(cur, cols)), bins, cut)
     probs = [i / bins for i in range(1, bins)]
     found = quantiles(ref, cols, [0.0, *probs, 1.0])
     edges = {c: sorted(set(q[1:-1])) for c, q in found.items() if q[0] is not None}

@@ -52,8 +52,10 @@ def distinct_counts(df: DataFrame, cols: list[str] | None = None, exact: bool =
     if exact:
         rows = list(exact_distinct(df, cols).items())
         return df.sparkSession.createDataFrame(rows, "column string, distinct bigint")
-    row = df.agg(*[F.approx_count_distinct(F.when(~is_missing(df, c), F.col(f"`{c}`"))).alias(c) for c in cols])
-    return melt_row(row, {c: {"distinct": c} for c in cols})
+    from tablecare.operators import sketches as sk
+
+    present = df.select(*[F.when(~is_missing(df, c), F.col(f"`{c}`")).cast("string").alias(c) for c in cols])
+    return sk.distinct_counts(sk.sketch(present, [], cols))
 
 
 def exact_distinct(df: DataFrame, cols: list[str]) -> dict[str, int]:

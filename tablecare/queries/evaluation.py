@@ -8,9 +8,11 @@ from tablecare import tables as tb
 from tablecare.functions.columns import clip, rnd
 from tablecare.operators import drift as dr
 from tablecare.operators import metrics as mt
+from tablecare.operators import sketches as sk
 from tablecare.operators import profile as pf
 from tablecare.operators import quality as ql
 from tablecare.queries.quality import union
+from tablecare.queries.features import work_folder
 from tablecare.queries.registry import query, with_views
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -96,6 +98,18 @@ def drf_psi(spark, d):
     return out.withColumn("psi", rnd("psi", 8))
 
 
+@query("drf_psi_sketches", with_views(f"SELECT feature, psi > 0.25 AS drifted, true AS near FROM ({union(_psi_sql(c) for c in NUM)})", **SIDES))
+def drf_psi_sketches(spark, d):
+    """The index from sketches that were stored for halves of the reference and merged; compared with the exact one."""
+    a, b = _sides(spark, d)
+    path = f"{work_folder(spark)}/sketches"
+    for half in (0, 1):
+        sk.sketch(a.where(F.col("l_orderkey") % 2 == half), NUM).write.mode("append").parquet(path)
+    found = dr.psi_of_sketches(sk.merge(spark.read.parquet(path)), sk.sketch(b, NUM))
+    exact = dr.psi(a, b, NUM).select("feature", F.col("psi").alias("exact"))
+    return found.join(exact, "feature").select("feature", "drifted", (F.abs(F.col("psi") - F.col("exact")) <= 0.01 + 0.1 * F.col("exact")).alias("near"))
+
+
 @query("drf_mean_shift", with_views(union(
     f"""SELECT '{c}' AS feature, round(a, 4) AS mean_ref, round(b, 4) AS mean_cur, round(abs(b - a) / (abs(a) + 1e-10), 6) AS shift, abs(b - a) / (abs(a) + 1e-10) > 0.2 AS shifted
  FROM (SELECT (SELECT avg({c}) FROM early) AS a, (SELECT avg({c}) FROM late) AS b)""" for c in NUM), **SIDES))

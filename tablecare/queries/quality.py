@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablecare import tables as tb
 from tablecare.functions.columns import melt_row, numeric_columns, rnd, sample_skewness, sentinels_for
 from tablecare.operators import profile as pf
+from tablecare.operators import sketches as sk
 from tablecare.operators import quality as ql
 from tablecare.operators.project import flag_numeric_text
 from tablecare.plans.auto_clean import auto_clean
@@ -146,6 +147,18 @@ def agg_high_cardinality(spark, d):
                       (share > 0.5).alias("over_half"), (share > 0.9).alias("over_ninety"))
 
 
+@query("agg_high_cardinality_sketches", with_views("""
+SELECT "column", true AS near, n_distinct > 20 AS over_20 FROM facts WHERE kind = 'text'""", facts=facts_sql("customer", CUSTOMER)))
+def agg_high_cardinality_sketches(spark, d):
+    """Distinct counts from sketches of halves of the table, merged; within four times the stated error of the exact ones."""
+    df, cols = tb.load(spark, d, "customer"), [c for c, k in CUSTOMER.items() if k == "text"]
+    halves = [sk.sketch(df.where(F.col("c_custkey") % 2 == h), [], cols) for h in (0, 1)]
+    rough = sk.distinct_counts(sk.merge(halves[0].unionByName(halves[1])))
+    exact = pf.distinct_counts(df, cols).withColumnRenamed("distinct", "exact")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= 4 * sk.DISTINCT_ERROR * F.col("exact") + 1
+    return rough.join(exact, "column").select("column", near.alias("near"), (F.col("distinct") > 20).alias("over_20"))
+
+
 _TEXT_EVENTS = ("SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id, event_type, "
                 "value::VARCHAR AS value, props FROM events")
 

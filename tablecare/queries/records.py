@@ -355,6 +355,34 @@ def gov_erase(spark, d):
     return gv.erase(noted, ev.where("value > 150").select("user_id"), "user_id", "note")
 
 
+def _stored_events(spark, d):
+    """events stored by day."""
+    path = f"{work_folder(spark)}/events"
+    tb.load(spark, d, "events").select("event_id", "user_id", "ts", F.to_date("ts").cast("string").alias("day")).repartition("day").write.partitionBy("day").parquet(path)
+    return path
+
+
+@query("gov_erase_stored", """
+SELECT event_id, CASE WHEN g.user_id IS NULL THEN e.user_id END AS user_id, strftime(ts, '%Y-%m-%d') AS day
+FROM events e LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE value > 190) g ON g.user_id = e.user_id""")
+def gov_erase_stored(spark, d):
+    """Users erased in place in a table stored by day."""
+    path = _stored_events(spark, d)
+    gv.erase_stored(path, tb.load(spark, d, "events").where("value > 190").select("user_id"), "user_id", "day", f"{path}-staging")
+    return spark.read.parquet(path).select("event_id", "user_id", F.col("day").cast("string").alias("day"))
+
+
+@query("gov_retention_stored", """
+SELECT CASE WHEN ts + INTERVAL 10 DAY <= TIMESTAMP '2024-01-25 12:00:00' THEN 'archive' ELSE 'keep' END AS part, event_id FROM events""")
+def gov_retention_stored(spark, d):
+    """Expired rows moved to the archive of a table stored by day, in two runs on different days."""
+    path = _stored_events(spark, d)
+    for now in ("2024-01-20 06:00:00", "2024-01-25 12:00:00"):
+        gv.retain_stored(spark, path, f"{path}-archive", "ts", 10, F.lit(now).cast("timestamp_ntz"), "day", f"{path}-staging")
+    parts = [spark.read.parquet(p).select(F.lit(n).alias("part"), "event_id") for n, p in (("archive", f"{path}-archive"), ("keep", path))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("gov_user_export", """
 SELECT 'customer' AS table_name, c_custkey::VARCHAR AS id, count(*) AS n FROM customer WHERE c_custkey IN (5, 77) GROUP BY 2
 UNION ALL SELECT 'orders', o_custkey::VARCHAR, count(*) FROM orders WHERE o_custkey IN (5, 77) GROUP BY 2""")
@@ -391,6 +419,22 @@ def gov_hash_chain(spark, d):
     return out.select("event_id", "user_id", "chain_hash")
 
 
+@query("gov_chain_batches", """
+WITH RECURSIVE e AS (SELECT event_id, user_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}' AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+c AS (SELECT event_id, user_id, rn, sha256(':' || t) AS chain_hash FROM e WHERE rn = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.rn, sha256(c.chain_hash || ':' || e.t) FROM c JOIN e ON e.user_id = c.user_id AND e.rn = c.rn + 1)
+SELECT event_id, user_id, chain_hash FROM c""")
+def gov_chain_batches(spark, d):
+    """The same chain, stored by four batches in time order; each goes on from the stored heads, and one batch comes twice."""
+    store = gv.ChainStore(spark, f"{work_folder(spark)}/chain", ["user_id"], EV, ["event_id", "event_type", "user_id"])
+    ev = tb.load(spark, d, "events")
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for batch in (0, 1, 1, 2, 3):
+        store.append(ev.where(week == batch))
+    return store.events().select("event_id", "user_id", "chain_hash")
+
+
 @query("gov_verify_chain", """
 SELECT user_id, count(*) AS events, count(*) - count_if(ok) AS broken, round(count_if(ok) * 100.0::DOUBLE / count(*), 6) AS integrity FROM
  (SELECT user_id, CASE WHEN event_id % 50 = 0 THEN false ELSE true END AS ok FROM events) GROUP BY 1""")

@@ -143,9 +143,10 @@ def str_late_rows(spark, d):
     base = work_folder(spark)
     events = tb.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     for rows in FILES.values():
-        events.where(rows).coalesce(1).write.mode("append").parquet(f"{base}/events")
-    stream = ig.file_stream(spark, f"{base}/events", events.schema, files_per_batch=1)
-    out = ig.drained(spark, ws.tumbling(stream, "ts", "event_type", "value", slide="1 day", keep="5 days"), f"{base}/out", "update")
+        # Each part is a batch of its own, of as many files as its rows make.
+        events.where(rows).write.mode("append").parquet(f"{base}/events")
+        stream = ig.file_stream(spark, f"{base}/events", events.schema)
+        out = ig.drained(spark, ws.tumbling(stream, "ts", "event_type", "value", slide="1 day", keep="5 days"), f"{base}/out", "update")
     out = ig.newest_update(out, ["window_start", "metric"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", "count", rnd("sum", 4).alias("sum"))
 
@@ -279,11 +280,14 @@ def str_user_fn(spark, d):
     return ig.drained(spark, stream, work_folder(spark)).drop("batch_id")
 
 
+def _event_rows(spark, d):
+    return tb.load(spark, d, "events").withColumn("label", (F.col("event_type") == "purchase").cast("double")).withColumn("user", F.col("user_id").cast("double"))
+
+
 def _event_batches(spark, d, parts: int = 8):
     """events cut by time into files, one file per batch."""
     path = f"{work_folder(spark)}/events"
-    ev = tb.load(spark, d, "events").withColumn("label", (F.col("event_type") == "purchase").cast("double")).withColumn("user", F.col("user_id").cast("double"))
-    ev.repartitionByRange(parts, "ts").write.parquet(path)
+    _event_rows(spark, d).repartitionByRange(parts, "ts").write.parquet(path)
     return ig.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
 
 
@@ -297,7 +301,29 @@ def str_prequential(spark, d):
 
 @query("str_incremental")
 def str_incremental(spark, d):
+    """A model that is stopped after some batches and goes on from its saved state in a second run."""
+    base = work_folder(spark)
+    model = lambda: OnlineLogistic(["value", "user"], "label", replay_path=f"{base}/replay", state_path=f"{base}/state")
+    stream = _event_batches(spark, d)
+    first = model()
+
+    def half(batch, batch_id):
+        if batch_id < 4:
+            first.learn(batch, batch_id)
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/first").foreachBatch(half).start().awaitTermination()
+    second = model().restore(spark)
+    prequential(stream, second, f"{base}/second")  # reads all batches again; those learned already are passed over
+    return second.predict(tb.load(spark, d, "events").withColumn("user", F.col("user_id").cast("double"))).select("event_id", "proba", "prediction")
+
+
+@query("str_replay", "SELECT 500::BIGINT AS n, true AS from_every_batch")
+def str_replay(spark, d):
+    """Size of the replay buffer after a whole stream, and whether every batch is in it."""
     base = work_folder(spark)
-    model = OnlineLogistic(["value", "user"], "label", replay_path=f"{base}/replay")
+    model = OnlineLogistic(["value", "user"], "label", steps=1, replay_path=f"{base}/replay", buffer_size=500, state_path=f"{base}/state")
     prequential(_event_batches(spark, d), model, f"{base}/checkpoint")
-    return model.predict(tb.load(spark, d, "events").withColumn("user", F.col("user_id").cast("double"))).select("event_id", "proba", "prediction")
+    kept = model.buffer(spark).select("value", "user", "label")
+    rows = _event_rows(spark, d).join(kept.groupBy("value", "user", "label").agg(F.count("*").alias("k")), ["value", "user", "label"])
+    seen = rows.agg(F.countDistinct(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 432_000_000_000)).alias("spans")).first()["spans"]
+    return kept.agg(F.count("*").alias("n")).withColumn("from_every_batch", F.lit(seen >= 6))

@@ -8,20 +8,23 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE = "last_batch bigint, w array<double>, count bigint, mean array<double>, m2 array<double>, seen array<bigint>"
+STATE = "version bigint, last_batch bigint, w array<double>, count bigint, mean array<double>, m2 array<double>"
 
 
 class OnlineLogistic:
-    """Logistic regression with a running scaler, a bounded replay table and a few gradient steps per batch."""
+    """Logistic regression with a running scaler, a replay buffer of a fixed size and a few gradient steps per batch.
 
-    def __init__(self, cols: list[str], label: str, rate: float = 0.5, steps: int = 5, replay_path: str | None = None, replay_share: float = 0.1,
-                 replay_batches: int = 5, state_path: str | None = None):
+    The buffer (``replay_path``, ``buffer_size`` rows at most) is a uniform sample of all rows seen: every row draws a priority once, and the
+    rows with the largest ones stay. Buffer and model are written to two places in turn, so a run that fails while it writes leaves the
+    version before whole.
+    """
+
+    def __init__(self, cols: list[str], label: str, rate: float = 0.5, steps: int = 5, replay_path: str | None = None, buffer_size: int = 1000, state_path: str | None = None):
         self.cols, self.label, self.rate, self.steps = cols, label, rate, steps
         self.w = [0.0] * (len(cols) + 1)
         self.count, self.mean, self.m2 = 0, [0.0] * len(cols), [0.0] * len(cols)
-        self.replay_path, self.replay_share, self.replay_batches = replay_path, replay_share, replay_batches
-        self.state_path = state_path
-        self.seen: list[int] = []
+        self.replay_path, self.buffer_size, self.state_path = replay_path, buffer_size, state_path
+        self.version = 0
         self.last_batch = -1
         self.history: list[tuple[int, int, float | None]] = []
 
@@ -59,24 +62,34 @@ class OnlineLogistic:
         self.w = [w - self.rate * (row[f"g{i}"] or 0.0) for i, w in enumerate(self.w)]
 
     def save(self, spark: SparkSession) -> None:
-        """One row per batch id beside the stream's checkpoint; a repeated batch replaces its own."""
-        row = (self.last_batch, self.w, self.count, self.mean, self.m2, self.seen)
-        spark.createDataFrame([row], STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/batch_id={self.last_batch}")
+        """The model after a version, in place of the one two versions before."""
+        row = (self.version, self.last_batch, self.w, self.count, self.mean, self.m2)
+        spark.createDataFrame([row], STATE).coalesce(1).write.mode("overwrite").parquet(f"{self.state_path}/slot={self.version % 2}")
 
     def restore(self, spark: SparkSession) -> OnlineLogistic:
-        """Go on from the newest saved batch, if there is one."""
-        try:
-            row = spark.read.schema(STATE).option("recursiveFileLookup", "true").parquet(self.state_path).orderBy(F.desc("last_batch")).first()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            row = None
-        if row is not None:
-            self.last_batch, self.w, self.count, self.mean, self.m2, self.seen = (list(x) if isinstance(x, list) else x for x in row)
+        """Go on from the newest saved version, if there is one."""
+        for slot in (0, 1):
+            try:
+                row = spark.read.schema(STATE).parquet(f"{self.state_path}/slot={slot}").first()
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                row = None
+            if row is not None and row["version"] > self.version:
+                self.version, self.last_batch, self.w, self.count, self.mean, self.m2 = (list(x) if isinstance(x, list) else x for x in row)
         return self
 
+    def buffer(self, spark: SparkSession) -> DataFrame | None:
+        """The rows kept for replay, with their priorities."""
+        return spark.read.parquet(f"{self.replay_path}/slot={self.version % 2}") if self.replay_path and self.version else None
+
+    def _refill(self, rows: DataFrame, old: DataFrame | None, version: int, batch_id: int) -> None:
+        drawn = rows.withColumn("_priority", F.rand(seed=batch_id * 1_000_003 + 17))
+        every = drawn if old is None else drawn.unionByName(old)
+        every.orderBy(F.desc("_priority")).limit(self.buffer_size).write.mode("overwrite").parquet(f"{self.replay_path}/slot={version % 2}")
+
     def learn(self, batch: DataFrame, batch_id: int) -> None:
-        """Score the batch with the model so far, then learn from it and from a sample of recent batches.
+        """Score the batch with the model so far, then learn from it and from the replay buffer.
 
         A batch that comes again after a restart is not learned twice. With ``state_path`` the model is saved after each batch.
         """
@@ -91,16 +104,13 @@ class OnlineLogistic:
                 accuracy = self.predict(rows).agg(F.avg((F.col("prediction") == F.col(self.label)).cast("double"))).first()[0]
             self.history.append((batch_id, rows.count(), accuracy))
             self._update_scaler(rows)
-            train = rows
-            if self.replay_path:
-                rows.sample(fraction=self.replay_share, seed=batch_id).write.mode("overwrite").parquet(f"{self.replay_path}/batch_id={batch_id}")
-                kept = self.seen[-self.replay_batches:]
-                if kept:
-                    paths = [f"{self.replay_path}/batch_id={b}" for b in kept]
-                    train = rows.unionByName(rows.sparkSession.read.parquet(*paths).select(*self.cols, self.label))
-                self.seen = [*kept, batch_id]
+            old = self.buffer(batch.sparkSession)
+            train = rows if old is None else rows.unionByName(old.select(*self.cols, self.label))
             for _ in range(self.steps):
                 self._step(train)
+            if self.replay_path:
+                self._refill(rows, old, self.version + 1, batch_id)
+            self.version += 1
             self.last_batch = batch_id
             if self.state_path:
                 self.save(batch.sparkSession)

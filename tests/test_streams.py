@@ -158,15 +158,33 @@ def test_progress_counts_every_batch(spark, tmp_path):
 
 
 def test_online_model_goes_on_after_a_restart(spark, tmp_path):
-    batches = [spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(40 * b, 40 * b + 40)], "x double, y double") for b in range(4)]
-    whole = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r0", state_path=f"{tmp_path}/s0")
+    batches = [spark.createDataFrame([(float(i % 7), float(i % 7 > 3)) for i in range(40 * b, 40 * b + 40)], "x double, y double").coalesce(1) for b in range(4)]
+    whole = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r0", state_path=f"{tmp_path}/s0", buffer_size=60)
     for b, rows in enumerate(batches):
         whole.learn(rows, b)
-    first = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r1", state_path=f"{tmp_path}/s1")
+    first = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r1", state_path=f"{tmp_path}/s1", buffer_size=60)
     for b in (0, 1):
         first.learn(batches[b], b)
-    again = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r1", state_path=f"{tmp_path}/s1").restore(spark)
+    # A run that failed while it wrote the next version.
+    spark.createDataFrame([(9.0, 9.0, 9.0)], "x double, y double, _priority double").write.mode("overwrite").parquet(f"{tmp_path}/r1/slot=1")
+    again = OnlineLogistic(["x"], "y", replay_path=f"{tmp_path}/r1", state_path=f"{tmp_path}/s1", buffer_size=60).restore(spark)
     for b in (1, 2, 3):  # batch 1 comes a second time
         again.learn(batches[b], b)
-    assert again.w == pytest.approx(whole.w) and again.count == whole.count == 160 and again.seen == whole.seen
+    assert again.w == pytest.approx(whole.w) and again.count == whole.count == 160 and again.version == whole.version == 4
+    assert again.buffer(spark).count() == whole.buffer(spark).count() == 60
     assert OnlineLogistic(["x"], "y", state_path=f"{tmp_path}/none").restore(spark).last_batch == -1
+
+
+def test_replay_buffer_is_a_uniform_sample_of_fixed_size(spark, tmp_path):
+    model = OnlineLogistic(["x"], "y", steps=0, replay_path=f"{tmp_path}/r", buffer_size=400)
+    sizes = (100, 3000, 500, 1, 400)
+    start = 0
+    for b, n in enumerate(sizes):
+        model.learn(spark.range(start, start + n).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y")), b)
+        start += n
+        assert model.buffer(spark).count() == min(start, 400)
+    kept = [r.x for r in model.buffer(spark).collect()]
+    assert len(set(kept)) == 400
+    for a, n in ((100, 3000), (3100, 500), (3601, 400)):  # each batch by its share, within five deviations
+        share = 400 * n / start
+        assert abs(sum(a <= x < a + n for x in kept) - share) < 5 * share**0.5
