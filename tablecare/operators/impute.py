@@ -14,48 +14,37 @@ from pyspark.sql import types as T
 from tablecare.functions.moments import least_squares
 from tablecare.functions.ordered import quantiles, row_numbers
 from tablecare.functions.params import attach
+from tablecare.operators.gapped import nearest_points
 from tablecare.operators.nearest import nearest
 from tablecare.session import settle
 
 
 def knn_impute(df: DataFrame, target: str, features: list[str], k: int = 5) -> DataFrame:
-    """Missing cells of one column to the mean of the k nearest donors over the present features.
+    """Missing cells of one column to the mean of the k nearest donors, over the coordinates that both rows have.
 
-    Rows with equal coordinates have equal neighbours, so queries and donors are first reduced to distinct
-    coordinates with counts and means; donors at equal coordinates share their weight. Donors have all
-    features. Without a present feature the column mean is taken.
+    Donors are all rows with a value in the column, with gaps in their features or not (``operators.gapped``). Rows with equal coordinates
+    have equal neighbours, so queries and donors are first reduced to distinct coordinates with counts and means; donors at equal
+    coordinates share their weight. Donors at equal distance go in the order of their coordinates, gaps last. A row that shares no coordinate
+    with any donor takes the column mean.
     """
     mean = df.agg(F.avg(target)).first()[0]
     if mean is None:
         return df
-    gap = F.col(target).isNull()
-    flags = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in features])
-    patterns = [r[0] for r in df.where(gap).select(flags).distinct().collect()]
-    out = df.withColumn("_pattern", F.when(gap, flags))
-    parts = [out.where(F.col("_pattern").isNull())]
-    for p in patterns:
-        have = [c for c, bit in zip(features, p) if bit == "1"]
-        rows = out.where(F.col("_pattern") == p)
-        if not have:
-            parts.append(rows.withColumn(target, F.lit(mean)))
-            continue
-        point = F.array(*[F.col(c).cast("double") for c in have])
-        name = F.xxhash64(*have)
-        donors = df.where(F.col(target).isNotNull() & F.least(*[F.col(c).isNotNull().cast("int") for c in features], F.lit(1)).cast("boolean"))
-        donors = settle(donors.groupBy(point.alias("v")).agg(F.avg(target).alias("m"), F.count(F.lit(1)).alias("n"))
-                        .withColumn("cid", F.xxhash64("v")))
-        asks = settle(rows.select(point.alias("v")).distinct().withColumn("qid", F.xxhash64("v")))
-        found = nearest(asks, donors, "qid", "cid", "v", "v", k).join(donors.select("cid", "m", "n"), "cid")
-        # Each query has at most k donor groups here.
-        before = F.sum("n").over(W.partitionBy("qid").orderBy("dist", "cid").rowsBetween(W.unboundedPreceding, -1))
-        used = F.greatest(F.least(F.col("n"), F.lit(k) - F.coalesce(before, F.lit(0))), F.lit(0))
-        values = found.withColumn("_u", used).groupBy("qid").agg((F.sum(F.col("m") * F.col("_u")) / F.sum("_u")).alias("_value"))
-        filled = attach(rows.withColumn("qid", F.xxhash64(point)), values, ["qid"])
-        parts.append(filled.withColumn(target, F.coalesce("_value", F.lit(mean))).drop("_value", "qid"))
-    done = parts[0]
-    for part in parts[1:]:
-        done = done.unionByName(part.select(*done.columns))
-    return done.select(*df.columns)
+    # NaN is a gap; -0.0 and 0.0 are one place.
+    point = F.array(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") + 0.0) for c in features]).cast("array<double>")
+    name = lambda v: F.xxhash64(F.transform(v, lambda x: F.coalesce(x, F.lit(float("nan")))))  # noqa: E731 - a hash passes over nulls, wherever they stand
+    rows = df.withColumn("qid", name(point))
+    donors = settle(df.where(F.col(target).isNotNull()).groupBy(point.alias("v")).agg(F.avg(target).alias("m"), F.count(F.lit(1)).alias("n")).withColumn("cid", name("v")))
+    filled = F.exists("v", lambda x: x.isNotNull())
+    asks = settle(df.where(F.col(target).isNull()).select(point.alias("v")).distinct().where(filled).withColumn("qid", name("v")))
+    found = nearest_points(asks, donors.where(filled).select("cid", "v"), k, len(features)).join(donors.select("cid", "v", "m", "n"), "cid")
+    # Of each task at most k donor points and ties come here; those beyond k rows take no part.
+    order = W.partitionBy("qid").orderBy("dist", F.transform("v", lambda x: F.coalesce(x, F.lit(float("inf")))))
+    before = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))
+    used = F.greatest(F.least(F.col("n"), F.lit(k) - F.coalesce(before, F.lit(0))), F.lit(0))
+    values = found.withColumn("_u", used).groupBy("qid").agg((F.sum(F.col("m") * F.col("_u")) / F.sum("_u")).alias("_value"))
+    given = attach(rows, values, ["qid"])
+    return given.withColumn(target, F.when(F.col(target).isNotNull(), F.col(target)).otherwise(F.coalesce("_value", F.lit(mean)))).select(*df.columns)
 
 
 def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 10, tol: float = 1e-3) -> DataFrame:

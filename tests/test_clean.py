@@ -9,6 +9,7 @@ from tablecare.operators import clean as cl
 from tablecare.operators import govern as gv
 from tablecare.operators import impute as im
 from tablecare.operators import nearest as nn
+from tablecare.operators.gapped import nearest_points
 from tablecare.operators import project as pj
 from tablecare.operators import text as tx
 from tablecare.operators.profile import Facts
@@ -83,24 +84,51 @@ def test_nearest_is_exact_with_many_cells(spark):
     assert got == brute(x, range(len(x)), 5)
 
 
-def test_knn_impute_matches_brute_force(spark):
-    rows = [(i, float(i % 7), float(i % 5), None if i % 6 == 0 else float(i % 11)) for i in range(120)]
-    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
-    got = {r["id"]: r["y"] for r in im.knn_impute(df, "y", ["a", "b"], 5).collect()}
+def gapped(a, b):
+    shared = [(x - y) ** 2 for x, y in zip(a, b) if x is not None and y is not None]
+    return round(sum(shared) * len(a) / len(shared), 9) if shared else None
+
+
+@pytest.mark.parametrize("gaps, width", [(0.0, 2), (0.3, 2), (0.4, 3)])
+def test_knn_impute_matches_brute_force(spark, gaps, width):
+    rng = np.random.default_rng(width)
+    rows = []
+    for i in range(160):
+        point = [None if rng.random() < gaps else float(rng.integers(0, 6)) if j else float(np.round(rng.normal(), 2)) for j in range(width)]
+        rows.append((i, *point, None if i % 4 == 0 else float(rng.integers(0, 50))))
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"x{j} double" for j in range(width)) + ", y double")
+    got = {r["id"]: r["y"] for r in im.knn_impute(df, "y", [f"x{j}" for j in range(width)], 5).collect()}
     donors = {}
-    for _, a, b, y in rows:
+    for _, *point, y in rows:
         if y is not None:
-            donors.setdefault((a, b), []).append(y)
-    for i, a, b, y in rows:
+            donors.setdefault(tuple(point), []).append(y)
+    mean = np.mean([r[-1] for r in rows if r[-1] is not None])
+    for i, *point, y in rows:
         if y is not None:
             assert got[i] == y
             continue
-        # Donors at equal distance are told apart by a hash, so only the certain part is compared.
-        near = sorted((((a - p) ** 2 + (b - q) ** 2), np.mean(v), len(v)) for (p, q), v in donors.items())
-        if near[0][2] >= 5:
-            assert got[i] == pytest.approx(near[0][1])
-        else:
-            assert min(m for _, m, _ in near) <= got[i] <= max(m for _, m, _ in near)
+        near = sorted((d, tuple(np.inf if x is None else x for x in p), np.mean(v), len(v)) for p, v in donors.items() if (d := gapped(point, p)) is not None)
+        left, total = 5, 0.0
+        for _, _, m, n in near:
+            total, left = total + m * min(n, left), left - min(n, left)
+        assert got[i] == pytest.approx(total / (5 - left) if near else mean)
+
+
+@pytest.mark.parametrize("block, sample", [(2048, 2048), (8, 5), (3, 40)])
+def test_gapped_neighbours_in_short_blocks(spark, block, sample):
+    rng = np.random.default_rng(block)
+    point = lambda: [None if rng.random() < 0.35 else float(np.round(rng.normal() * 5, 1)) if j else float(rng.integers(0, 3)) for j in range(3)]
+    points = list({tuple(point()) for _ in range(120)} - {(None, None, None)})
+    asks = [p for p in (point() for _ in range(40)) if any(x is not None for x in p)]
+    got = {}
+    frames = (spark.createDataFrame(list(enumerate(map(list, x))), f"{n} bigint, v array<double>") for x, n in ((asks, "qid"), (points, "cid")))
+    for r in nearest_points(*frames, 4, 3, block=block, sample=sample).collect():
+        assert (r.cid, r.dist) not in got.setdefault(r.qid, set())
+        got[r.qid].add((r.cid, r.dist))
+    for i, a in enumerate(asks):
+        want = sorted((d, j) for j, p in enumerate(points) if (d := gapped(a, p)) is not None)
+        edge = want[:4][-1][0]
+        assert {(j, d) for j, d in got[i] if d <= edge} == {(j, d) for d, j in want if d <= edge}
 
 
 def test_iterative_impute_recovers_a_line(spark):
