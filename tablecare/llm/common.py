@@ -74,7 +74,8 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b); component is the smallest reachable node.
 
     Large-star and small-star rounds: each points nodes at the smallest neighbour, so stars form in a logarithmic number of rounds.
-    A round is two grouped minima and two joins on stored edges; nothing is gathered on the driver but two numbers.
+    A round is two grouped minima and two joins; nothing is gathered on the driver but two numbers. Minima and edges are stored before
+    they are joined, so that a join alone deals out the edges and Spark can split those of a hub over several tasks.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     state, seen = ws.put(pairs, "edges"), None
@@ -84,8 +85,9 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
             break
         seen = now
         near = state.select(F.col("v").alias("x"), F.col("v").alias("y")).union(state.select("u", "v")).groupBy("x").agg(F.min("y").alias("m"))
-        large = state.join(near, F.col("v") == F.col("x")).select("u", F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = ws.put(near, "near")
+        large = ws.put(state.join(near, F.col("v") == F.col("x")).select("u", F.col("m").alias("v")).distinct(), "large")
+        low = ws.put(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select("u", F.col("m").alias("v")))
         state = ws.put(small.distinct(), "edges")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -47,9 +47,12 @@ def _place(keys: list[str], exponent: int) -> Column:
 
 def occurring_again(rows: DataFrame, keys: list[str], exponent: int) -> DataFrame:
     """(_bucket, _bits): a bit for the hash of each key that two rows or more have; 2**(exponent - 15) rows of 4 KB at most."""
-    place = _place(keys, exponent)
-    again = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(place.alias("_place"))
-    return again.groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    return bit_table(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), keys, exponent)
+
+
+def bit_table(rows: DataFrame, keys: list[str], exponent: int) -> DataFrame:
+    """(_bucket, _bits): a bit for the hash of each row's key."""
+    return rows.select(_place(keys, exponent).alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
 
 
 def flagged(rows: DataFrame, keys: list[str], bits: DataFrame, exponent: int) -> DataFrame:

@@ -2,13 +2,17 @@
 
 A signature needs two permutations only. The first (sigma) relabels shingles into a universe of 2**32; the second (pi) is shifted
 circularly by one place for each coordinate: coordinate k is the smallest pi((sigma(s) - k) mod 2**32) over the shingles s.
-Bands of ``rows`` coordinates put documents into buckets. Documents joined by buckets form candidate components, and inside a
-component the links are found exactly by counting common shingles. Hot groups are handled without pairs in Spark:
+Bands of ``rows`` coordinates put documents into buckets, and links are found by comparing sorted fingerprints of all shingles, exactly.
+Hot groups are handled without pairs in Spark:
 
-* documents with the same word sequence collapse to one class before banding;
-* a bucket gives one edge per member (to its smallest id), never pairs;
-* a component of more than ``block`` documents is dealt into blocks. Each block is first checked against the component's first
-  document; only documents that fail this check are then compared with the blocks, so a large group of close copies costs one pass.
+* documents with the same word sequence collapse to one class before banding; buckets with the same members are kept once;
+* each member of a bucket is first compared with the bucket's hub, its smallest class, in blocks of members, so that a large group of close
+  copies costs one pass;
+* what the hub's links don't join is compared inside its bucket only, in blocks: each member that is not in the hub's component with the
+  bucket's members that are not in its own. Chains of buckets cost nothing: a document meets only those it shares a band with.
+
+Fingerprints are made and shuffled of documents that share a bucket; the texts of others are read once and go nowhere. Sets whose sizes
+alone rule a link out are not intersected.
 
 Row order plays no part. Empty and null texts have no shingles and link with nothing. A null id is never linked (component null, kept).
 Rows that repeat an id count as one document. Columns besides id and text are ignored. An empty table gives an empty result.
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tablecare.llm import shingles
 from tablecare.llm.common import Workspace, components, mix64, modest_batches, release_memory, slices, text_buffers
+from tablecare.llm.exact import bit_exponent, bit_table, flagged
 
 BANDS, ROWS = 32, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 600, 2_000_000
@@ -122,26 +127,76 @@ def _forest(adjacent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
     return ids[moved], ids[label[moved]]
 
 
-def _compare(width: int, share: tuple[int, int]):
-    """Links between the rows of side 0 and side 1 of a group; with no row on side 0, between all of its rows."""
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """id, keys of the word sequence, and the sorted distinct shingles (as bytes) of rows (id, text)."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for a, b in slices(offsets):
+                part = offsets[a : b + 1]
+                marks, counts = shingles.words(data[part[0] : part[-1]], part - part[0])
+                value, have = shingles.windows(marks, counts, width)
+                s1, s2 = shingles.sequence_keys(marks, counts)
+                ends = np.cumsum(have)
+                sets = [np.unique(value[e - h : e]).tobytes() for e, h in zip(ends, have)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(s1), pa.array(s2), pa.array(sets, pa.binary())], names=["id", "s1", "s2", "prints"])
+        shingles.forget()
+        release_memory()
+
+    return docs.select("id", "text").mapInArrow(run, "id long, s1 long, s2 long, prints binary")
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _to_hub(share: tuple[int, int]):
+    """Members of a block (side 1) that are linked to the bucket's hub (side 0)."""
 
     def run(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        ids = group.column("id").to_numpy()
-        sets = shingles.sets(*text_buffers(group.column("text")), width)
+        side, ids, sets = group.column("side").to_numpy(), group.column("id").to_numpy(), _sets(group.column("prints"))
+        hub, rows = sets[int(np.flatnonzero(side == 0)[0])], np.flatnonzero(side == 1)
+        sizes = np.array([len(sets[k]) for k in rows], np.int64)
+        every = np.concatenate([sets[k] for k in rows]) if len(rows) else np.zeros(0, np.uint64)
+        met = hub[np.minimum(np.searchsorted(hub, every), len(hub) - 1)] == every
+        both = np.add.reduceat(met, np.cumsum(sizes) - sizes) if len(rows) else sizes
+        near = both * share[1] >= share[0] * (sizes + len(hub) - both)
+        return pa.table({"a": pa.array(ids[rows][near], pa.int64()), "b": pa.array(np.full(int(near.sum()), ids[side == 0][0]), pa.int64())})
+
+    return run
+
+
+def _rest(share: tuple[int, int]):
+    """Links between a bucket's movers (side 0) and members (side 1) of other components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        side, ids, part, n = (group.column(c).to_numpy() for c in ("side", "id", "part", "n"))
+        sets = _sets(group.column("prints"))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a = a if len(a) else b
-        left, right = [sets[k] for k in a], [sets[k] for k in b]
-        both = _common(left, right)
-        sizes = np.array([len(x) for x in sets], np.int64)
-        whole = sizes[a][:, None] + sizes[b][None, :] - both
-        near = (both * share[1] >= share[0] * whole) & (both > 0)
+        fits = np.minimum(n[a][:, None], n[b][None, :]) * share[1] >= share[0] * np.maximum(n[a][:, None], n[b][None, :])
+        open_ = fits & (part[a][:, None] != part[b][None, :])
+        a, b, open_ = a[open_.any(axis=1)], b[open_.any(axis=0)], open_[open_.any(axis=1)][:, open_.any(axis=0)]
+        if not len(a):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        both = _common([sets[k] for k in a], [sets[k] for k in b])
+        near = open_ & (both > 0) & (both * share[1] >= share[0] * (n[a][:, None] + n[b][None, :] - both))
         u, v = _forest(near, ids[a], ids[b])
         return pa.table({"a": pa.array(u, pa.int64()), "b": pa.array(v, pa.int64())})
 
     return run
 
 
+def _prints(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, width: int, classes: DataFrame, inside: DataFrame) -> DataFrame:
+    """class, prints of the classes that share a bucket. A table of bits of their ids, of bounded size, keeps other texts out of the shuffle."""
+    wanted = ws.put(inside.select("class").distinct().join(classes.select("class", "first", "s1", "s2"), "class"), "wanted")
+    exponent = bit_exponent(wanted.count())
+    bits = ws.put(bit_table(wanted.select(F.col("first").alias("id")).distinct(), ["id"], exponent), "bits")
+    rows = flagged(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL"), ["id"], bits, exponent).where("_again")
+    made = fingerprints(rows, width).groupBy("id", "s1", "s2").agg(F.first("prints").alias("prints"))
+    return ws.put(made.join(wanted.withColumnRenamed("first", "id"), ["id", "s1", "s2"]).select("class", "prints"), "prints")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, share: tuple[int, int] = (80, 100),
                     bands: int = BANDS, rows: int = ROWS, block: int = BLOCK_DOCS) -> DataFrame:
     """Per row of ``docs``: id_col, n_shingles, component_id (smallest reachable id), kept (id is component_id, or id is null).
@@ -154,35 +209,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = ws.put(signature_table(docs, id_col, text_col, width, bands, rows), "signatures")
     usable = signed.where("id IS NOT NULL AND n > 0")
     classes = usable.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.min_by("bands", "id").alias("bands"))
-    classes = ws.put(classes, "classes")
-    members = classes.select("first", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("first").alias("hub"), F.max("first").alias("top")).where("hub < top").select("key", "hub")
-    stars = members.join(hubs, "key").where("first <> hub").select(F.col("first").alias("a"), F.col("hub").alias("b")).distinct()
-    parts = ws.put(components(ws, stars), "candidates").join(classes.select(F.col("first").alias("node"), "n"), "node")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("load"))
-    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int"))
-    placed = ws.put(parts.join(sizes, "component").select(
-        F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "placed")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = ws.put(placed.join(texts, "id"), "texts")
-    run, edge = _compare(width, share), "a long, b long"
-    links = [placed.where("blocks = 1").withColumn("side", F.lit(1)).select("component", "id", "text", "side").groupBy("component").applyInArrow(run, edge)]
-    large = placed.where("blocks > 1")
-    if large.limit(1).count():
-        first = large.where("id = component").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
-        each = large.where("id <> component").withColumn("side", F.lit(1))
-        starred = ws.put(first.unionByName(each).groupBy("component", "block").applyInArrow(run, edge), "starred")
-        # Rows linked to the first document are settled; each other row is compared with every block of its component.
-        main = components(ws, starred).where("node <> component").join(large.where("id = component").select(F.col("id").alias("component")), "component", "left_semi")
-        movers = large.where("id <> component").join(main.select(F.col("node").alias("id")), "id", "left_anti")
-        movers = movers.withColumn("from", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = movers.select("component", "block", "from", "id", "text", F.lit(0).alias("side"))
-        asked = cells.select("component", "block", "from").distinct()
-        against = large.select("component", "block", "id", "text").join(asked, ["component", "block"]).select("component", "block", "from", "id", "text", F.lit(1).alias("side"))
-        links += [starred, cells.union(against).groupBy("component", "block", "from").applyInArrow(run, edge)]
+    classes = ws.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    members = classes.select("class", "n", F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("kind"), F.min("class").alias("hub")).where("size > 1")
+    buckets = ws.put(buckets.groupBy("size", "kind", "hub").agg(F.min("key").alias("key")).select("key", "hub", "size"), "buckets")
+    inside = ws.put(members.join(buckets, "key").select("key", "class", "n", "hub", "size"), "inside")
+    prints = _prints(ws, docs, id_col, text_col, width, classes, inside)
+    stars = inside.where("class <> hub").select("class", "hub", "n").distinct()
+    loads = ws.put(stars.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "hubs")
+    dealt = stars.join(loads, "hub").select("class", "hub", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
+    each = dealt.join(prints, "class").select("hub", "block", F.col("class").alias("id"), "prints", F.lit(1).alias("side"))
+    heads = loads.select(F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(prints, "class")
+    heads = heads.select(F.col("class").alias("hub"), "block", F.col("class").alias("id"), "prints", F.lit(0).alias("side"))
+    linked = ws.put(heads.unionByName(each).groupBy("hub", "block").applyInArrow(_to_hub(share), "a long, b long"), "linked")
+    links = [linked]
+
+    # What is not in the hub's component is compared inside its bucket.
+    parts = ws.put(components(ws, linked), "parts").withColumnRenamed("component", "part")
+    known = ws.put(inside.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("part", "class")), "known")
+    hub_part = parts.select(F.col("node").alias("hub"), F.col("part").alias("hub_part"))
+    known = known.join(hub_part, "hub", "left").withColumn("mover", F.col("part") != F.coalesce("hub_part", "hub"))
+    known = ws.put(known.select("key", "class", "n", "part", "mover"), "places")
+    open_ = ws.put(known.groupBy("key").agg(F.count_if("mover").alias("movers"), F.sum(F.when(F.col("mover"), F.col("n"))).alias("mover_load"), F.count("*").alias("all"), F.sum("n").alias("load")).where("movers > 0").select(
+        "key", F.greatest(F.ceil(F.col("movers") / block), F.ceil(F.col("mover_load") / BLOCK_SHINGLES)).cast("int").alias("columns"),
+        F.greatest(F.ceil(F.col("all") / block), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int").alias("lines")), "open")
+    if open_.limit(1).count():
+        here = known.join(open_, "key").withColumns({"line": F.pmod(F.xxhash64("class"), F.col("lines")).cast("int"), "column": F.pmod(F.xxhash64("class", F.lit(1)), F.col("columns")).cast("int")})
+        moving = here.where("mover").withColumn("line", F.explode(F.sequence(F.lit(0), F.col("lines") - 1))).withColumn("side", F.lit(0))
+        standing = here.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("side", F.lit(1))
+        cells = moving.unionByName(standing).join(prints, "class").select("key", "line", "column", F.col("class").alias("id"), "part", "n", "prints", "side")
+        links.append(cells.groupBy("key", "line", "column").applyInArrow(_rest(share), "a long, b long"))
     found = links[0]
     for more in links[1:]:
         found = found.union(more)
+    names = classes.select("class", "first")
+    found = found.join(names.select(F.col("class").alias("a"), F.col("first").alias("_a")), "a").join(names.select(F.col("class").alias("b"), F.col("first").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     copies = usable.join(classes.select("s1", "s2", "first"), ["s1", "s2"]).where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     part = components(ws, found.union(copies))
     result = signed.join(part.withColumnRenamed("node", "id"), "id", "left").select(

@@ -43,6 +43,32 @@ def test_minhash_equals_brute_force_also_in_blocks(spark, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 5, (85, 100))
 
 
+def test_minhash_compares_chained_unlike_documents_in_their_buckets_only(spark, monkeypatch):
+    """Each document shares 60 percent of its words with the next one: one chain of buckets, no link. The cells that are compared grow with the chain."""
+    seen = {}
+    for n in (300, 1200):
+        words = [f"w{i}" for i in range(40 * n + 200)]
+        docs = spark.createDataFrame([(i, " ".join(words[40 * i : 40 * i + 100])) for i in range(n)], "doc_id long, text string")
+        cells = spark.sparkContext.accumulator(0)
+
+        def counted(share, cells=cells, made=minhash._rest):
+            run = made(share)
+
+            def count(group):
+                side = group.column("side").to_numpy()
+                cells.add(int((side == 0).sum() * (side == 1).sum()))
+                return run(group)
+
+            return count
+
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "_rest", counted)
+            got = minhash.near_duplicates(docs).collect()
+        assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == n
+        seen[n] = cells.value
+    assert 0 < seen[1200] < 6 * seen[300]
+
+
 def test_minhash_edges(spark, tiny, none):
     got = minhash.near_duplicates(tiny).collect()
     by = {}
