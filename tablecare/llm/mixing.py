@@ -210,18 +210,23 @@ def copies(rate: Column, *key: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """What a row's draw goes by: its id and text, so that rows without an id, or with one id and several texts, draw for themselves."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key")
+
+
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
           label_id: str = "doc_id", domain_col: str = "domain", **options) -> tuple[DataFrame, Domains, Rates]:
     """id_col, tokens, p_<domain> for each learned domain, rate, copies per document; the classifier; the fitted rates."""
     ws = Workspace(docs.sparkSession)
     model = fit_domains(docs, labelled, id_col, text_col, label_id, domain_col)
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    narrow = docs.select(F.col(id_col).alias("_id"), _key(id_col, text_col), F.col(text_col).alias("_text"))
     rows = posteriors(narrow, model, "_text") if model.names else narrow.withColumn("_tokens", tokens(F.col("_text")))
     rows = ws.put(rows.drop("_text"), "posteriors")
     fitted = fit_rates(rows, [weights.get(d, 0.0) for d in model.names], **options) if any(weights.get(d) for d in model.names) else Rates([], 0.0, 1.0, [], [], [])
     rows = rows.withColumn("_rate", fitted.column())
     result = rows.select(F.col("_id").alias(id_col), F.col("_tokens").alias("tokens"), *[F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(model.names)],
-                         F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("_id")).alias("copies"))
+                         F.col("_rate").alias("rate"), copies(F.col("_rate"), F.col("_key")).alias("copies"))
     return result, model, fitted
 
 
@@ -230,8 +235,8 @@ def mixed(docs: DataFrame, model: Domains, fitted: Rates, id_col: str = "doc_id"
     if not fitted.rounds:
         return docs
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
+    packed = docs.select(F.struct(*columns).alias("_row"), F.col(text_col).alias("_text"), _key(id_col, text_col))
     rated = posteriors(packed, model, "_text").withColumn("_rate", fitted.column())
     # A filter on the rate would be pushed through all the columns it is made of; one on the exploded rows is not.
-    each = rated.select("_row", F.explode_outer(F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("_id")))).alias("_one"))
+    each = rated.select("_row", F.explode_outer(F.array_repeat(F.lit(1), copies(F.col("_rate"), F.col("_key")))).alias("_one"))
     return each.where("_one IS NOT NULL").select("_row.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tablecare.llm import chat, langid, licenses, mixing, packing, viterbi, warc
 from tablecare.llm.common import components, Workspace
+from tests.llm.test_near import brute
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -337,17 +338,32 @@ def test_components_reach_the_smallest_id(spark):
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    from tablecare.llm import minhash
-
     kept, before = docs, docs
     for name, stage in corpus_pipeline.STAGES[:3]:
         before, kept = kept, Workspace(spark).put(stage(spark, kept, sf), name)
         assert kept.schema.names == docs.schema.names, name
         if name == "near_duplicates":
-            want = {r.doc_id for r in minhash.near_duplicates(before, share=(80, 100)).where("kept").collect()}
-            assert {r.doc_id for r in kept.collect()} == want and kept.count() < before.count()
+            linked = brute([(r.doc_id, r.text) for r in before.collect()], 5, (80, 100))
+            assert {r.doc_id for r in kept.collect()} == {k for k, (_, _, stays) in linked.items() if stays} and kept.count() < before.count()
         if name == "mixing":
             assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in before.collect()} and kept.count() > before.count()
     pieces = corpus_pipeline.run(spark, sf)
     ends = pieces.where("start + length = doc_tokens").groupBy("doc_id").count()
     assert {r.doc_id: r["count"] for r in ends.collect()} == {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()}
+
+
+def test_near_duplicate_stage_goes_by_rows(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other = base + " more", " ".join(f"v{i}" for i in range(50))
+    rows = [(1, base, "a"), (1, base, "a"), (1, other, "a"), (2, near, "b"), (None, near + " x", "c"), (None, other + " y", None), (3, None, "d"), (3, None, "d"), (4, "", "d"), (5, "unique words of its own here", "e")]
+    docs = spark.createDataFrame([(i, t, s, s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each(spark, Workspace(spark).put(docs, "docs"), "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, base), (1, other), (3, None), (4, ""), (5, "unique words of its own here")], key=str)
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), "").count() == 0
+
+
+def test_mixing_draws_by_id_and_text(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(1.5).alias("rate"))
+    taken = rows.select(mixing.copies(F.col("rate"), mixing._key("id", "text")).alias("n")).agg(F.sum("n")).first()[0]
+    assert abs(taken - 6000) < 200
