@@ -135,25 +135,27 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
     empty = "query_id long, rank int, vec_id long, score double"
     if not total:
         return rows.sparkSession.createDataFrame([], empty)
-    asked = ws.put(usable(pick(queries)).where(F.size("v") == width).dropDuplicates(["id"]), "queries")
+    asked = ws.put(usable(pick(queries), width=width).dropDuplicates(["id"]), "queries")
     bound = max(64, min(sample_rows, 8_000_000 // width))
     sample = base.orderBy(F.xxhash64("id", "v")).limit(bound).select("v").collect()
     hashes = Hashes(unit(np.array([r.v for r in sample], float)), trees)
     depth = max(0, int(np.ceil(np.log2(total / cell_rows))))
-    blocks = max(1, -(-asked.count() // query_rows))
     schema = "tree int, string long, id long"
     cell = F.shiftright("string", BITS - depth) if depth else F.lit(0).cast("long")
     index = ws.put(base.select("id", "v", "row", "weight").mapInArrow(_hash(hashes), schema + ", row long, weight double").withColumn("cell", cell), "index")
     asking = ws.put(asked.select("id", "v").mapInArrow(_hash(hashes), schema).withColumn("cell", cell), "asking")
     cells = ws.put(index.groupBy("tree", "cell").agg(F.sum("weight").alias("n"), F.ceil(F.count("*") / (2 * cell_rows)).cast("int").alias("parts")), "cells")
     index = index.join(cells.select("tree", "cell", "parts"), ["tree", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every_block, every_part = F.explode(F.expr(f"sequence(0, {blocks - 1})")), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # Queries of a cell are cut into blocks, and index rows go only to the blocks that ask for their cell.
+    block, every_block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     key = ["tree", "cell", "part", "block"]
+    blocks_of = lambda asks, label: ws.put(asks.groupBy("tree", "cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks")), label)
 
     # Matches by prefix length: inside the own cell, and above it by whole cells.
-    inner = asking.join(cells, ["tree", "cell"]).withColumn("part", every_part).withColumn("block", block)
-    both = index.withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", "weight").union(
+    asked_cells = blocks_of(asking, "asked_cells")
+    inner = asking.join(cells, ["tree", "cell"]).join(asked_cells, ["tree", "cell"]).withColumn("part", every_part).withColumn("block", block)
+    both = index.join(asked_cells, ["tree", "cell"]).withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", "weight").union(
         inner.withColumn("query", F.lit(True)).select(*key, "query", "string", "id", F.lit(0.0)))
     matches = both.groupBy(*key).applyInArrow(_count(depth), "id long, bits int, n double")
     above = cells.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - bits)"))
@@ -168,9 +170,11 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
 
     # Queries go to every cell under the prefix they ascend to.
     reach = asking_above.join(ascend, "id").where(F.col("bits") == F.least("reach", F.lit(depth))).select("tree", "bits", "prefix", "string", "id", "reach")
-    sent = reach.join(above, ["tree", "bits", "prefix"]).withColumn("part", every_part).withColumn("block", block)
+    visits = ws.put(reach.join(above, ["tree", "bits", "prefix"]).select("tree", "cell", "parts", "string", "id", "reach"), "visits")
+    visited = blocks_of(visits, "visited")
+    sent = visits.join(visited, ["tree", "cell"]).withColumn("part", every_part).withColumn("block", block)
     sent = sent.join(asked, "id").withColumn("query", F.lit(True)).select(*key, "query", "string", "id", F.col("reach").alias("bits"), "v")
-    held = index.join(base.select("row", "v"), "row").withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", F.lit(0).alias("bits"), "v")
+    held = index.join(visited, ["tree", "cell"]).join(base.select("row", "v"), "row").withColumn("block", every_block).withColumn("query", F.lit(False)).select(*key, "query", "string", "id", F.lit(0).alias("bits"), "v")
     found = held.union(sent).groupBy(*key).applyInArrow(_search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

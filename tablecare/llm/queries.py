@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablecare.llm import chat, crosspolytope, exact, fim, forest, langid, licenses, minhash, mixing, packing, periods, viterbi, warc
-from tablecare.llm.common import Workspace, table
+from tablecare.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,8 +108,7 @@ def op7_chat(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     own = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.select("conv_id", "turn", "role", "text").schema)
-    made = Workspace(spark).put(chat.examples(turns.select(extra.columns).union(extra)), "examples")
-    return chat.digests(made).drop("n_examples")
+    return chat.digests(chat.examples(turns.select(extra.columns).union(extra))).drop("n_examples")
 
 
 @query("op8_licenses", licenses.sql())

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(rows: DataFrame, vector: str = "v") -> DataFrame:
-    """Rows whose ``vector`` (array<double>) has only finite components, not all zero, and the length that most rows have (ties: the longer)."""
+def usable(rows: DataFrame, vector: str = "v", width: int | None = None) -> DataFrame:
+    """Rows whose ``vector`` (array<double>) has only finite components, not all zero, and ``width`` of them, or as many as most rows have (ties: the longer)."""
     fine = rows.where(F.expr(f"{vector} IS NOT NULL AND forall({vector}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists({vector}, x -> x <> 0)"))
+    if width is not None:
+        return fine.where(F.size(vector) == width)
     common = fine.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
     return fine.where(F.size(vector) == (common["d"] if common else 0))
 

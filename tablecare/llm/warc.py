@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecare.llm.common import Workspace
+from tablecare.llm.exact import bit_exponent, bit_table, flagged
 
 FIRST_DAY = "2024-01-01T00:00:00"
 CAPTURE = ("url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, "
@@ -87,7 +88,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                         payload.alias("payload"))
     marked = rows.withColumn("key", F.when(F.octet_length("payload") >= least_bytes, F.sha1("payload")))
     shared = marked.where("key IS NOT NULL").groupBy("key").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 AND response IS NOT NULL").drop("n")
-    told = marked.join(shared, "key", "left").select("id", "url", "captured", "payload", "response", F.expr("response IS NOT NULL AND (id IS NULL OR id < response)").alias("revisit"))
+    # Payloads that nothing shares, and short ones, go nowhere: a table of bits of the shared digests tells them.
+    ws = Workspace(pages.sparkSession)
+    shared = ws.put(shared, "shared")
+    exponent = bit_exponent(shared.count())
+    seen = flagged(marked, ["key"], ws.put(bit_table(shared, ["key"], exponent), "bits"), exponent).withColumn("_again", F.col("_again") & F.col("key").isNotNull())
+    told = seen.where("_again").join(shared, "key", "left").unionByName(seen.where("NOT _again").withColumn("response", F.lit(None).cast("long"))).select("id", "url", "captured", "payload", "response", F.expr("response IS NOT NULL AND (id IS NULL OR id < response)").alias("revisit"))
 
     def run(batches):
         system, root = _file_system(folder)
@@ -184,8 +190,13 @@ def _batch(rows: list[tuple], names: list[str]):
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], names=names)
 
 
-def read_archives(manifest: DataFrame, tasks: int = 64) -> DataFrame:
-    """All captures, each archive's as a sorted run (run = archive, seq = place in the run)."""
+def read_archives(manifest: DataFrame, task_bytes: int = 256 << 20) -> DataFrame:
+    """All captures, each archive's as a sorted run (run = archive, seq = place in the run). ``manifest`` must be stored.
+
+    A task reads about ``task_bytes`` of archives, or one; where there are few, each archive has a task.
+    """
+    archives, total = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(archives, max(manifest.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // task_bytes))))
     names = [x.split()[0] for x in CAPTURE.split(", ")]
 
     def run(batches):
@@ -234,6 +245,17 @@ class LoserTree:
             self._play(top)
 
 
+#: Runs that one tree merges.
+FAN = 512
+
+
+def merged(runs: list[list[tuple]], fan: int = FAN):
+    """The rows of all runs in order; many runs are merged in levels."""
+    while len(runs) > fan:
+        runs = [list(LoserTree(runs[a : a + fan], _key)) for a in range(0, len(runs), fan)]
+    return LoserTree(runs, _key)
+
+
 def capture_history(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
     """The captures in order of URL key, time and id: by ``part``, then ``place``. ``runs`` must be stored, it is read twice."""
     names = [x.split()[0] for x in CAPTURE.split(", ")]
@@ -248,7 +270,7 @@ def capture_history(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
         for piece in pieces.values():
             piece.sort(key=lambda r: r[9])  # a piece comes in shuffle blocks; inside the run its order is known
         rows: list[tuple] = []
-        for place, row in enumerate(LoserTree([pieces[k] for k in sorted(pieces)], _key)):
+        for place, row in enumerate(merged([pieces[k] for k in sorted(pieces)])):
             rows.append((part, place, *row))
             if len(rows) == 20_000:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int64(), *_KINDS))], names=["part", "place", *names])
@@ -260,8 +282,8 @@ def capture_history(runs: DataFrame, range_rows: int = 200_000) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write, read back and merge: the capture history of ``pages``."""
+    """Write, read back and merge: the capture history of ``pages``. The archives and runs go when it is stored."""
     ws = Workspace(pages.sparkSession)
     manifest = ws.put(write_archives(pages, ws.folder("archives"), **options), "manifest")
     runs = ws.put(read_archives(manifest), "runs")
-    return capture_history(runs)
+    return ws.finish(capture_history(runs))

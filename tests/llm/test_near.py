@@ -186,6 +186,38 @@ def test_forest_reduces_repeated_ids_before_the_nearest(spark, cell_rows):
     assert [r.vec_id for r in got] == [i for _, i in want] and all(abs(r.score + s) < 1e-12 for r, (s, _) in zip(got, want))
 
 
+def test_forest_takes_queries_of_the_tables_length_only(spark):
+    rng = np.random.default_rng(3)
+    rows = vectors(spark, [(i, rng.normal(size=3).tolist(), "0", "x", 1) for i in range(20)])
+    asked = vectors(spark, [(100, [1.0, 2.0], "0", "x", 1), (101, [2.0, 1.0], "0", "x", 1), (102, [1.0, 2.0, 3.0], "0", "x", 1)])
+    got = forest.nearest(rows, asked).collect()
+    assert len(got) == 5 and {r.query_id for r in got} == {102}
+
+
+def test_forest_sends_index_rows_only_where_they_are_asked_for(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = vectors(spark, [(i, rng.normal(size=16).tolist(), "0", "x", 1) for i in range(2000)])
+    sent = {}
+    for some, block in ((1000, 8192), (1000, 10), (10, 8192)):
+        rows = spark.sparkContext.accumulator(0)
+
+        def counted(depth, rows=rows, made=forest._count):
+            run = made(depth)
+
+            def count(group):
+                rows.add(int((~group.column("query").to_numpy(zero_copy_only=False)).sum()))
+                return run(group)
+
+            return count
+
+        with monkeypatch.context() as m:
+            m.setattr(forest, "_count", counted)
+            found = forest.nearest(df, df.where(f"vec_id < {some}"), candidates=100, share=0.0, cell_rows=32, query_rows=block, trees=4).count()
+        assert found == 5 * some
+        sent[some, block] = rows.value
+    assert sent[1000, 8192] <= 4 * 2000 and sent[10, 8192] < 0.3 * sent[1000, 8192] and sent[1000, 10] < 5 * sent[1000, 8192]
+
+
 def test_forest_recall_on_the_test_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = forest.nearest(df, df.where("vec_id % 50 = 0")).collect()

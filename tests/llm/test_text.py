@@ -301,6 +301,38 @@ def test_chat_examples(spark):
     assert chat.digests(chat.examples(turns.limit(0))).count() == 0
 
 
+def test_chat_flushes_also_where_only_users_write(spark, monkeypatch):
+    rows = [(c, t, "user", "x" * 2000) for c in range(60) for t in range(3)] + [(100, 0, "user", "y" * 300_000), (100, 1, "assistant", "z" * 300_000), (100, 2, "user", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1)
+    monkeypatch.setattr(chat, "FLUSH", 20_000)
+    made = chat.examples(turns).withColumn("batch", F.spark_partition_id())
+    got = made.collect()
+    assert len(got) == 62 and sum(r.last for r in got) == 61 and sum(r.trainable for r in got) == 1
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.examples(turns)).collect()} == {c: (3, 0) for c in range(60)} | {100: (3, 300_000)}
+
+
+def test_many_runs_are_merged_in_levels():
+    random.seed(2)
+    runs = [sorted((f"k{random.randint(0, 40)}", str(random.randint(0, 9)), i) for _ in range(random.randint(0, 4))) for i in range(100)]
+    rows = [r for run in runs for r in run]
+    for fan in (2, 7, 512):
+        assert list(warc.merged([list(r) for r in runs], fan)) == sorted(rows)
+
+
+def test_archives_of_long_and_short_payloads(spark, tmp_path):
+    long = "é" * 400_000
+    rows = [(i, f"http://a/{i % 3}", [None, "", "short", "s" * 999, "t" * 1000, long][i % 6]) for i in range(30)] + [(None, "http://b", "t" * 1000), (None, None, long + "!")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("response", F.lit("x")).withColumn("key", F.lit(1))
+    got = warc.archive_round_trip(pages, archive_bytes=1 << 20).collect()
+    assert len(got) == 32
+    by = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in got if r.page_id is not None}
+    for i, _, html in rows:
+        if i is not None:
+            size = len((html or "").encode())
+            assert by[i] == (("revisit", 24 + i % 6, size) if size >= 1000 and i < 24 else ("response", None, size))
+    assert {(r.record_type, r.refers_to) for r in got if r.page_id is None} == {("revisit", 28), ("response", None)}
+
+
 def test_archives_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://b.example.com/x", big), (2, "http://a.example.com/?q=1", big), (3, None, big), (4, "http://a.example.com/", None), (5, "http://a.example.com/", "small"),
