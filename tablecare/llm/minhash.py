@@ -9,7 +9,8 @@ Hot groups are handled without pairs in Spark:
 * each member of a bucket is first compared with the bucket's hub, its smallest class, in blocks of members, so that a large group of close
   copies costs one pass;
 * what the hub's links don't join is compared inside its bucket only, in blocks: each member that is not in the hub's component with the
-  bucket's members that are not in its own. Chains of buckets cost nothing: a document meets only those it shares a band with.
+  bucket's members that are not in its own. Buckets of at most ``SMALL`` list these pairs, each once whatever buckets it shares; larger
+  ones are compared in blocks. Chains of buckets cost nothing: a document meets only those it shares a band with.
 
 Fingerprints are made and shuffled of documents that share a bucket; the texts of others are read once and go nowhere. Sets whose sizes
 alone rule a link out are not intersected.
@@ -31,6 +32,8 @@ from tablecare.llm.exact import bit_exponent, bit_table, flagged
 
 BANDS, ROWS = 32, 4
 BLOCK_DOCS, BLOCK_SHINGLES = 600, 2_000_000
+#: Members that meet their hub at a time, and the size up to which a bucket's open pairs are listed.
+HUB_BLOCK, SMALL = 200, 32
 
 
 def circulant(values: np.ndarray, have: np.ndarray, size: int) -> np.ndarray:
@@ -96,7 +99,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     row = np.repeat(np.arange(len(sizes)), sizes)
     row, column = row[column >= 0], column[column >= 0]
     out = np.zeros((len(left), len(right)), np.float64)
-    step = max(256, 8_000_000 // max(1, len(sizes)))
+    step = max(1, min(int(shared.sum()), 8_000_000 // max(1, len(sizes))))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for a in range(0, int(shared.sum()), step):
@@ -211,12 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = usable.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.min_by("bands", "id").alias("bands"))
     classes = ws.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     members = classes.select("class", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("kind"), F.min("class").alias("hub")).where("size > 1")
-    buckets = ws.put(buckets.groupBy("size", "kind", "hub").agg(F.min("key").alias("key")).select("key", "hub", "size"), "buckets")
-    inside = ws.put(members.join(buckets, "key").select("key", "class", "n", "hub", "size"), "inside")
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("kind"), F.min("class").alias("hub"), F.min_by("n", "class").alias("hub_n")).where("size > 1")
+    buckets = ws.put(buckets.groupBy("size", "kind", "hub").agg(F.min("key").alias("key"), F.min("hub_n").alias("hub_n")).select("key", "hub", "hub_n", "size"), "buckets")
+    inside = ws.put(members.join(buckets, "key").select("key", "class", "n", "hub", "hub_n", "size"), "inside")
+    fits = lambda a, b: F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
     prints = _prints(ws, docs, id_col, text_col, width, classes, inside)
-    stars = inside.where("class <> hub").select("class", "hub", "n").distinct()
-    loads = ws.put(stars.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "hubs")
+    stars = inside.where((F.col("class") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select("class", "hub", "n").distinct()
+    loads = ws.put(stars.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / min(block, HUB_BLOCK)), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "hubs")
     dealt = stars.join(loads, "hub").select("class", "hub", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
     each = dealt.join(prints, "class").select("hub", "block", F.col("class").alias("id"), "prints", F.lit(1).alias("side"))
     heads = loads.select(F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(prints, "class")
@@ -229,7 +233,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = ws.put(inside.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("part", "class")), "known")
     hub_part = parts.select(F.col("node").alias("hub"), F.col("part").alias("hub_part"))
     known = known.join(hub_part, "hub", "left").withColumn("mover", F.col("part") != F.coalesce("hub_part", "hub"))
-    known = ws.put(known.select("key", "class", "n", "part", "mover"), "places")
+    known = ws.put(known.select("key", "class", "n", "part", "mover", "size"), "places")
+    few = known.where(F.col("size") <= min(SMALL, block)).select("key", "class", "n", "part", "mover")
+    others = few.select("key", F.col("class").alias("other"), F.col("n").alias("other_n"), F.col("part").alias("other_part"))
+    pairs = few.where("mover").join(others, "key").where((F.col("part") != F.col("other_part")) & fits(F.col("n"), F.col("other_n")))
+    pairs = ws.put(pairs.select(F.least("class", "other").alias("hub"), F.greatest("class", "other").alias("class")).distinct(), "pairs")
+    if pairs.limit(1).count():
+        ends = pairs.join(prints, "class").select("hub", F.col("class").alias("id"), "prints", F.lit(1).alias("side"))
+        begins = pairs.select(F.col("hub").alias("class")).distinct().join(prints, "class").select(F.col("class").alias("hub"), F.col("class").alias("id"), "prints", F.lit(0).alias("side"))
+        links.append(begins.unionByName(ends).groupBy("hub").applyInArrow(_to_hub(share), "a long, b long"))
+    known = known.where(F.col("size") > min(SMALL, block)).drop("size")
     open_ = ws.put(known.groupBy("key").agg(F.count_if("mover").alias("movers"), F.sum(F.when(F.col("mover"), F.col("n"))).alias("mover_load"), F.count("*").alias("all"), F.sum("n").alias("load")).where("movers > 0").select(
         "key", F.greatest(F.ceil(F.col("movers") / block), F.ceil(F.col("mover_load") / BLOCK_SHINGLES)).cast("int").alias("columns"),
         F.greatest(F.ceil(F.col("all") / block), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int").alias("lines")), "open")

@@ -51,18 +51,22 @@ def test_minhash_compares_chained_unlike_documents_in_their_buckets_only(spark,
         docs = spark.createDataFrame([(i, " ".join(words[40 * i : 40 * i + 100])) for i in range(n)], "doc_id long, text string")
         cells = spark.sparkContext.accumulator(0)
 
-        def counted(share, cells=cells, made=minhash._rest):
-            run = made(share)
+        def counted(made, cells=cells):
+            def make(share):
+                run = made(share)
 
-            def count(group):
-                side = group.column("side").to_numpy()
-                cells.add(int((side == 0).sum() * (side == 1).sum()))
-                return run(group)
+                def count(group):
+                    side = group.column("side").to_numpy()
+                    cells.add(int((side == 0).sum() * (side == 1).sum()))
+                    return run(group)
 
-            return count
+                return count
+
+            return make
 
         with monkeypatch.context() as m:
-            m.setattr(minhash, "_rest", counted)
+            for name in ("_rest", "_to_hub"):
+                m.setattr(minhash, name, counted(getattr(minhash, name)))
             got = minhash.near_duplicates(docs).collect()
         assert all(r.kept and r.component_id == r.doc_id for r in got) and len(got) == n
         seen[n] = cells.value
