@@ -6,8 +6,9 @@ Bands of ``rows`` coordinates put documents into buckets, and links are found by
 Hot groups are handled without pairs in Spark:
 
 * documents with the same word sequence collapse to one class before banding; buckets with the same members are kept once;
-* each member of a bucket is first compared with the bucket's hub, its smallest class, in blocks of members, so that a large group of close
-  copies costs one pass;
+* each member of a bucket is first compared with the bucket's hub, in blocks of members, so that a large group of close copies costs one
+  pass. The hub is the member whose buckets are the largest together (ties to the smallest class): the text that copies were made of shares
+  a bucket with more of them than any copy does, also where copies are linked with it and not with each other;
 * what the hub's links don't join is compared inside its bucket only, in blocks: each member that is not in the hub's component with the
   bucket's members that are not in its own. Buckets of at most ``SMALL`` list these pairs, each once whatever buckets it shares; larger
   ones are compared in blocks. Chains of buckets cost nothing: a document meets only those it shares a band with.
@@ -214,9 +215,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = usable.groupBy("s1", "s2").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.min_by("bands", "id").alias("bands"))
     classes = ws.put(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     members = classes.select("class", "n", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("kind"), F.min("class").alias("hub"), F.min_by("n", "class").alias("hub_n")).where("size > 1")
-    buckets = ws.put(buckets.groupBy("size", "kind", "hub").agg(F.min("key").alias("key"), F.min("hub_n").alias("hub_n")).select("key", "hub", "hub_n", "size"), "buckets")
-    inside = ws.put(members.join(buckets, "key").select("key", "class", "n", "hub", "hub_n", "size"), "inside")
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("kind")).where("size > 1")
+    buckets = ws.put(buckets.groupBy("size", "kind").agg(F.min("key").alias("key")).select("key", "size"), "buckets")
+    placed = ws.put(members.join(buckets, "key"), "members")
+    weight = placed.groupBy("class").agg(F.sum("size").alias("weight"))
+    hubs = placed.join(weight, "class").groupBy("key").agg(F.max(F.struct("weight", -F.col("class"), "n")).alias("hub"))
+    inside = ws.put(placed.join(hubs.select("key", (-F.col("hub")["col2"]).alias("hub"), F.col("hub")["n"].alias("hub_n")), "key").select("key", "class", "n", "hub", "hub_n", "size"), "inside")
     fits = lambda a, b: F.least(a, b) * share[1] >= F.greatest(a, b) * share[0]
     prints = _prints(ws, docs, id_col, text_col, width, classes, inside)
     stars = inside.where((F.col("class") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select("class", "hub", "n").distinct()

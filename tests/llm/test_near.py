@@ -73,6 +73,43 @@ def test_minhash_compares_chained_unlike_documents_in_their_buckets_only(spark,
     assert 0 < seen[1200] < 6 * seen[300]
 
 
+def test_minhash_joins_copies_of_one_text_by_that_text(spark, monkeypatch):
+    """Copies are linked with their original (190/206 shingles), not with each other: comparisons grow with the copies, not with their pairs."""
+    seen = {}
+    for n in (100, 400):
+        rng = random.Random(6)
+        base = [f"w{i}" for i in range(204)]
+        rows = [(n, " ".join(base))]
+        for i in range(n):
+            words = list(base)
+            for place in (rng.randrange(100), 100 + rng.randrange(100)):
+                words[place] = f"x{i}-{place}"
+            rows.append((i, " ".join(words)))
+        rows = rows[1:] + rows[:1]
+        cells = spark.sparkContext.accumulator(0)
+
+        def counted(made, cells=cells):
+            def make(share):
+                run = made(share)
+
+                def count(group):
+                    side = group.column("side").to_numpy()
+                    cells.add(int((side == 0).sum() * (side == 1).sum()))
+                    return run(group)
+
+                return count
+
+            return make
+
+        with monkeypatch.context() as m:
+            for name in ("_rest", "_to_hub"):
+                m.setattr(minhash, name, counted(getattr(minhash, name)))
+            got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), share=(85, 100)).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict.fromkeys(range(n + 1), 0)
+        seen[n] = cells.value
+    assert 0 < seen[400] < 6 * seen[100]
+
+
 def test_minhash_edges(spark, tiny, none):
     got = minhash.near_duplicates(tiny).collect()
     by = {}
