@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections import deque
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tablecare.llm.common import modest_batches, release_memory
 
-CACHE_PARTS, CACHE_WORDS = 100_000, 400_000
+CACHE_PARTS, CACHE_WORDS = 50_000, 100_000
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
@@ -40,7 +41,8 @@ class Words:
     """Ids of texts by one tokenizer file, as little-endian 32-bit bytes.
 
     The vocabulary of this kind never joins what white space parts, so the ids of a text are those of its parts. Parts, and the words in
-    parts of Latin letters, are remembered; everything else goes to the tokenizer as it is. The memory has a fixed size.
+    parts of Latin letters, are remembered; everything else goes to the tokenizer as it is. The memory has a fixed size: once it is full, the
+    words seen first stay, as frequent ones come early, and of the parts the first half.
     """
 
     def __init__(self, path: str):
@@ -70,7 +72,9 @@ class Words:
         got = self.words.get(word)
         if got is None:
             raw = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+            if len(self.words) < CACHE_WORDS:
+                self.words[word] = got
         return got
 
     def part(self, part: str) -> bytes:
@@ -90,10 +94,7 @@ class Words:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
             if len(known) > CACHE_PARTS:
-                known.clear()
-                known[""] = b""
-            if len(self.words) > CACHE_WORDS:
-                self.words.clear()
+                known = self.parts = dict(islice(known.items(), CACHE_PARTS // 2))
             for p in set(parts).difference(known):
                 known[p] = self.part(p)
             return b"".join(map(known.__getitem__, parts))
@@ -102,6 +103,7 @@ class Words:
 def words_of(path: str) -> Words:
     if path not in _loaded:
         _loaded[path] = Words(path)
+        release_memory()  # what reading the file took
     return _loaded[path]
 
 

@@ -128,6 +128,19 @@ def test_words_give_the_tokenizers_ids():
         assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_remembered_in_little_memory(monkeypatch):
+    """However many words come, few are held, and the first ones stay."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_PARTS", 60)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    plain, own = Tokenizer.from_file(WORDS), packing.Words(WORDS)
+    for i in range(60):
+        text = " ".join(["often", "again.", *(f"{a}{b}ing-{i}" for a in ("ba", "du", "ki") for b in ("lo", "nem")), f"only{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}"])
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(own.words) <= 40 and len(own.parts) <= 60 + len(text.split()) and {"often", "again."} <= own.parts.keys()
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(0)
     for _ in range(60):
