@@ -77,3 +77,32 @@ def test_preprocessing_projects_texts_like_the_decomposition(spark):
     for r in out.collect():
         assert np.allclose(list(r)[1:], want[r.doc_id], atol=1e-6)
     assert not any(list(out.where("doc_id = 501").first())[1:])
+
+
+ROWS = [(1, "one two one two three"), (2, "two three"), (2, "three four. Two one"), (None, "one two"), (None, "three"), (3, None), (4, ""), (5, "One, two; four four")]
+
+
+@pytest.mark.parametrize("at_once", [400_000, 3])
+def test_terms_of_single_and_repeated_ids_equal_plain_counts(spark, monkeypatch, at_once):
+    monkeypatch.setattr(tx, "WORDS_AT_ONCE", at_once)
+    seen = {}
+    for key, text in ROWS:
+        words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+        for term in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]:
+            seen.setdefault(term, []).append(key)
+    df = spark.createDataFrame(ROWS, "doc_id int, text string")
+    for top in (3, 100):
+        got = [(r.term, r.docs, r.total) for r in tx.document_frequency(df, "doc_id", "text", max_share=0.7, top=top).collect()]
+        want = sorted(((t, len(set(k)), len(k)) for t, k in seen.items() if 2 <= len(set(k)) <= 0.7 * len(ROWS)), key=lambda x: (-x[2], x[0]))
+        assert got == want[:top]
+    weights = {(r.id, tuple(r.places), tuple(round(w, 9) for w in r.weights)) for r in tx.weight_rows(df, "doc_id", "text", [("two", 1.0), ("one two", 2.0), ("four", 3.0)]).collect()}
+    unit = lambda *w: tuple(round(x / sum(y * y for y in w) ** 0.5, 9) for x in w)
+    assert weights == {(1, (0, 1), unit(2, 4)), (2, (0, 2), unit(2, 3)), (5, (0, 1, 2), unit(1, 2, 6)), (3, (), ()), (4, (), ()), (None, (0, 1), unit(1, 2)), (None, (), ())}
+
+
+def test_terms_of_single_rows_are_counted_where_they_are_read(spark):
+    """Words and pairs are shuffled as sums of the rows of a task, and pairs only of words as frequent as the top ones."""
+    df = spark.createDataFrame([(i, f"often seen {i % 2} words r{i}a r{i}b r{i}c") for i in range(300)], "doc_id int, text string").repartition(2)
+    rows = [b for b in df.select(tx.tokens(F.col("text")).alias("_w")).mapInArrow(tx._counted(True, ["often", "seen", "words"]), "term string, docs long, total long").collect()]
+    assert {r.term for r in rows} == {"often seen"} and sum(r.total for r in rows) == 300 and len(rows) <= 4
+    assert [(r.term, r.docs) for r in tx.document_frequency(df, "doc_id", "text", max_share=1.0, top=4).collect()] == [("often", 300), ("often seen", 300), ("seen", 300), ("words", 300)]
