@@ -89,3 +89,18 @@ def test_queries_visit_few_blocks_however_large_the_table(spark):
         reach = df.select(F.col("id").alias("qid"), "v", F.lit(4.0).alias("reach"))
         share[n] = routes(reach, tree, layout, "int").count() / n / held.select("block").distinct().count()
     assert share[4000] < 0.5 * share[1000] < 0.1  # of all blocks, by a query
+
+
+def test_named_searches_ask_with_every_hundredth_id_against_all_rows(spark, tmp_path):
+    from tablecare.queries.catalog import QUERIES
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(320, 8))
+    x[[100, 300]] = x[[57, 311]] + 1e-3  # near rows that are no queries themselves
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"some passage number {i}") for i in range(320)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    near = QUERIES["jon_knn"](spark, str(tmp_path)).collect()
+    assert {r.qid for r in near} == {0, 100, 200, 300} and len(near) == 40 and {(r.qid, r.cid) for r in near} >= {(100, 57), (300, 311)}
+    assert {(r.qid, r.cid) for r in QUERIES["txt_similar_pairs"](spark, str(tmp_path)).collect()} >= {(100, 57), (300, 311)}
+    found = QUERIES["txt_search_all"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in found} == {0, 100, 200, 300} and all(r.vec_id == r.query_id for r in found if r["rank"] == 1) and len(found) == 12
