@@ -47,3 +47,34 @@ def test_neighbour_estimate_of_normal_pairs(spark):
     assert fe.neighbour_mutual_info(df.limit(2), ["x"], "y").first().mutual_info == 0
     with pytest.raises(ValueError):
         fe.mutual_info(df, ["x"], "y", "guess")
+
+
+def test_neighbours_are_searched_once_and_by_tasks_of_few_rows(spark, monkeypatch):
+    """The marks are counted, cut and read; before, each of these passes searched all neighbours again, in as many tasks as the file had parts."""
+    from tablecare.operators import nearest as ne
+    from tablecare.session import settle
+
+    monkeypatch.setattr(ne, "TASK_ROWS", 100, raising=False)
+    searched, tasks = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for pdf in batches:
+            searched.add(len(pdf))
+            yield pdf
+
+    def watched(*args, **options):
+        found = ne.nearest(*args, **options)
+        return found.mapInPandas(counted, found.schema)
+
+    def settled(df):
+        done = settle(df)
+        if "leaf" in df.columns:
+            tasks.append(done.rdd.getNumPartitions())
+        return done
+
+    monkeypatch.setattr(fe, "nearest", watched)
+    monkeypatch.setattr(ne, "settle", settled)
+    df = spark.range(400, numPartitions=1).selectExpr("double(id % 37) AS a", "double(id % 37 + id % 5) AS y")
+    fe.neighbour_mutual_info(df, ["a"], "y").collect()
+    assert searched.value == 400 * 3
+    assert tasks == [4]
