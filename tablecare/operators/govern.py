@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,24 +147,28 @@ def hash_chain(df: DataFrame, keys: list[str], order: list[str], fields: list[st
     """Chain hash of each event: sha256 of the hash before it and the event text, per key in order.
 
     The chain is sequential by definition. It is walked segment by segment: each round chains one segment of
-    every key in parallel, starting from the last hash of the segment before, so no task holds more than one
-    segment of a key at a time. ``heads`` (keys, _prev) are the hashes to go on from.
+    every key in parallel, starting from the last hash of the segment before, so no task reads more than one
+    segment of a key at a time; the keys of a task are walked in one go, sorted, and only a batch of rows is held. ``heads`` (keys, _prev) are the hashes to go on from.
     """
     rows = settle(row_numbers(df.withColumn("_text", event_text(fields)), keys, order)
                   .withColumn("_seg", F.floor((F.col("_rn") - 1) / segment)))
     last = rows.agg(F.max("_seg")).first()[0]
-    schema = T.StructType([f for f in rows.schema.fields] + [T.StructField("chain_hash", T.StringType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        prev = pdf["_prev"].iloc[0]
-        prev = "" if prev is None or prev != prev else prev
-        out = []
-        for text in pdf["_text"]:
-            prev = hashlib.sha256(f"{prev}:{text}".encode()).hexdigest()
-            out.append(prev)
-        return pdf.drop(columns=["_prev"]).assign(chain_hash=out)
-
+    schema = T.StructType([*rows.schema.fields, T.StructField("chain_hash", T.StringType())])
+
+    def walk(batches):
+        # Rows come sorted by key and place, so the hash is carried from row to row; a key begins where its segment does.
+        prev = ""
+        for batch in batches:
+            out = []
+            places, texts, starts = (batch.column(c).to_pylist() for c in ("_rn", "_text", "_prev"))
+            for place, text, head in zip(places, texts, starts):
+                if (place - 1) % segment == 0:
+                    prev = head or ""
+                prev = hashlib.sha256(f"{prev}:{text}".encode()).hexdigest()
+                out.append(prev)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rows_columns], pa.array(out, pa.string())], names=[*rows_columns, "chain_hash"])
+
+    rows_columns = list(rows.columns)
     if last is None:
         return rows.withColumn("chain_hash", F.lit(None).cast("string")).drop("_text", "_seg")
     chained = None
@@ -174,7 +178,7 @@ def hash_chain(df: DataFrame, keys: list[str], order: list[str], fields: list[st
             part = part.withColumn("_prev", F.lit(None).cast("string"))
         else:  # a null key is a key too
             part = part.join(heads, [part[k].eqNullSafe(heads[k]) for k in keys], "left").select(*[part[c] for c in part.columns], "_prev")
-        done = settle(part.groupBy(*keys).applyInPandas(walk, schema))
+        done = settle(part.repartition(*keys).sortWithinPartitions(*keys, "_rn").mapInArrow(walk, schema))
         heads = done.groupBy(*keys).agg(F.max_by("chain_hash", "_rn").alias("_prev"))
         chained = done if chained is None else chained.unionByName(done)
     return chained.drop("_text", "_seg", "_rn")

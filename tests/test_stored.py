@@ -93,3 +93,20 @@ def test_sketches_of_parts_merge_to_those_of_the_whole(spark):
     assert rough["a"] == pytest.approx(exact["a"], rel=0.1) and rough["b"] == pytest.approx(exact["b"], abs=0.01)
     none = pf.distinct_counts(df.select("c", "d"), exact=False)
     assert {r.column: r["distinct"] for r in none.collect()}["d"] == 0
+
+
+def test_chains_of_a_task_are_walked_in_one_go(spark, monkeypatch):
+    """One call for every key cost milliseconds a key; now sorted rows stream through, and the hash starts anew where a key does."""
+    import hashlib
+
+    plans = []
+    monkeypatch.setattr(gv, "settle", lambda df, real=gv.settle: (plans.append(df._jdf.queryExecution().simpleString()), real(df))[1])
+    df = spark.range(300).selectExpr("IF(id % 7 = 0, NULL, id % 7) AS k", "id AS n")
+    found = {r.n: r.chain_hash for r in gv.hash_chain(df, ["k"], ["n"], ["n"], segment=10).collect()}
+    want = {}
+    for k in range(7):
+        prev = ""
+        for n in range(k, 300, 7):
+            prev = want[n] = hashlib.sha256(f'{prev}:{{"n":{n}}}'.encode()).hexdigest()
+    assert found == want
+    assert not any("FlatMapGroups" in p for p in plans) and any("MapInArrow" in p for p in plans)
