@@ -93,3 +93,16 @@ def test_rule_distinct_is_exact_near_limits(spark):
     df = spark.range(20000).select("id", (F.col("id") % 20).cast("string").alias("t"), F.col("id").cast("string").alias("u"))
     found = pf.rule_distinct(df, 20000, ["t", "u"])
     assert found["t"] == 20 and found["u"] == 20000
+
+
+def test_codes_of_a_text_target_are_broadcast(spark):
+    """A shuffle on the target would put all rows of a class into one task."""
+    df = spark.range(100).selectExpr("IF(id % 10 = 9, NULL, chr(int(97 + id % 3))) AS t", "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        coded = pf.target_codes(df, "t", ["id"])
+        assert "BroadcastHashJoin" in coded._jdf.queryExecution().simpleString()
+        assert {tuple(r) for r in coded.select("t", "_target").distinct().collect()} == {("a", 0.0), ("b", 1.0), ("c", 2.0), (None, None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
