@@ -170,3 +170,16 @@ def test_search_takes_more_than_a_thousand_queries(spark):
     docs = spark.range(3).select("id", F.array(F.lit(1.0)).alias("v"), F.lit("a").alias("t"))
     many = spark.range(1001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vector"), F.array(F.lit("a")).alias("query_words"))
     assert tx.search(docs, many, "id", "v", "t", 3).groupBy("query_id").count().where("count = 3").count() == 1001
+
+
+def test_power_variances_of_all_lambdas_come_in_one_row_a_task(spark):
+    """25 powers in one aggregate were not compiled by the JVM."""
+    import numpy as np
+
+    values = [-3.5, -0.5, 0.0, 0.25, 7.0, 120.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "c double").repartition(4)
+    grid = [-1.0, 0.0, 0.5, 2.0, 3.0]
+    found = cl._power_variances(df.where("c IS NOT NULL"), grid)
+    want = [df.select(F.var_pop(cl.power_value(F.col("c"), g))).first()[0] for g in grid]
+    assert np.allclose(found, want, rtol=1e-12)
+    assert cl.fit_power(spark.createDataFrame([(float("nan"),)], "c double"), "c") == 1.0
