@@ -104,3 +104,18 @@ def test_hot_keys_have_a_fixed_limit(spark):
         assert long_keys(spark.range(20_000).selectExpr("id AS k"), ["k"]) is None
     finally:
         spark.conf.unset("spark.tablecare.smallRows")
+
+
+def test_columns_of_few_values_need_no_brackets(spark, monkeypatch):
+    """Every bracket was a pass or a branch of its own; now all columns of few values are counted in one, others go the old way."""
+    asked = []
+    monkeypatch.setattr(od, "_bracketed_quantiles", lambda v, cols, probs, real=od._bracketed_quantiles: (asked.append(cols), real(v, cols, probs))[1])
+    monkeypatch.setattr(od, "NARROW_VALUES", 100, raising=False)
+    df = spark.range(3000, numPartitions=6).selectExpr(
+        "IF(id % 11 = 0, NULL, double(id % 7 - 3)) AS few", "id * 2 AS many", "IF(id % 5 = 0, double('nan'), -0.0) AS zero", "CAST(NULL AS DOUBLE) AS none")
+    cols, probs = ["few", "many", "zero", "none"], [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    found = od.quantiles(df, cols, probs, small=False)
+    assert asked == [["many"]]
+    assert found == od.quantiles(df, cols, probs, small=True)
+    monkeypatch.setattr(od, "BRACKET_VALUES", 5)  # too many counts to read
+    assert od.quantiles(df.select("few"), ["few"], probs, small=False)["few"] == found["few"]
