@@ -102,3 +102,16 @@ def test_weights_sum_to_one(scored):
     assert sum(en.normalized({"a": -1.0, "b": -2.0}).values()) == 1.0
     out = scored.select(en.hard_vote({c: F.col(c) for c in ("a", "b", "y")}).alias("v")).collect()
     assert [r["v"] for r in out] == [1.0 if a + b + y >= 2 else 0.0 for a, b, y in zip(A, B, Y)]
+
+
+def test_permutation_meets_dealt_values_once_a_repeat(spark, monkeypatch):
+    """Every column of every repeat had a join of its own."""
+    from tablecare.operators import models as md
+
+    df = spark.range(200).selectExpr("id AS k", "double(id % 7) AS a", "double(id % 11) AS b", "double(id % 7 > 3) AS label")
+    model = md.train_forest(df, ["a", "b"], "label", trees=2, depth=3)
+    joins, kind = [], type(df)
+    monkeypatch.setattr(kind, "join", lambda self, *args, real=kind.join, **more: (joins.append(args), real(self, *args, **more))[1])
+    found = {r.feature: r.importance for r in md.permutation_importance(df, ["a", "b"], "label", model, ["k"], repeats=2).collect()}
+    assert len(joins) == 2
+    assert found["a"] > 0.2 and found["b"] == 0.0
