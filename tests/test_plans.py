@@ -87,3 +87,14 @@ def test_preprocess_takes_a_value_called_other(spark):
     out = Preprocess(rare_share=0.1, kinds={"kind": "categorical"}).fit(df).transform(df)
     names = [c for c in out.columns if c.startswith("kind_")]
     assert names == ["kind_a", "kind_b", "kind_Other"] and [out.agg({c: "sum"}).first()[0] for c in names] == [40.0, 40.0, 41.0]
+
+
+def test_cleaning_takes_facts_that_are_there(spark, monkeypatch):
+    from tablecare.operators.profile import Facts
+    from tablecare.plans import auto_clean as ac
+
+    df = spark.createDataFrame([("ab"[i % 2], None if i % 5 == 0 else float(i % 20)) for i in range(80)], "category string, x double")
+    before = Facts(df)
+    monkeypatch.setattr(ac, "Facts", lambda *a, **k: pytest.fail("facts were taken again"))
+    out, report = ac.auto_clean(df, sector="retail", before=before)
+    assert out.count() == before.rows - before.duplicates and report["steps"][0]["action"] == "remove_duplicates"
