@@ -36,7 +36,7 @@ def trailing_scores(recent: np.ndarray, new: np.ndarray, span: int) -> np.ndarra
 def zscore_stream(df: DataFrame, key: str, ts: str, value: str, row_id: str, span: int = 100, cut: float = 2.5, **order) -> DataFrame:
     """Anomaly score of each value against the last ``span`` values of its key; a missing value has none and no anomaly.
 
-    ``order`` is passed on: delay and slice_seconds.
+    ``order`` is passed on: delay, slice_seconds and buckets.
     """
 
     def step(memory: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -83,7 +83,7 @@ DETECTORS = {
 
 
 def error_drift_stream(df: DataFrame, key: str, ts: str, error: str, row_id: str, detector: str = "ddm", **order) -> DataFrame:
-    """Rows at which the detector of a key warns or finds a drift. ``order`` is passed on: delay and slice_seconds."""
+    """Rows at which the detector of a key warns or finds a drift. ``order`` is passed on: delay, slice_seconds and buckets."""
     if detector not in DETECTORS:
         raise ValueError(f"unknown detector {detector}; there are {', '.join(DETECTORS)}")
     one, begin = DETECTORS[detector]

@@ -121,6 +121,26 @@ def test_state_streams_go_by_time_whatever_the_files_and_chunks(chunked, tmp_pat
     assert found[0][1] == sorted(marks)
 
 
+def test_keys_of_a_bucket_share_state_calls(chunked, tmp_path):
+    """Forty keys and rows without one, in three buckets: the state is asked once a bucket and slice, and each key keeps its own memory."""
+    big = 2**60  # neighbours of such a number are one as doubles
+    rows = [(i, None if i % 41 == 40 else big + i % 41, 1000.0 + i, float((i * 37) % 11)) for i in range(900)]
+    df = chunked.createDataFrame(rows, "id long, k long, t double, v double")
+    df = df.select("id", "k", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts"), "v")
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = ig.file_stream(chunked, f"{tmp_path}/in", df.schema, files_per_batch=1)
+    out = drained_in_time(stream, "ts", lambda s: zscore_stream(s, "k", "ts", "v", "id", span=5, delay="1 hour", slice_seconds=300, buckets=3), f"{tmp_path}/out")
+    found = {r.id: (r.k, r.anomaly_score) for r in out.collect()}
+    assert len(found) == len(rows)
+    seen: dict = {}
+    for i, k, _, v in rows:
+        last = seen[k] = [*seen.get(k, []), v][-5:]
+        mean = sum(last) / len(last)
+        std = math.sqrt(sum((x - mean) ** 2 for x in last) / len(last))
+        want = abs(v - mean) / std if len(last) > 2 and std > 0 else 0.0
+        assert found[i][0] == k and abs(found[i][1] - want) < 1e-9
+
+
 def test_rows_wait_for_the_watermark_across_runs_and_late_ones_drop(spark, tmp_path):
     base, kinds = f"{tmp_path}/in", "id long, k string, ts timestamp, v double"
     for key, value in FINITE.items():
