@@ -134,12 +134,13 @@ class Rates:
     after: list[float]
     targets: list[float]
 
-    def column(self, prefix: str = "_p") -> Column:
-        rate = "1D"
-        for g in self.rounds:
-            step = " + ".join(f"{prefix}{k} * ({x!r}D)" for k, x in enumerate(g))
-            rate = f"greatest({self.lowest!r}D, least({self.highest!r}D, {rate} - ({step})))"
-        return F.expr(rate)
+    def column(self, prefix: str = "_p", start: str = "1D") -> Column:
+        """The rate after all rounds. Their numbers are one array that the expression folds over, so neither the plan nor its code grows with the rounds."""
+        if not self.rounds:
+            return F.expr(start)
+        steps = ", ".join(f"array({', '.join(f'{x!r}D' for x in g)})" for g in self.rounds)
+        step = " + ".join(f"{prefix}{k} * g[{k}]" for k in range(len(self.rounds[0])))
+        return F.expr(f"aggregate(array({steps}), {start}, (r, g) -> greatest({self.lowest!r}D, least({self.highest!r}D, r - ({step}))))")
 
 
 def fit_rates(rows: DataFrame, weights: list[float], *, budget: float | None = 1.0, lowest: float = 0.0, highest: float = 8.0, rounds: int = 40,
@@ -181,9 +182,9 @@ def _descend(rows: DataFrame, h: np.ndarray, wanted: np.ndarray, lowest: float,
     before, least, best = None, np.inf, 0
     out = Rates([], lowest, highest, [], [], wanted.tolist())
     for k in range(rounds + 1):
-        last = Rates(out.rounds[:-1], lowest, highest, [], [], []).column(prefix)
+        last, step = (Rates(x, lowest, highest, [], [], []) for x in (out.rounds[:-1], out.rounds[-1:]))
         moved = F.sum(F.col("_tokens") * F.pow(F.col("_rate") - F.col("_last"), 2))
-        row = rows.withColumns({"_last": last, "_rate": out.column(prefix)}).agg(*[F.sum(F.col("_tokens") * F.col("_rate") * x) for x in p], moved).first()
+        row = rows.withColumn("_last", last.column(prefix)).withColumn("_rate", step.column(prefix, "_last")).agg(*[F.sum(F.col("_tokens") * F.col("_rate") * x) for x in p], moved).first()
         now, moved = np.array([float(x) for x in row[:-1]]), float(row[-1])
         miss = now - wanted
         price = float(miss @ weigh @ miss)

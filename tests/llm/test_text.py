@@ -120,6 +120,18 @@ def test_budget_dilutes_a_domain_of_a_third(spark):
     assert np.abs(got - [0.9, 0.1]).max() <= 0.005 and fitted.after[1] >= fitted.before[1]
 
 
+def test_rates_are_one_expression_for_any_number_of_rounds(spark):
+    rows = spark.createDataFrame([(0.2, 0.8), (1.0, 0.0), (0.5, 0.5), (0.03, 0.97)], "_p0 double, _p1 double")
+    made = lambda n: mixing.Rates([[0.11 * (-1) ** k, 0.3 / (k + 1) - 0.1] for k in range(n)], 0.5, 1.25, [], [], [])
+    sizes = {n: rows.select(made(n).column().alias("rate"))._jdf.queryExecution().analyzed().toString().count("greatest") for n in (2, 40)}
+    assert sizes == {2: 1, 40: 1}
+    for r in rows.select("_p0", "_p1", made(40).column().alias("rate"), made(0).column().alias("none")).collect():
+        want = 1.0
+        for a, b in made(40).rounds:
+            want = max(0.5, min(1.25, want - (r._p0 * a + r._p1 * b)))
+        assert r.rate == want and r.none == 1.0
+
+
 def test_words_give_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
