@@ -19,10 +19,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections import deque
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 from tablecare.llm.common import modest_batches, release_memory
 
 CACHE_PARTS, CACHE_WORDS = 50_000, 100_000
+TEXT_CHARS = 1 << 21  # looked up at a time, if no text is longer
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN_LINES = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
+_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-zß-öø-ÿ0-9]+")
 _loaded: dict[str, Words] = {}
 
 
@@ -42,7 +45,7 @@ class Words:
 
     The vocabulary of this kind never joins what white space parts, so the ids of a text are those of its parts. Parts, and the words in
     parts of Latin letters, are remembered; everything else goes to the tokenizer as it is. The memory has a fixed size: once it is full, the
-    words seen first stay, as frequent ones come early, and of the parts the first half.
+    words seen first stay, as frequent ones come early, and of the parts the first half; a half full memory takes only parts that are repeated.
     """
 
     def __init__(self, path: str):
@@ -52,7 +55,7 @@ class Words:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\n": b""}
         fine = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.letters = {b: chr(b) for b in fine} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in fine)}
         vocabulary = self.tokenizer.get_vocab()
@@ -64,6 +67,7 @@ class Words:
         self.parts.clear()
         self.parts[""] = b""
         self.words.clear()
+        self.words["\n"] = b""
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,27 +81,48 @@ class Words:
                 self.words[word] = got
         return got
 
-    def part(self, part: str) -> bytes:
-        if part.isascii():
-            if part.isalpha():
-                return self.word(part.lower())
-            if part[:-1].isalpha() and part[-1] in ".,":
-                return self.word(part[:-1].lower()) + self.word(part[-1])
-        return b"".join(map(self.word, _TOKEN.findall(part.lower()))) if _PLAIN.fullmatch(part) else self.whole(part)
+    def look_up(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part; the words of all of them are found by one search."""
+        lines = "\n".join(parts)
+        if not _PLAIN_LINES.fullmatch(lines):
+            strange = {p for p in parts if not _PLAIN.fullmatch(p)}
+            plain = iter(self.look_up([p for p in parts if p not in strange]))
+            return [self.whole(p) if p in strange else next(plain) for p in parts]
+        tokens = _TOKEN.findall(lines.lower())
+        got = list(map(self.words.get, tokens))
+        for k in [k for k, x in enumerate(got) if x is None]:
+            got[k] = self.word(tokens[k])
+        ids, stops = b"".join(got), list(accumulate(map(len, got)))
+        ends = [stops[k] for k, t in enumerate(tokens) if t == "\n"] + stops[-1:]
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Distinct parts are looked up once for all texts, and the ids are gathered by numpy."""
+        odd = {i for i, text in enumerate(texts) if any(s in text for s in self.special)}
+        lines = ["" if i in odd else (text.lower() if text.isascii() or _PLAIN_LINES.fullmatch(text) else text).replace("\n", " ") for i, text in enumerate(texts)]
+        split = pc.split_pattern(pa.array(lines), " ")
+        coded = split.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = dict(islice(self.parts.items(), CACHE_PARTS // 2))
+        found = list(map(self.parts.get, names))
+        new, often = [i for i, x in enumerate(found) if x is None], (np.bincount(code, minlength=len(names)) > 1).tolist()
+        for i, got in zip(new, self.look_up([names[i] for i in new])):
+            found[i] = got
+            if often[i] or len(self.parts) < CACHE_PARTS // 2:
+                self.parts[names[i]] = got
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        n = sizes[code]
+        stops = np.append(np.int32(0), np.cumsum(n, dtype=np.int32))
+        # The place of each id in the ids of the distinct parts.
+        places = np.arange(stops[-1], dtype=np.int32)
+        places += np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[code] - stops[:-1], n)
+        ids = np.frombuffer(b"".join(found), "<u4")[places].tobytes()
+        bounds = (4 * stops[split.offsets.to_numpy()].astype(np.int64)).tolist()
+        return [self.whole(text) if i in odd else ids[a:b] for i, (text, a, b) in enumerate(zip(texts, bounds, bounds[1:]))]
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        parts = (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
-        known = self.parts
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > CACHE_PARTS:
-                known = self.parts = dict(islice(known.items(), CACHE_PARTS // 2))
-            for p in set(parts).difference(known):
-                known[p] = self.part(p)
-            return b"".join(map(known.__getitem__, parts))
+        return self.many([text])[0]
 
 
 def words_of(path: str) -> Words:
@@ -107,6 +132,20 @@ def words_of(path: str) -> Words:
     return _loaded[path]
 
 
+def groups(batch: pa.RecordBatch):
+    """The batch's keys and texts (null: empty), about TEXT_CHARS characters at a time."""
+    keys, texts, size = [], [], 0
+    for key, text in zip(batch.column(0), batch.column(1)):
+        keys.append(key.as_py())
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= TEXT_CHARS:
+            yield keys, texts
+            keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def cuts(places: np.ndarray, penalty: np.ndarray, window: int, sequence_cost: float) -> list[int]:
     """Best cut places. ``places`` rise from 0, and two neighbours are at most ``window`` apart; the last place is always cut."""
     m = len(places)
@@ -214,12 +253,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
         names, batch_type = [id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"], None
         for batch in batches:
             batch_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = words.ids(text.as_py() or "") + end
-                waiting.append((key, 0, len(ids) // 4, ids))
-                held += len(ids) // 4
-                if held >= stretch + 4 * window:
-                    yield settle(False)
+            for keys, texts in groups(batch):
+                for key, ids in zip(keys, words.many(texts)):
+                    ids += end
+                    waiting.append((key, 0, len(ids) // 4, ids))
+                    held += len(ids) // 4
+                    if held >= stretch + 4 * window:
+                        yield settle(False)
         if waiting:
             yield settle(True)
         words.forget()

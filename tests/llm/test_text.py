@@ -132,6 +132,18 @@ def test_rates_are_one_expression_for_any_number_of_rounds(spark):
         assert r.rate == want and r.none == 1.0
 
 
+def test_missing_words_are_found_by_one_search():
+    """New parts of a text, plain and strange, are looked up together; words met before don't go to the model again."""
+    from tokenizers import Tokenizer
+
+    plain, own = Tokenizer.from_file(WORDS), packing.Words(WORDS)
+    for text in ("Ünter, don't--stop's 3x7 (ÿes) l'été", "ünter DON'T stop's İstanbul 日本 ſ Ünter, x\ty", "", "Œuvre über"):
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    parts = ["Ünter,", "日本", "don't", "(ÿes)"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.look_up(parts)] == [plain.encode(p, add_special_tokens=False).ids for p in parts]
+    assert own.look_up([]) == []
+
+
 def test_words_give_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
