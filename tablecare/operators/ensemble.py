@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -74,29 +76,38 @@ def _proba(df: DataFrame, model, out: str) -> DataFrame:
     return scored.withColumn(out, value).select(*df.columns, out)
 
 
-def held_out(df: DataFrame, models: dict, folds: int, fold: str = "fold") -> DataFrame:
-    """Class-1 probability of each model for every row, from models that did not see the row's fold."""
+def held_out(df: DataFrame, models: dict, folds: int, fold: str = "fold", fitted: dict | None = None) -> DataFrame:
+    """Class-1 probability of each model for every row, from models that did not see the row's fold; they may come ``fitted`` by fold and name."""
+    if fitted is None:
+        fitted = {(i, name): est.fit(df.where(F.col(fold) != i)) for i in range(folds) for name, est in models.items()}
     parts = None
     for i in range(folds):
         part = df.where(F.col(fold) == i)
-        for name, est in models.items():
-            part = _proba(part, est.fit(df.where(F.col(fold) != i)), f"p_{name}")
+        for name in models:
+            part = _proba(part, fitted[i, name], f"p_{name}")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
-def stack(df: DataFrame, models: dict, cols: list[str], label: str, folds: int = 3, fold: str = "fold", layers: int = 1):
+def stack(df: DataFrame, models: dict, cols: list[str], label: str, folds: int = 3, fold: str = "fold", layers: int = 1, parallelism: int = 3):
     """Out-of-fold predictions feed a logistic regression; more layers repeat it on the predictions.
 
-    Returns a function that scores new assembled rows.
+    A layer's rows are held in memory or on local disk while its models are fitted, ``parallelism`` at a time. Returns a function that scores new assembled rows.
     """
-    ready = settle(assembler(cols).transform(df).select(FEATURES, label, fold))
     names = [f"p_{n}" for n in models]
     levels = []
-    current = ready
+    current = assembler(cols).transform(df).select(FEATURES, label, fold)
     for _ in range(layers):
-        levels.append({n: e.fit(current) for n, e in models.items()})
-        outs = settle(held_out(current, models, folds, fold))
+        current = settle(current).persist()
+        jobs = [(i, n) for i in (None, *range(folds)) for n in models]
+        try:
+            with ThreadPool(parallelism) as pool:
+                made = pool.map(lambda job: models[job[1]].fit(current if job[0] is None else current.where(F.col(fold) != job[0])), jobs, chunksize=1)
+            fitted = dict(zip(jobs, made))
+            levels.append({n: fitted[None, n] for n in models})
+            outs = settle(held_out(current, models, folds, fold, fitted))
+        finally:
+            current.unpersist()
         current = assembler(names).transform(outs.drop(FEATURES)).select(FEATURES, label, fold)
     meta = LogisticRegression(featuresCol=FEATURES, labelCol=label, maxIter=50).fit(current)
 
