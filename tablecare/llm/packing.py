@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tablecare.llm.common import modest_batches, release_memory
 
 CACHE_PARTS, CACHE_WORDS = 50_000, 100_000
-TEXT_CHARS = 1 << 21  # looked up at a time, if no text is longer
+TEXT_CHARS = 1 << 20  # looked up at a time, if no text is longer
 SCHEMA = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
