@@ -115,3 +115,16 @@ def test_permutation_meets_dealt_values_once_a_repeat(spark, monkeypatch):
     found = {r.feature: r.importance for r in md.permutation_importance(df, ["a", "b"], "label", model, ["k"], repeats=2).collect()}
     assert len(joins) == 2
     assert found["a"] > 0.2 and found["b"] == 0.0
+
+
+def test_named_permutation_deals_each_column_five_times(spark, tmp_path, monkeypatch):
+    from tablecare.operators import models as md
+    from tablecare.queries.catalog import QUERIES
+
+    rows = [(i, 1, i % 7, i % 5, float(i % 11 + 1), float(i * 37 % 40000), 0.01 * (i % 4), 0.01 * (i % 3), "2020-01-01") for i in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dealt = []
+    monkeypatch.setattr(md, "row_numbers", lambda df, keys, order, out, real=md.row_numbers: (dealt.append(order), real(df, keys, order, out))[1])
+    found = QUERIES["met_permutation"](spark, str(tmp_path)).collect()
+    assert dealt.count(["_h", "_i"]) == 5  # before, two
+    assert {r.feature for r in found} == {"l_quantity", "l_extendedprice", "l_discount", "l_tax"}
