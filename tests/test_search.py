@@ -141,3 +141,9 @@ def test_documents_are_stored_once_when_queries_take_several_passes(spark):
     queries = spark.range(40).select(F.col("id").alias("query_id"), F.array(F.col("id").cast("double"), F.lit(0.0)).alias("query_vector"), F.array(F.lit("text")).alias("query_words"))
     assert tx.search(docs, queries, "id", "v", "body", 1, at_once=10).count() == 40
     assert read.value == 30  # before, 30 in each of four passes
+
+
+def test_named_neighbours_are_asked_for_by_every_id(spark, passages):
+    near = QUERIES["jon_knn"](spark, passages).collect()
+    assert {r.qid for r in near} == set(range(320)) and len(near) == 3200 and {(r.qid, r.cid) for r in near} >= {(100, 57), (57, 100), (301, 311), (311, 301)}
+    assert "% 100" not in ORACLES["jon_knn"]
