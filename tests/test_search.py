@@ -147,3 +147,8 @@ def test_named_neighbours_are_asked_for_by_every_id(spark, passages):
     near = QUERIES["jon_knn"](spark, passages).collect()
     assert {r.qid for r in near} == set(range(320)) and len(near) == 3200 and {(r.qid, r.cid) for r in near} >= {(100, 57), (57, 100), (301, 311), (311, 301)}
     assert "% 100" not in ORACLES["jon_knn"]
+
+
+def test_cached_answers_are_sought_for_every_id(spark, passages):
+    assert {(r.qid, r.cid) for r in QUERIES["txt_similar_pairs"](spark, passages).collect()} >= {(100, 57), (57, 100), (301, 311), (311, 301)}
+    assert "% 100" not in ORACLES["txt_similar_pairs"]
