@@ -152,3 +152,30 @@ def test_named_neighbours_are_asked_for_by_every_id(spark, passages):
 def test_cached_answers_are_sought_for_every_id(spark, passages):
     assert {(r.qid, r.cid) for r in QUERIES["txt_similar_pairs"](spark, passages).collect()} >= {(100, 57), (57, 100), (301, 311), (311, 301)}
     assert "% 100" not in ORACLES["txt_similar_pairs"]
+
+
+def test_pivots_meet_on_an_executor_and_take_the_driver_little_memory(spark, monkeypatch):
+    """Every task sent the driver as many rows as there are pivots."""
+    import tracemalloc
+
+    from tablecare.operators import nearest as ne
+    from tablecare.session import settle
+
+    sent = []
+    monkeypatch.setattr(ne, "settle", lambda df: (sent.append((df.columns, (done := settle(df)).rdd.getNumPartitions())), done)[1])
+    rows = spark.range(3000, numPartitions=20).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    tree, layout, _ = grow(rows, "id", "v", 64, 32)
+    assert (["v"], 1) in sent
+    smallest = [r["v"] for r in rows.orderBy(F.xxhash64("id")).limit(93).select("v").collect()]
+    assert tree.pivots.tolist() == smallest and layout.count.sum() == 3000
+    same = rows.withColumn("id", F.col("id") % 2)  # equal ids have equal hashes, so few or no rows may be under a bound
+    tree, layout, _ = grow(same, "id", "v", 64, 32)
+    assert len(tree.pivots) == 93 and layout.count.sum() == 3000
+
+    pivots = np.random.default_rng(5).normal(size=(20_000, 2))
+    tracemalloc.start()
+    tree = ne.Tree(pivots, "chebyshev")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all distances at once took 68 MB
+    assert tree.parent[::500].tolist() == np.abs(pivots[::500, None] - tree.tops).max(2).argmin(1).tolist()
